@@ -31,9 +31,10 @@ _DAY_MICROS = 86_400_000_000
 _CLEAN = [
     (r"\.0$", ""),
     # Weekday and zone name around "Jan 05, 2024 03:04 PM".
-    (r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), (?<t>[A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{2} (?:AM|PM)) (?:UTC|GMT)$", "${t}"),
-    (r"^(?<d>\d{1,2}/\d{1,2}/)(?<y>69|[7-9]\d)(?<r> |$)", "${d}19${y}${r}"),
-    (r"^(?<d>\d{1,2}/\d{1,2}/)(?<y>\d{2})(?<r> |$)", "${d}20${y}${r}"),
+    (r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), ([A-Za-z]{3} \d{1,2}, \d{4} \d{1,2}:\d{2} (?:AM|PM)) (?:UTC|GMT)$", "$1"),
+    # `$1` stops before the century digits, as there are only three groups.
+    (r"^(\d{1,2}/\d{1,2}/)(69|[7-9]\d)( .*|)$", "$119$2$3"),
+    (r"^(\d{1,2}/\d{1,2}/)(\d{2})( .*|)$", "$120$2$3"),
 ]
 _ISO = r"^\d{4}-\d{2}-\d{2}[T :]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
 _ISO_PARTS = r"^(\d{4}-\d{2}-\d{2})[T :](\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?)?).*$"
@@ -101,14 +102,13 @@ def date_set(column: str) -> Column:
     )
     candidates = f"filter(array({ends}, array(p, p)), a -> a is not null)"
     parsed = f"transform({candidates}, a -> transform(a, x -> {instant_sql('x')}))"
-    chosen = f"filter({parsed}, a -> a[0] is not null and a[1] is not null)[0]"
-    chosen = chosen.replace("filter(transform", "filter(transform", 1)
-    steps = f"cast(floor((unix_micros(greatest(r[0], r[1])) - unix_micros(least(r[0], r[1]))) / {_DAY_MICROS}) as int)"
+    chosen = f"slice(filter({parsed}, r -> r[0] is not null and r[1] is not null), 1, 1)"
     first = "to_date(least(r[0], r[1]))"
-    days = f"transform(array({chosen.replace(')[0]', ')')}), c -> if(size(c) = 0, null, c[0]))"
-    days = f"flatten(transform(filter({days}, r -> r is not null), r -> sequence({first}, date_add({first}, {steps}))))"
+    steps = f"cast(floor((unix_micros(greatest(r[0], r[1])) - unix_micros(least(r[0], r[1]))) / {_DAY_MICROS}) as int)"
+    days = f"flatten(transform({chosen}, r -> sequence({first}, date_add({first}, {steps}))))"
     whole = f"flatten(transform(filter({parts}, p -> p <> ''), p -> {days}))"
-    return F.expr(f"if({column} is null or lower({cell}) = 'nan', cast(array() as array<date>), array_sort(array_distinct({whole})))")
+    empty = "cast(array() as array<date>)"
+    return F.expr(f"if({column} is null or lower({cell}) = 'nan', {empty}, array_sort(array_distinct({whole})))")
 
 
 def parse_span(text: str, today: date | None = None) -> tuple[date, date] | None:

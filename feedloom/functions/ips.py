@@ -27,7 +27,7 @@ def v4_text(number: Column) -> Column:
 
 def v4_network(number: Column, length: Column) -> Column:
     """Network number of an address: its host bits cleared."""
-    size = F.shiftleft(F.lit(1).cast("bigint"), (F.lit(32) - length).cast("int"))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.lit(32) - length).cast("int"))
     return number - F.pmod(number, size)
 
 
