@@ -14,7 +14,7 @@ from feedloom.functions.sqltext import as_object
 from feedloom.functions.text import percent
 from feedloom.functions.values import has_data
 from feedloom.operators.grouping import last_per_key
-from feedloom.operators.snapshots import IGNORED
+from feedloom.operators.snapshots import IGNORED, members
 
 CONTINUOUS, AGED_OUT, EMERGING = "CONTINUOUS", "AGED_OUT", "EMERGING"
 
@@ -35,9 +35,7 @@ def key_status(history: DataFrame, current: DataFrame, key: str = "ip") -> DataF
 
 
 def _attributes(df: DataFrame, key: str, ignore: list[str], side: str) -> DataFrame:
-    dropped = ", ".join(f"'{k}'" for k in ignore) or "''"
-    kept = f"map_filter({as_object('v')}, (k, x) -> k not in ({dropped}))"
-    rows = df.select(key, F.expr(f"explode(transform_values({kept}, (k, x) -> to_json(x)))").alias("attribute", "value"))
+    rows = df.select(key, F.expr(f"explode({members('v', ignore)})").alias("attribute", "value"))
     return rows.withColumn("current", F.lit(side == "current"))
 
 
