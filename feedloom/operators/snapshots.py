@@ -74,6 +74,15 @@ def _richer(side: str, other: str) -> Column:
     return F.exists(F.map_values("changes"), lambda p: has_data(p[side]) & ~has_data(p[other]))
 
 
+def _as_json(text: Column) -> Column:
+    """Canonical text back to a JSON value, a missing one to null."""
+    return F.try_parse_json(F.coalesce(text, F.lit("null")))
+
+
+def _as_json_pair(key: Column, pair: Column) -> Column:
+    return F.struct(_as_json(pair["old"]).alias("old"), _as_json(pair["new"]).alias("new"))
+
+
 def diff_rows(diff: DataFrame, current_date: str, key: str = "ip") -> DataFrame:
     """Exported rows, unchanged keys left out: key, status, historic_date, changes, unchanged, data (JSON text).
 
@@ -86,8 +95,8 @@ def diff_rows(diff: DataFrame, current_date: str, key: str = "ip") -> DataFrame:
         key,
         "status",
         F.when(changed, stamp_text("historic_value", "old_v")).alias("historic_date"),
-        F.when(changed, F.to_json("changes")).alias("changes"),
-        F.when(changed, F.to_json("unchanged")).alias("unchanged"),
+        F.when(changed, F.to_json(F.transform_values("changes", _as_json_pair))).alias("changes"),
+        F.when(changed, F.to_json(F.transform_values("unchanged", lambda k, t: _as_json(t)))).alias("unchanged"),
         data.alias("data"),
     )
 
