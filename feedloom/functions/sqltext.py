@@ -7,7 +7,7 @@ import re
 OBJECT_T = "map<string,variant>"
 ARRAY_T = "array<variant>"
 
-_PLAIN_KEY = re.compile(r"[A-Za-z0-9_\- ]+")
+PLAIN_KEY = re.compile(r"[A-Za-z0-9_\- ]+")
 
 
 def literal(text: str) -> str:
@@ -17,7 +17,7 @@ def literal(text: str) -> str:
 
 def field(source: str, key: str) -> str:
     """Member `key` of the VARIANT expression `source`: NULL if missing, variant null if null."""
-    if _PLAIN_KEY.fullmatch(key):
+    if PLAIN_KEY.fullmatch(key):
         return f"try_variant_get({source}, '$[\"{key}\"]', 'variant')"
     return f"element_at(try_cast({source} as {OBJECT_T}), {literal(key)})"
 

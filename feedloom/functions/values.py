@@ -39,6 +39,16 @@ def kind(text: Column) -> Column:
     )
 
 
+def scalar_type(v: str) -> Column:
+    """Value type of a VARIANT column."""
+    name = f"schema_of_variant({v})"
+    return F.expr(
+        f"case when {v} is null then null when {name} = 'STRING' then '{STRING}' when {name} = 'BOOLEAN' then '{BOOL}' "
+        f"when {name} = 'VOID' then '{NULL}' when {name} like 'OBJECT%' or {name} like 'ARRAY%' then '{CONTAINER}' "
+        f"else '{NUMBER}' end"
+    )
+
+
 def number_text(text: Column) -> Column:
     """One spelling per numeric value, so that 1, 1.0 and 1e0 meet."""
     real = text.try_cast("double")

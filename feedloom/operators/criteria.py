@@ -10,9 +10,9 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import field, literal
+from feedloom.functions.sqltext import as_array, as_object, field, literal
 from feedloom.functions.values import NUMBER_PATTERN, leaf_text
-from feedloom.operators.paths import subtree_sql
+from feedloom.operators.paths import candidate_paths, checked_text, direct_leaf, entry_text, has_object, subtree_sql
 
 # Fixed value: the list whose members are always searched together.
 WILDCARD_ROOT = "tunnels"
@@ -64,19 +64,42 @@ def _roots(key: str, v: str) -> list[tuple[str, str]]:
 
 
 def _keyed_value(key: str, v: str) -> Column:
-    """Text of one flattened key, opening only the members that lie on its path."""
-    on_path = f"(n.path = {literal(key)} or startswith({literal(key)}, concat(n.path, '_')))"
-    hits = f"filter({subtree_sql(_roots(key, v), on_path)}, h -> h.path = {literal(key)})"
-    texts = f"transform({hits}, h -> lower(trim({leaf_text('h.v')})))"
-    return F.expr(f"try_element_at(filter({texts}, t -> t not in ({_ABSENT_SQL})), -1)")
+    """Text of one flattened key, read at the places the key may stand for.
+
+    Keys with very many readings open the members on their path instead.
+    """
+    places = candidate_paths(key)
+    if places is None:
+        on_path = f"(n.path = {literal(key)} or startswith({literal(key)}, concat(n.path, '_')))"
+        hits = f"filter({subtree_sql(_roots(key, v), on_path)}, h -> h.path = {literal(key)})"
+        texts = f"transform({hits}, h -> {entry_text('h')})"
+    else:
+        plain = [direct_leaf(v, p)[0] for p in places if p.endswith('"]')]
+        texts = f"transform(array({', '.join(plain)}), x -> {checked_text('x', 'null', False)})"
+        members = [checked_text(*direct_leaf(v, p), True) for p in places if not p.endswith('"]')]
+        if members:
+            texts = f"concat({texts}, array({', '.join(members)}))"
+    texts = f"filter(transform({texts}, t -> lower(trim(t))), t -> t not in ({_ABSENT_SQL}))"
+    return F.expr(f"try_element_at({texts}, -1)")
 
 
 def _wildcard_values(key: str, v: str) -> Column:
-    """Texts of all flattened keys `root_..._sub`; NULL when no such key exists."""
+    """Texts of all flattened keys `root_..._sub`; NULL when no such key exists.
+
+    A list of objects without further objects inside is read directly, anything else is flattened.
+    """
     root, _, sub = key.partition("_")
+    suffix = literal("_" + sub)
     tree = subtree_sql([(root, field(v, root))], None)
-    hit = f"startswith(h.path, {literal(root + '_')}) and endswith(h.path, {literal('_' + sub)})"
-    texts = f"transform(filter({tree}, h -> {hit}), h -> {leaf_text('h.v')})"
+    hit = f"startswith(h.path, {literal(root + '_')}) and endswith(h.path, {suffix})"
+    general = f"transform(filter({tree}, h -> {hit}), h -> {entry_text('h')})"
+    members = as_array(field(v, root))
+    nested = f"exists(map_values({as_object('m')}), x -> {as_object('x')} is not null or coalesce({has_object('x')}, false))"
+    simple = f"forall(l, m -> {as_object('m')} is not null and not {nested})"
+    named = f"endswith(concat('_', cast(i as string), '_', k), {suffix})"
+    direct = f"flatten(transform(l, (m, i) -> map_values(map_filter({as_object('m')}, (k, x) -> {named}))))"
+    direct = f"transform({direct}, x -> {leaf_text('x')})"
+    texts = f"transform(array({members}), l -> if(coalesce({simple}, false), {direct}, {general}))[0]"
     keep = f"filter(t, x -> x is not null and lower(trim(x)) not in ({_ABSENT_SQL}))"
     return F.expr(f"transform(array({texts}), t -> if(size(t) = 0, null, {keep}))[0]")
 
@@ -127,14 +150,16 @@ def _criterion(c: Criterion, v: str, raw: str) -> Column:
         return F.exists(F.array(F.array_join(values, ",")), on_text)
     # A record without values is tested once, as missing.
     missing = F.array(F.lit(None).cast("string"))
-    members = F.when(F.size(values) > 0, values).otherwise(missing)
+    members = F.transform(F.array(values), lambda t: F.when(F.size(t) > 0, t).otherwise(missing))
+
+    def on_members(texts: Column) -> Column:
+        def any_member(word: str) -> Column:
+            test = F.forall if word == "=empty" else F.exists
+            return test(texts, lambda m: _test(m, word))
 
-    def any_member(word: str) -> Column:
-        if word == "=empty":
-            return F.forall(members, lambda m: _test(m, word))
-        return F.exists(members, lambda m: _test(m, word))
+        return _combine([_keyword(w, any_member) for w in words], c.match)
 
-    return _combine([_keyword(w, any_member) for w in words], c.match)
+    return F.exists(members, on_members)
 
 
 def compile_criteria(criteria: list[Criterion], overall: str = "AND", v: str = "v", raw: str = "raw") -> Column:

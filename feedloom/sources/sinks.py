@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.operators.paths import MAX_DEPTH, flat_map, leaves
+from feedloom.functions.sqltext import as_object
+from feedloom.operators.paths import MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves
 
 
 def json_line(*columns: str | Column) -> Column:
@@ -40,12 +41,34 @@ def wide_columns(df: DataFrame, v: str = "v", max_columns: int = 10_000, max_dep
 
 
 def wide(df: DataFrame, columns: list[str] | None = None, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Flat text columns, one row per record, missing keys NULL. Row-local: no pivot and no shuffle."""
+    """Flat text columns, one row per record, missing keys NULL; records that are not objects are left out.
+
+    Row-local, without pivot or shuffle: every column is read at the places its name may stand for.
+    """
     columns = wide_columns(df, v, max_depth=max_depth) if columns is None else columns
     keep = [c for c in df.columns if c != v]
-    # Bind the flattened map once per record instead of once per column.
-    flat = df.select(*keep, F.inline(F.array(F.struct(flat_map(v, max_depth).alias("flat")))))
-    return flat.select(*keep, *[F.try_element_at("flat", F.lit(c)).alias(c) for c in columns])
+    rows = df.filter(F.expr(f"{as_object(v)} is not null"))
+    places = {c: candidate_paths(c) for c in columns}
+    read, text = [], {}
+    for i, (column, found) in enumerate(places.items()):
+        parts = []
+        for j, path in enumerate(found or []):
+            value, parent = direct_leaf(v, path)
+            name, list_name = f"_v{i}_{j}", f"_l{i}_{j}"
+            member = parent != "null"
+            read.append(F.expr(value).alias(name))
+            if member:
+                read.append(F.expr(parent).alias(list_name))
+            parts.append(checked_text(name, list_name, member))
+        if parts:
+            text[column] = F.expr(f"coalesce({', '.join(parts)})")
+    # Names with too many readings come from the flattened record, bound once.
+    if any(found is None for found in places.values()):
+        pairs = f"transform({entries_sql(v, max_depth)}, e -> struct(e.path, {entry_text('e')}))"
+        read.append(F.inline(F.array(F.struct(F.expr(f"map_from_entries({pairs})").alias("_flat")))))
+        text |= {c: F.try_element_at("_flat", F.lit(c)) for c, found in places.items() if found is None}
+    # The reads form their own projection, so that each is done once per record.
+    return rows.select(*keep, *read).select(*keep, *[text[c].alias(c) for c in columns])
 
 
 def write_wide_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
