@@ -79,6 +79,11 @@ def _as_json(text: Column) -> Column:
     return F.try_parse_json(F.coalesce(text, F.lit("null")))
 
 
+def _by_key(column: str) -> Column:
+    """Map in key order, so that the exported text is canonical."""
+    return F.map_from_entries(F.array_sort(F.map_entries(column)))
+
+
 def _as_json_pair(key: Column, pair: Column) -> Column:
     return F.struct(_as_json(pair["old"]).alias("old"), _as_json(pair["new"]).alias("new"))
 
@@ -95,8 +100,8 @@ def diff_rows(diff: DataFrame, current_date: str, key: str = "ip") -> DataFrame:
         key,
         "status",
         F.when(changed, stamp_text("historic_value", "old_v")).alias("historic_date"),
-        F.when(changed, F.to_json(F.transform_values("changes", _as_json_pair))).alias("changes"),
-        F.when(changed, F.to_json(F.transform_values("unchanged", lambda k, t: _as_json(t)))).alias("unchanged"),
+        F.when(changed, F.to_json(F.transform_values(_by_key("changes"), _as_json_pair))).alias("changes"),
+        F.when(changed, F.to_json(F.transform_values(_by_key("unchanged"), lambda k, t: _as_json(t)))).alias("unchanged"),
         data.alias("data"),
     )
 
