@@ -6,12 +6,10 @@ character gives the JSON type, and unlike VARIANT it can be grouped, joined and
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
-from feedloom.functions.sqltext import as_array
+from feedloom.functions.sqltext import as_array, as_object
 
 # The five value types of a profile signature.
 NULL, BOOL, NUMBER, STRING, CONTAINER = "null", "bool", "number", "string", "json"
@@ -19,6 +17,9 @@ NULL, BOOL, NUMBER, STRING, CONTAINER = "null", "bool", "number", "string", "jso
 # Canonical texts of the values that count as "no data".
 EMPTY_TEXTS = ["null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"]
 
+# Nesting below a list that unordered comparison follows.
+MEMBER_DEPTH = 12
+
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -101,38 +102,35 @@ def leaf_text(v: str) -> str:
     return f"coalesce(array_join({items}, ','), {scalar_text(v)})"
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _unordered_members(lists: pd.Series) -> pd.Series:
-    """Canonical text of each member of a JSON list, with lists inside members sorted at every depth."""
-    import json
-
-    def settle(value):
-        if isinstance(value, dict):
-            return {k: settle(v) for k, v in value.items()}
-        if isinstance(value, list):
-            return sorted((settle(v) for v in value), key=lambda v: json.dumps(v, sort_keys=True))
-        if isinstance(value, bool):
-            return int(value)
-        if isinstance(value, float) and value.is_integer():
-            return int(value)
-        return value
-
-    def members(text):
-        if text is None:
-            return None
-        return [json.dumps(settle(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for v in json.loads(text)]
-
-    return lists.map(members)
+def _settled(x: str, depth: int) -> str:
+    """SQL text: comparable text of a VARIANT with the lists inside it sorted, `depth` levels deep."""
+    real = "try_cast(t as double)"
+    scalar = (
+        f"transform(array(to_json({x})), t -> case when t = 'true' then '1' when t = 'false' then '0' "
+        f"when not t rlike '^[-0-9]' or t rlike '^-?[0-9]+$' then t "
+        f"when {real} = floor({real}) and abs({real}) < 1e18 then cast(cast({real} as bigint) as string) "
+        f"else cast({real} as string) end)[0]"
+    )
+    obj, arr = as_object(x), as_array(x)
+    if depth == 0:
+        deep = "raise_error('list members are nested too deep to compare')"
+        return f"if({obj} is null and {arr} is null, {scalar}, {deep})"
+    # Members of objects and of lists share one lambda, so that the text grows linearly with depth.
+    c, ts = f"c{depth}", f"ts{depth}"
+    members = f"coalesce(map_entries({obj}), transform({arr}, y -> struct(cast(null as string) as key, y as value)))"
+    name = f"coalesce(concat(to_json(cast({c}.key as variant)), ':'), '')"
+    texts = f"transform({members}, {c} -> concat({name}, {_settled(f'{c}.value', depth - 1)}))"
+    return (
+        f"transform(array({texts}), {ts} -> case when {ts} is null then {scalar} "
+        f"when {obj} is not null then concat('{{', array_join({ts}, ','), '}}') "
+        f"else concat('[', array_join(array_sort({ts}), ','), ']') end)[0]"
+    )
 
 
-def list_members(text: Column) -> Column:
-    """Comparable text of each member of a JSON list, order kept; NULL for anything but a list.
+def list_members(text: str, depth: int = MEMBER_DEPTH) -> Column:
+    """Comparable text of each member of the JSON list in SQL expression `text`; NULL for anything else.
 
-    Lists of scalars stay in the JVM. Only lists that hold containers go through Arrow, since the
-    lists nested in them have to be sorted at unknown depth.
+    Order is kept, lists inside the members are sorted; members nested deeper than `depth` raise.
     """
-    is_list = text.startswith("[")
-    members = F.try_parse_json(text).try_cast("array<variant>")
-    nested = F.exists(members, lambda m: F.to_json(m).rlike(r"^[\[{]"))
-    flat = F.transform(members, lambda m: equality_key(F.to_json(m)))
-    return F.when(is_list & nested, _unordered_members(F.when(is_list & nested, text))).when(is_list, flat)
+    members = as_array(f"try_parse_json(if(startswith({text}, '['), {text}, null))")
+    return F.expr(f"transform({members}, m -> {_settled('m', depth)})")

@@ -152,7 +152,7 @@ def checked_text(x: str, parent: str, is_member: bool) -> str:
     return f"case when {as_object(x)} is not null or {has_object(x)} then null else {leaf_text(x)} end"
 
 
-def _level(df: DataFrame, style: str, keep: list[str]) -> DataFrame:
+def _level(df: DataFrame, style: str, keep: list[str], places: bool) -> DataFrame:
     """Open every row that is still open by one level; all other rows pass through."""
     obj, arr = f"{as_object('_v')} is not null", f"{as_array('_v')} is not null"
     if style == WALK:
@@ -180,17 +180,23 @@ def _level(df: DataFrame, style: str, keep: list[str]) -> DataFrame:
         state = f"if(_t.key is null and {as_object('_t.value')} is null, '{MEMBER}', '{OPEN}')"
         ended = "_path"
         final = f"if(_state = '{MEMBER}', _state, '{LEAF}')"
+    place = "concat(_place, if(_t.key is null, concat('[', _t.pos, ']'), concat('[\"', _t.key, '\"]')))"
     return rows.select(
         *keep,
+        *([F.expr(f"if({child}, {place}, _place)").alias("_place")] if places else []),
         F.expr(f"if({child}, {path}, {ended})").alias("_path"),
         F.expr(f"if({child}, _t.value, _v)").alias("_v"),
         F.expr(f"if({child}, {state}, {final})").alias("_state"),
     )
 
 
-def leaves(df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
+def leaves(
+    df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH, places: bool = False
+) -> DataFrame:
     """One row per leaf: the other columns of `df`, then `path`, `v` (VARIANT) and `state`.
 
+    places: also give `place`, the VARIANT path the leaf was read at, NULL below LEVELS.
+
     indexed: underscore paths, list indexes as path parts. objects: dotted paths, lists are leaves.
     walk: dotted paths, every container and value recorded, list members under the list's path.
     """
@@ -199,14 +205,17 @@ def leaves(df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = M
     # The walk counts the members of a top-level list as records of their own.
     root = F.explode(F.expr(f"coalesce({as_array(v)}, array({v}))")) if style == WALK else F.col(v)
     rows = df.select(*keep, F.lit("").alias("_path"), root.alias("_v"), F.lit(first).alias("_state"))
+    if places:
+        rows = rows.withColumn("_place", F.lit("$"))
     rows = rows.filter(F.col("_v").isNotNull() if style == WALK else F.expr(f"{as_object('_v')} is not null"))
     for _ in range(min(LEVELS, max_depth)):
-        rows = _level(rows, style, keep)
+        rows = _level(rows, style, keep, places)
     deeper = _loop(f"array({_entry('_path', '_v', '_state')})", _OPEN_BY_STYLE[style](), max(max_depth - LEVELS, 0))
     scalar = f"{as_object('_v')} is null and {as_array('_v')} is null"
     itself = _entry("_path", "_v", f"if(_state in {_FINAL}, _state, '{LEAF}')")
-    rest = f"inline(if(_state in {_FINAL} or {scalar}, array({itself}), {deeper}))"
-    return rows.select(*keep, F.expr(rest).alias("path", "v", "state"))
+    done = f"(_state in {_FINAL} or {scalar})"
+    place = [F.expr(f"if({done}, _place, null)").alias("place")] if places else []
+    return rows.select(*keep, *place, F.expr(f"inline(if({done}, array({itself}), {deeper}))").alias("path", "v", "state"))
 
 
 def typed_values(seen: DataFrame) -> DataFrame:

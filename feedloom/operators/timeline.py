@@ -29,30 +29,32 @@ def daily_series(df: DataFrame, seq: Column, key: str = "ip") -> DataFrame:
     return last_per_key(rows, [key, "dt"], F.col("seq")).drop("seq")
 
 
-def _pairs(old: str, new: str, max_depth: int) -> str:
-    """SQL text: differing leaves of two records as array<struct<path, o, n, state>>.
+# Levels opened by generators; deeper pairs are finished by a row-local loop.
+PAIR_LEVELS = 3
 
-    Objects on both sides are opened, level by level; equal members are dropped before they are
-    opened. A subtree on one side only stays whole.
-    """
-    om, nm = as_object("e.o"), as_object("e.n")
-    zipped = f"map_zip_with({om}, {nm}, (k, a, b) -> struct(a as o, b as n))"
-    differing = f"map_filter({zipped}, (k, p) -> not (to_json(p.o) <=> to_json(p.n)))"
-    child = "struct(if(e.path = '', c.key, concat(e.path, '.', c.key)) as path, c.value.o as o, c.value.n as n, 'open' as state)"
-    opened = (
-        f"coalesce(transform(map_entries({differing}), c -> {child}), "
-        "array(struct(e.path as path, e.o as o, e.n as n, 'leaf' as state)))"
-    )
+_CHILD_PATH = "if({p} = '', {k}, concat({p}, '.', {k}))"
+
+
+def _differing(o: str, n: str) -> str:
+    """SQL text: members of two objects whose text differs, as map<key, {o, n}>; NULL unless both are objects."""
+    zipped = f"map_zip_with({as_object(o)}, {as_object(n)}, (k, a, b) -> struct(a as o, b as n))"
+    return f"map_filter({zipped}, (k, p) -> not (to_json(p.o) <=> to_json(p.n)))"
+
+
+def _deeper_pairs(max_depth: int) -> str:
+    """SQL text: the leaves below an open pair as array<struct<path, o, n, state>>, at any depth."""
+    path = _CHILD_PATH.format(p="e.path", k="c.key")
+    child = f"struct({path} as path, c.value.o as o, c.value.n as n, 'open' as state)"
+    leaf = "struct(e.path as path, e.o as o, e.n as n, 'leaf' as state)"
+    opened = f"coalesce(transform(map_entries({_differing('e.o', 'e.n')}), c -> {child}), array({leaf}))"
     step = (
         f"transform(array(flatten(transform(acc.es, e -> if(e.state = 'leaf', array(e), {opened})))), "
         "n -> struct(n as es, exists(n, x -> x.state <> 'leaf') as more))[0]"
     )
-    finish = (
-        f"r -> if(r.more, raise_error('records nested deeper than {max_depth} levels; pass a larger max_depth'), r.es)"
-    )
-    start = f"array(struct('' as path, {old} as o, {new} as n, 'open' as state))"
+    finish = f"r -> if(r.more, raise_error('records nested deeper than {max_depth} levels; pass a larger max_depth'), r.es)"
+    start = "array(struct(_path as path, _o as o, _n as n, 'open' as state))"
     return (
-        f"aggregate(sequence(1, {max_depth + 1}), struct({start} as es, true as more), "
+        f"aggregate(sequence(1, {max_depth}), struct({start} as es, true as more), "
         f"(acc, i) -> if(acc.more, {step}, acc), {finish})"
     )
 
@@ -60,21 +62,32 @@ def _pairs(old: str, new: str, max_depth: int) -> str:
 def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Differences of two records per row: other columns, path, change, old_value, new_value (JSON text).
 
-    Lists compare without order, numbers and booleans by value; a missing member differs from null.
+    Objects on both sides are opened level by level, equal members are dropped before that, and a
+    subtree on one side only stays whole. Lists compare without order, numbers and booleans by
+    value; a missing member differs from null.
     """
     keep = [c for c in pairs.columns if c not in (old, new)]
     rows = pairs.filter(F.col(old).isNotNull() & F.col(new).isNotNull())
-    rows = rows.select(*keep, F.expr(f"inline({_pairs(old, new, max_depth)})").alias("path", "o", "n", "state"))
+    rows = rows.select(*keep, F.lit("").alias("_path"), F.col(old).alias("_o"), F.col(new).alias("_n"))
+    for _ in range(PAIR_LEVELS):
+        rows = rows.withColumn("_w", F.expr(_differing("_o", "_n")))
+        rows = rows.select("*", F.explode_outer("_w").alias("_k", "_p")).filter("_k is not null or _w is null")
+        rows = rows.select(
+            *keep,
+            F.expr(f"if(_k is null, _path, {_CHILD_PATH.format(p='_path', k='_k')})").alias("_path"),
+            F.expr("if(_k is null, _o, _p.o)").alias("_o"),
+            F.expr("if(_k is null, _n, _p.n)").alias("_n"),
+        )
+    both_objects = f"{as_object('_o')} is not null and {as_object('_n')} is not null"
+    itself = "array(struct(_path as path, _o as o, _n as n, 'leaf' as state))"
+    rest = f"inline(if({both_objects}, {_deeper_pairs(max_depth)}, {itself}))"
+    rows = rows.select(*keep, F.expr(rest).alias("path", "o", "n", "state"))
     rows = rows.select(*keep, "path", F.to_json("o").alias("old_value"), F.to_json("n").alias("new_value"))
     o, n = F.col("old_value"), F.col("new_value")
     both_lists = o.startswith("[") & n.startswith("[")
-    rows = rows.withColumns({
-        "om": F.array_sort(list_members(F.when(both_lists, o))),
-        "nm": F.array_sort(list_members(F.when(both_lists, n))),
-    })
     differs = (
         F.when(o.isNull() | n.isNull(), F.lit(True))
-        .when(both_lists, F.col("om") != F.col("nm"))
+        .when(both_lists, F.array_sort(list_members("old_value")) != F.array_sort(list_members("new_value")))
         .otherwise(equality_key(o) != equality_key(n))
     )
     change = F.when(o.isNull(), F.lit(ADDED)).when(n.isNull(), F.lit(REMOVED)).otherwise(F.lit(CHANGED))
@@ -122,8 +135,8 @@ def timeline_events(series: DataFrame, key: str = "ip", max_depth: int = MAX_DEP
     return first.unionByName(changes).unionByName(last)
 
 
-def list_delta(old: Column, new: Column) -> dict[str, Column]:
-    """added and removed members of two JSON lists, as sorted canonical texts.
+def list_delta(old: str, new: str) -> dict[str, Column]:
+    """added and removed members of the JSON lists in two columns, as sorted canonical texts.
 
     A change of multiplicity alone gives two empty lists.
     """

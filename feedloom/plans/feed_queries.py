@@ -9,7 +9,7 @@ from feedloom.operators import lines, paths, profile
 from feedloom.operators.criteria import Criterion, compile_criteria, filter_feed
 from feedloom.plans.registry import Tables, query
 from feedloom.sources import sinks
-from feedloom.sources.feeds import parsed
+from feedloom.sources.feeds import parsed, spread
 
 
 def event_feed(t: Tables) -> DataFrame:
@@ -20,7 +20,7 @@ def event_feed(t: Tables) -> DataFrame:
         .when(F.col("event_type") != "view", F.concat(F.lit("n-"), F.col("event_type")))
     )
     record = F.struct("event_id", "user_id", "event_type", "value", F.try_parse_json("props").alias("props"), note.alias("note"))
-    return parsed(t.events.select(F.to_json(record).alias("raw")))
+    return parsed(spread(t.events).select(F.to_json(record).alias("raw")))
 
 
 def line_feed(t: Tables) -> DataFrame:
@@ -30,7 +30,7 @@ def line_feed(t: Tables) -> DataFrame:
         F.struct(F.col("l_linestatus").alias("type"), F.col("l_linenumber").cast("double").alias("n")),
     )
     record = F.struct("l_orderkey", "l_linenumber", entries.alias("tunnels"))
-    return parsed(t.lineitem.select(F.to_json(record).alias("raw"), "l_returnflag", "l_linestatus"))
+    return parsed(spread(t.lineitem).select(F.to_json(record).alias("raw"), "l_returnflag", "l_linestatus"))
 
 
 def text_of(name: str, kind: str = "string") -> Column:
@@ -108,7 +108,7 @@ from (select lang, unnest(string_split(text, chr(10))) as line from documents) g
 """)
 def line_regex_count(t: Tables) -> DataFrame:
     """Lines of all documents that match fixed patterns, letter case ignored."""
-    rows = t.documents.select("lang", F.explode(F.split("text", "\n")).alias("raw"))
+    rows = spread(t.documents.select("lang", "text")).select("lang", F.explode(F.split("text", "\n")).alias("raw"))
     hit = {"malicious": lines.MALICIOUS, "license": "license|copyright"}
     counts = [F.count_if(F.col("raw").rlike(f"(?i){p}")).alias(n) for n, p in hit.items()]
     return rows.groupBy("lang").agg(F.count("*").alias("lines"), *counts)
@@ -119,7 +119,7 @@ select doc_id, length(line) as chars from (select doc_id, unnest(string_split(te
 where regexp_matches(line, '(?i)license|copyright')
 """)
 def line_regex_filter(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
+    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     hits = lines.line_filter(rows, "license|copyright")
     return hits.select("doc_id", F.length("raw").cast("bigint").alias("chars"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.operators import forensics, snapshots, tags, timeline
 from feedloom.operators.grouping import last_per_key
 from feedloom.plans.registry import Tables, query
+from feedloom.sources.feeds import spread
 
 # Snapshot day between the historic and the current half of the events, as in a feed kept by date.
 CUT = "2024-01-16"
@@ -47,7 +48,7 @@ def _records(t: Tables, key: Column) -> DataFrame:
     high = (F.col("value") > 50).alias("high")
     stamp = F.date_format("ts", "yyyyMMdd")
     record = _v(key.alias("ip"), "event_type", "value", high, _note(), stamp.alias("Timestamp"))
-    return t.events.select(key.alias("ip"), F.to_date("ts").alias("day"), "event_id", record)
+    return spread(t.events).select(key.alias("ip"), F.to_date("ts").alias("day"), "event_id", record)
 
 
 @query("""
@@ -259,7 +260,7 @@ def _tag_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     kinds = F.when(F.col("event_type") != "view", F.array(F.upper("event_type"), F.when(F.col("value") > 50, F.lit("HIGH")).otherwise(F.lit("LOW"))))
     words = F.when(F.col("event_type") != "click", F.concat(F.lit("seen as "), F.col("event_type")))
     tag = F.concat_ws("-", F.concat(F.lit("U"), F.col("user_id")), _k()).alias("tag")
-    rows = t.events.select("event_id", F.to_date("ts").alias("day"), _v(tag, kinds.alias("categories"), words.alias("description")))
+    rows = spread(t.events).select("event_id", F.to_date("ts").alias("day"), _v(tag, kinds.alias("categories"), words.alias("description")))
     old = tags.tag_records(rows.filter(F.col("day") < CUT), F.col("event_id"))
     new = tags.tag_records(rows.filter(F.col("day") >= CUT), F.col("event_id"))
     return old, new
@@ -312,7 +313,7 @@ def tag_metadata(t: Tables) -> DataFrame:
 def _daily(t: Tables) -> DataFrame:
     """(ip, dt, v): last event per user and day, nested."""
     client = F.struct(_k().alias("count"), F.struct(F.col("event_type").alias("kind")).alias("seen")).alias("client")
-    rows = t.events.select(
+    rows = spread(t.events).select(
         F.col("user_id").alias("ip"), F.to_date("ts").alias("dt"), "event_id", _v("event_type", "value", client, _note())
     )
     return timeline.daily_series(rows, F.col("event_id"))
@@ -391,7 +392,7 @@ from step where before is not null and before <> types
 def list_delta(t: Tables) -> DataFrame:
     """Members a daily list gained and lost."""
     rows = timeline.daily_changes(_daily_types(t)).filter(F.col("path") == "client.types")
-    delta = timeline.list_delta(F.col("old_value"), F.col("new_value"))
+    delta = timeline.list_delta("old_value", "new_value")
     plain = {n: F.regexp_replace(F.array_join(c, ","), '"', "") for n, c in delta.items()}
     return rows.withColumns(plain).select("ip", "dt", "added", "removed")
 

@@ -9,7 +9,7 @@ from feedloom.functions.dates import date_set, instant, parse_span, span_column
 from feedloom.functions.ips import v4_text
 from feedloom.operators import enrich, requests, snapshots
 from feedloom.plans.registry import Tables, query
-from feedloom.sources.feeds import split_items
+from feedloom.sources.feeds import split_items, spread
 
 # The first of ten-dot-zero, as a number.
 _TEN = 167_772_160
@@ -23,7 +23,7 @@ def _ranges(t: Tables) -> DataFrame:
     """Orders as sheet rows: a date, a second date by priority, reversed for status F, missing for P."""
     later = F.date_add(F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1).cast("int") * 3)
     first, second = _day("o_orderdate"), F.date_format(later, "yyyy-MM-dd")
-    return t.orders.select(
+    return spread(t.orders).select(
         F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("ip"),
         F.when(F.col("o_orderstatus") == "F", second).otherwise(first).alias("start"),
         F.when(F.col("o_orderstatus") == "F", first).when(F.col("o_orderstatus") == "O", second).alias("end"),
@@ -87,7 +87,7 @@ def normalise_dates(t: Tables) -> DataFrame:
         .when(kind == "4", _day("o_orderdate", "M-d-yyyy"))
         .otherwise(_day("o_orderdate", "yyyy-MM-dd'T07:08:09Z'"))
     )
-    rows = t.orders.select("o_orderkey", text.alias("cell"))
+    rows = spread(t.orders).select("o_orderkey", text.alias("cell"))
     return rows.select("o_orderkey", F.date_format(instant("cell"), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
@@ -101,7 +101,7 @@ def _cells(t: Tables) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", F.concat(F.date_format(F.date_add(day, 2), "yyyyMMdd"), F.lit("-"), _day("o_orderdate")))
         .otherwise(F.lit("n/a"))
     )
-    return t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("ip"), text.alias("date"))
+    return spread(t.orders).select("o_orderkey", F.col("o_custkey").cast("string").alias("ip"), text.alias("date"))
 
 
 _CELLS = """
@@ -127,7 +127,7 @@ def proximity_dates(t: Tables) -> DataFrame:
     bad = F.when(F.col("event_type") == "click", F.lit("none")).when(F.col("event_type") == "error", F.lit("soon"))
     good = F.when(F.col("event_type") != "view", _day("ts"))
     record = F.struct(bad.alias("Timestamp"), good.alias("Queried_Date"))
-    rows = t.events.select("event_id", F.parse_json(F.to_json(record)).alias("v"))
+    rows = spread(t.events).select("event_id", F.parse_json(F.to_json(record)).alias("v"))
     near = requests.proximity_dates(rows, 2)
     return near.select("event_id", F.date_format("dt", "yyyyMMdd").alias("day"))
 

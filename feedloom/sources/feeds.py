@@ -25,6 +25,16 @@ def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("v")))))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a scan over the cores if it has fewer splits than the session has cores.
+
+    Gzip files and single row groups are one split each. A scan with enough splits, which is any
+    large input in splittable files, is returned as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _position() -> list[Column]:
     """File position of a line: comparable within and across splits of the same input."""
     return [
@@ -34,19 +44,15 @@ def _position() -> list[Column]:
     ]
 
 
-def read_lines(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Non-blank lines as (raw, file, block, line). Gzip is read natively.
-
-    A gzip file is one split, so pass `partitions` to spread its lines before the parse.
-    """
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Non-blank lines as (raw, file, block, line). Gzip is read natively; few splits are spread out."""
     text = spark.read.text(path).select(F.trim("value").alias("raw"), *_position())
-    text = text.filter(F.col("raw") != "")
-    return text.repartition(partitions) if partitions else text
+    return spread(text.filter(F.col("raw") != ""))
 
 
-def read_feed(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """JSON-lines feed: (raw, file, block, line, v); blank and malformed lines are dropped."""
-    return parsed(read_lines(spark, path, partitions)).filter(F.col("v").isNotNull())
+    return parsed(read_lines(spark, path)).filter(F.col("v").isNotNull())
 
 
 def position(df: DataFrame) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,24 +33,42 @@ def write_by_status(df: DataFrame, path: str, mode: str = "error", status: str =
     df.select(json_line(*body).alias("value"), status).write.mode(mode).partitionBy(status).text(path)
 
 
-def wide_columns(df: DataFrame, v: str = "v", max_columns: int = 10_000, max_depth: int = MAX_DEPTH) -> list[str]:
-    """Sorted union of all flattened keys. Keys are data, so more than `max_columns` is an error."""
-    paths = leaves(df.select(v), v=v, max_depth=max_depth).select("path").distinct()
-    found = [r.path for r in paths.limit(max_columns + 1).collect()]
-    if len(found) > max_columns:
+_PLACE = re.compile(r'\$(\["[A-Za-z0-9_\- ]+"\]|\[\d+\])+')
+
+
+def wide_columns(
+    df: DataFrame, v: str = "v", max_columns: int = 10_000, max_depth: int = MAX_DEPTH
+) -> dict[str, list[str] | None]:
+    """All flattened keys in order, each with the VARIANT paths it was seen at (None if not all are readable).
+
+    Keys are data, so more than `max_columns` is an error.
+    """
+    seen = leaves(df.select(v), v=v, max_depth=max_depth, places=True).select("path", "place").distinct()
+    rows = seen.limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
         raise ValueError(f"more than {max_columns} flattened keys; filter the input or raise max_columns")
-    return sorted(found)
+    found: dict[str, list[str] | None] = {}
+    for path, place in sorted((r.path, r.place or "") for r in rows):
+        if not _PLACE.fullmatch(place):
+            found[path] = None
+        elif found.setdefault(path, []) is not None:
+            found[path].append(place)
+    return found
 
 
 def wide(df: DataFrame, columns: list[str] | None = None, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Flat text columns, one row per record, missing keys NULL; records that are not objects are left out.
 
-    Row-local, without pivot or shuffle: every column is read at the places its name may stand for.
+    Row-local, without pivot or shuffle: every column is read at the places it was found at, or,
+    for given columns, at those its name may stand for.
     """
-    columns = wide_columns(df, v, max_depth=max_depth) if columns is None else columns
+    if columns is None:
+        places = wide_columns(df, v, max_depth=max_depth)
+    else:
+        places = {c: candidate_paths(c) for c in columns}
+    columns = list(places)
     keep = [c for c in df.columns if c != v]
     rows = df.filter(F.expr(f"{as_object(v)} is not null"))
-    places = {c: candidate_paths(c) for c in columns}
     read, text = [], {}
     for i, (column, found) in enumerate(places.items()):
         parts = []
