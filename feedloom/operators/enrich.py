@@ -19,8 +19,8 @@ BAD_IP = "Missing or Invalid IP"
 
 
 def merge_records(left: str, right: str, drop: list[str] | None = None) -> Column:
-    """Record of both sides as map<key, VARIANT>: the right side wins, `drop` leaves members out."""
-    merged = f"map_concat({as_object(left)}, coalesce({as_object(right)}, map()))"
+    """Two map<key, VARIANT> expressions as one: the right side wins, `drop` leaves members out."""
+    merged = f"map_concat({left}, coalesce({right}, map()))"
     if drop:
         names = ", ".join(f"'{d}'" for d in drop)
         merged = f"map_filter({merged}, (k, x) -> k not in ({names}))"
@@ -60,10 +60,11 @@ def enriched_json(df: DataFrame, ip: str = "IP") -> DataFrame:
     is the request with its Error_Reason.
     """
     inner = [c for c in df.columns if c not in ("v", "status", "Error_Reason")]
-    request = F.to_json(F.struct(*inner), {"ignoreNullFields": "false"})
+    # A map keeps the order of the request columns, a parsed record would sort them.
+    cells = [x for c in inner for x in (F.lit(c), F.coalesce(F.col(c).cast("variant"), F.parse_json(F.lit("null"))))]
     failed = F.to_json(F.struct(*inner, "Error_Reason"), {"ignoreNullFields": "false"})
-    rows = df.select("status", F.try_parse_json(request).alias("r"), "v", failed.alias("failed"))
-    merged = F.to_json(merge_records("r", "v", [ip, "Error_Reason"]))
+    rows = df.select("status", F.create_map(*cells).alias("r"), "v", failed.alias("failed"))
+    merged = F.to_json(merge_records("r", as_object("v"), [ip, "Error_Reason"]))
     return rows.select("status", F.when(F.col("status") == OK, merged).otherwise(F.col("failed")).alias("value"))
 
 

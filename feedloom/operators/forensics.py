@@ -146,8 +146,8 @@ def forensic_summary(history: DataFrame, current: DataFrame, key: str = "ip", ig
     kinds = ["transient", "multi_stage", "escalating"]
     per_key = attribute_states(history, current, key, ignore).groupBy(key).agg(*[F.bool_or(k).alias(k) for k in kinds])
     flags = per_key.agg(*[F.count_if(k).alias(k) for k in kinds])
-    # Both sides are a single aggregate row.
-    both = pool.withColumn("one", F.lit(1)).join(flags.withColumn("one", F.lit(1)), "one").drop("one")
+    both = pool.withColumn("flags", flags.select(F.struct(*kinds)).scalar())
+    both = both.select(*pool.columns, *[F.col("flags")[k].alias(k) for k in kinds])
     return both.select(
         "*",
         *[percent(F.col(c), F.col("pool")).alias(f"{c}_pct") for c in ("continuous", "aged_out", "emerging")],

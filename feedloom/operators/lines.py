@@ -31,7 +31,7 @@ def country_starts(prefix: str, v: str = "v") -> Column:
 def only_service(name: str, v: str = "v") -> Column:
     """Structured twin of the services line pattern: exactly this one service."""
     services = F.expr(f"try_variant_get({v}, '$.services', 'array<string>')")
-    return (F.size(services) == 1) & (F.upper(services[0]) == name.upper())
+    return (F.size(services) == 1) & (F.upper(F.get(services, 0)) == name.upper())
 
 
 def first_lines(df: DataFrame, n: int = 500_000) -> DataFrame:

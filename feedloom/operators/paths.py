@@ -172,7 +172,7 @@ def _level(df: DataFrame, style: str, keep: list[str], places: bool) -> DataFram
     if style == WALK:
         path = f"if(_t.key is null, _path, {_joined('_path', '.', '_t.key')})"
         state = f"if(_t.key is null, '{ITEM}', '{FIELD}')"
-        ended = f"if(_state = '{ROOT}', '<root>', _path)"
+        ended = "_path"
         final = f"case when _state in {_FINAL} then _state when _self then '{CONTAINER}' else '{LEAF}' end"
     else:
         sep = "." if style == OBJECTS else "_"
@@ -215,7 +215,8 @@ def leaves(
     itself = _entry("_path", "_v", f"if(_state in {_FINAL}, _state, '{LEAF}')")
     done = f"(_state in {_FINAL} or {scalar})"
     place = [F.expr(f"if({done}, _place, null)").alias("place")] if places else []
-    return rows.select(*keep, *place, F.expr(f"inline(if({done}, array({itself}), {deeper}))").alias("path", "v", "state"))
+    rows = rows.select(*keep, *place, F.expr(f"inline(if({done}, array({itself}), {deeper}))").alias("path", "v", "state"))
+    return rows.withColumn("path", F.expr("if(path = '', '<root>', path)")) if style == WALK else rows
 
 
 def typed_values(seen: DataFrame) -> DataFrame:

@@ -55,11 +55,11 @@ def map_columns_loosely(columns: list[str]) -> tuple[str, str]:
 
 
 def _spans(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Add lo, hi (ordered instants, one-sided dates filled in) and days."""
+    """Add _lo, _hi (ordered instants, one-sided dates filled in) and _days."""
     s, e = instant(start), instant(end)
-    rows = df.select("*", F.inline(F.array(F.struct(s.alias("s"), e.alias("e")))))
-    rows = rows.withColumns({"lo": F.least("s", "e"), "hi": F.greatest("s", "e")}).drop("s", "e")
-    return rows.withColumn("days", span_days(F.col("lo"), F.col("hi")))
+    rows = df.select("*", F.inline(F.array(F.struct(s.alias("_s"), e.alias("_e")))))
+    rows = rows.withColumns({"_lo": F.least("_s", "_e"), "_hi": F.greatest("_s", "_e")})
+    return rows.withColumn("_days", span_days(F.col("_lo"), F.col("_hi")))
 
 
 def expand_days(df: DataFrame, start: str | None, end: str | None = None, cap: int | None = None, historic: bool = True) -> DataFrame:
@@ -73,21 +73,21 @@ def expand_days(df: DataFrame, start: str | None, end: str | None = None, cap: i
     if not historic or not start:
         return df.select(*keep, F.lit(None).cast("string").alias("Timestamp"))
     rows = _spans(df, start, end)
-    days = F.least("days", F.lit(cap)) if cap else F.col("days")
+    days = F.when(F.col("_days") > cap, F.lit(cap)).otherwise(F.col("_days")) if cap else F.col("_days")
     offsets = F.sequence(F.lit(0), (days - 1).cast("int"))
-    rows = rows.select(*keep, "lo", F.explode_outer(offsets).alias("offset"))
-    return rows.select(*keep, day_text(F.date_add(F.to_date("lo"), F.col("offset"))).alias("Timestamp"))
+    rows = rows.select(*keep, "_lo", F.explode_outer(offsets).alias("_offset"))
+    return rows.select(*keep, day_text(F.date_add(F.to_date("_lo"), F.col("_offset"))).alias("Timestamp"))
 
 
 def skipped_ranges(df: DataFrame, ip: str, start: str, end: str, cap: int) -> DataFrame:
     """Audit rows (IP, Processed_Range, Skipped_Range, Reason) of the spans longer than the cap."""
-    rows = _spans(df, start, end).filter(F.col("days") > cap)
-    first, last = F.to_date("lo"), F.to_date("hi")
+    rows = _spans(df, start, end).filter(F.col("_days") > cap)
+    first, last = F.to_date("_lo"), F.to_date("_hi")
 
     def span(a: Column, b: Column) -> Column:
         return F.concat(day_text(a), F.lit(" to "), day_text(b))
 
-    reason = F.concat(F.lit(f"Exceeded {cap}-day cap. (Total span: "), F.col("days").cast("string"), F.lit(" days)"))
+    reason = F.concat(F.lit(f"Exceeded {cap}-day cap. (Total span: "), F.col("_days").cast("string"), F.lit(" days)"))
     return rows.select(
         F.col(ip).alias("IP"),
         span(first, F.date_add(first, cap - 1)).alias("Processed_Range"),
@@ -98,9 +98,8 @@ def skipped_ranges(df: DataFrame, ip: str, start: str, end: str, cap: int) -> Da
 
 def max_span(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row: the longest span in days over rows that have both dates, else 0."""
-    s, e = instant(start), instant(end)
-    days = F.when(s.isNotNull() & e.isNotNull(), span_days(F.least(s, e), F.greatest(s, e)))
-    return df.agg(F.coalesce(F.max(days), F.lit(0)).cast("bigint").alias("max_days"))
+    days = F.when(F.col("_s").isNotNull() & F.col("_e").isNotNull(), F.col("_days"))
+    return _spans(df, start, end).agg(F.coalesce(F.max(days), F.lit(0)).cast("bigint").alias("max_days"))
 
 
 def valid_requests(df: DataFrame, ip: str = "IP") -> DataFrame:
@@ -120,10 +119,19 @@ def done_keys(*outputs: DataFrame) -> DataFrame:
     return rows.filter(has_ip(F.col("ip"))).select(request_key(F.col("ip"), F.col("day")).alias("request_key")).distinct()
 
 
+def _by_key(df: DataFrame, done: DataFrame, how: str, ip: str, day: str) -> DataFrame:
+    keyed = df.withColumn("request_key", request_key(F.col(ip), F.col(day)))
+    return keyed.join(done, "request_key", how).drop("request_key")
+
+
 def resume(df: DataFrame, done: DataFrame, ip: str = "IP", day: str = "Timestamp") -> DataFrame:
     """Requests whose key is not among the done keys."""
-    keyed = df.withColumn("request_key", request_key(F.col(ip), F.col(day)))
-    return keyed.join(done, "request_key", "left_anti").drop("request_key")
+    return _by_key(df, done, "left_anti", ip, day)
+
+
+def skipped(df: DataFrame, done: DataFrame, ip: str = "IP", day: str = "Timestamp") -> DataFrame:
+    """Requests whose key is among the done keys."""
+    return _by_key(df, done, "left_semi", ip, day)
 
 
 def dates_per_ip(sheet: DataFrame, ip: str, stamp: str, seq: Column) -> DataFrame:
@@ -158,36 +166,34 @@ def range_days(bounds: DataFrame) -> Column:
     return bounds.select(F.sequence("first_day", "last_day")).scalar()
 
 
-def record_dates(v: str = "v") -> Column:
-    """Days of a failed record: of the date members, in their fixed order, the first that parses.
+def record_dates(df: DataFrame, v: str = "v") -> DataFrame:
+    """Add `_days`: the days of a failed record, NULL if it names none.
 
-    A member is found by part of its name, letter case ignored.
+    Of the date members, in their fixed order, the first that parses counts. A member is found by
+    part of its name, letter case ignored.
     """
-    sets = []
-    for name in DATE_FIELDS:
-        texts = f"map_values(map_filter({as_object(v)}, (k, x) -> contains(lower(k), '{name.lower()}')))"
-        sets.append(F.expr(f"try_cast(try_element_at({texts}, 1) as string)"))
-    return F.array(*sets)
+    names = [f"_stamp_{i}" for i in range(len(DATE_FIELDS))]
+    members = f"transform_keys({as_object(v)}, (k, x) -> lower(k))"
+    rows = df.select("*", F.inline(F.array(F.struct(F.expr(members).alias("_members")))))
+    for name, member in zip(names, DATE_FIELDS):
+        found = f"map_values(map_filter(_members, (k, x) -> contains(k, '{member.lower()}')))"
+        rows = rows.withColumn(name, F.expr(f"try_cast(try_element_at({found}, 1) as string)"))
+    rows = rows.withColumns({f"{n}_set": date_set(n) for n in names})
+    usable = [F.when(F.size(f"{n}_set") > 0, F.col(f"{n}_set")) for n in names]
+    return rows.withColumn("_days", F.coalesce(*usable)).drop("_members", *names, *[f"{n}_set" for n in names])
 
 
 def proximity_dates(df: DataFrame, buffer_days: int, v: str = "v") -> DataFrame:
     """Rows times every day within `buffer_days` of a day of the record; records without one are left out."""
     if buffer_days < 0:
         raise ValueError("buffer_days must not be negative")
-    names = [f"stamp_{i}" for i in range(len(DATE_FIELDS))]
-    rows = df.select("*", F.inline(F.array(F.struct(record_dates(v).alias("stamps")))))
-    rows = rows.select("*", *[F.col("stamps")[i].alias(n) for i, n in enumerate(names)])
-    usable = [F.when(F.size(date_set(n)) > 0, date_set(n)) for n in names]
-    rows = rows.withColumn("days", F.coalesce(*usable)).drop("stamps", *names)
-    around = F.transform("days", lambda d: F.sequence(F.date_sub(d, buffer_days), F.date_add(d, buffer_days)))
-    return rows.withColumn("dt", F.explode(F.array_distinct(F.flatten(around)))).drop("days")
+    around = F.transform("_days", lambda d: F.sequence(F.date_sub(d, buffer_days), F.date_add(d, buffer_days)))
+    return record_dates(df, v).withColumn("dt", F.explode(F.array_distinct(F.flatten(around)))).drop("_days")
 
 
 def undated(df: DataFrame, v: str = "v") -> DataFrame:
     """One row: records that name no parsable date."""
-    rows = df.select(F.explode(record_dates(v)).alias("stamp"), F.monotonically_increasing_id().alias("id"))
-    per = rows.groupBy("id").agg(F.max(F.size(date_set("stamp"))).alias("n"))
-    return per.agg(F.count_if(F.col("n") == 0).alias("undated"))
+    return record_dates(df, v).agg(F.count_if(F.col("_days").isNull()).alias("undated"))
 
 
 def queried_date(dt: Column) -> Column:

@@ -56,8 +56,8 @@ def read_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def position(df: DataFrame) -> Column:
-    """Order of a line within the input, for "last occurrence wins"."""
-    return F.struct("file", "block", "line")
+    """Order of a line, or of a record within a document, for "last occurrence wins"."""
+    return F.struct("file", "block", "line", *(["item"] if "item" in df.columns else []))
 
 
 def position_chunk() -> list[Column]:
@@ -72,9 +72,9 @@ def malformed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def unwrapped(df: DataFrame, objects_only: bool = False) -> DataFrame:
-    """Replace an array value by its members; everything else stays one row."""
+    """Replace an array value by its members, numbered by `item`; everything else stays one row."""
     keep = [c for c in df.columns if c != "v"]
-    out = df.select(*keep, F.expr(f"explode(coalesce({as_array('v')}, array(v)))").alias("v"))
+    out = df.select(*keep, F.expr(f"posexplode(coalesce({as_array('v')}, array(v)))").alias("item", "v"))
     return out.filter(F.expr(f"{as_object('v')} is not null")) if objects_only else out
 
 
@@ -86,30 +86,33 @@ def _multi_line_files(spark: SparkSession, path) -> list[str]:
 
 
 def read_documents(spark: SparkSession, path: str | list[str], format: str = AUTO, objects_only: bool = False) -> DataFrame:
-    """Records (raw, file, v) of JSON arrays, single objects or JSON lines.
+    """Records (raw, file, block, line, item, v) of JSON arrays, single objects or JSON lines.
 
     auto: a file whose first line parses is read by line, any other as one document, falling back
     to its lines if the document does not parse. A document is one task; convert large arrays with
     `array_to_lines` first. Malformed lines are dropped.
     """
+    columns = ["raw", "file", "block", "line", "item", "v"]
     paths = [path] if isinstance(path, str) else list(path)
     if format == JSONL or (format == AUTO and all(p.lower().endswith(LINE_SUFFIXES) for p in paths)):
-        return unwrapped(read_feed(spark, paths), objects_only).select("raw", "file", "v")
+        return unwrapped(read_feed(spark, paths), objects_only).select(columns)
     whole_files = paths if format == DOCUMENT else _multi_line_files(spark, paths)
     by_line = None
     if format == AUTO:
         by_line = unwrapped(read_feed(spark, paths), objects_only)
         if whole_files:
             by_line = by_line.filter(~F.col("file").isin(whole_files))
-        by_line = by_line.select("raw", "file", "v")
+        by_line = by_line.select(columns)
     if not whole_files:
         return by_line
     text = spark.read.text(whole_files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     doc = parsed(text, "value")
     lines = "transform(filter(split(value, '\\\\R'), l -> trim(l) <> ''), l -> try_parse_json(trim(l)))"
-    items = F.expr(f"explode(if(v is null, {lines}, array(v)))").alias("v")
+    items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
     records = unwrapped(doc.select("file", items).filter("v is not null"), objects_only)
-    records = records.select(F.to_json("v").alias("raw"), "file", "v")
+    records = records.select(
+        F.to_json("v").alias("raw"), "file", F.lit(0).cast("bigint").alias("block"), F.col("line").cast("bigint").alias("line"), "item", "v"
+    )
     return records if by_line is None else by_line.unionByName(records)
 
 
@@ -179,7 +182,8 @@ def ip_text(key: str | None = None, v: str = "v") -> Column:
         value = F.expr(f"try_cast(element_at({as_object(v)}, '{key}') as string)")
     else:
         names = ", ".join(f"'{k}'" for k in IP_KEYS)
-        value = F.expr(f"map_values(map_filter({as_object(v)}, (k, x) -> lower(k) in ({names})))[0]").try_cast("string")
+        found = f"map_values(map_filter({as_object(v)}, (k, x) -> lower(k) in ({names})))"
+        value = F.expr(f"try_element_at({found}, 1)").try_cast("string")
     return F.nullif(F.trim(value), F.lit(""))
 
 
