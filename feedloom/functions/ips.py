@@ -32,10 +32,17 @@ def v4_network(number: Column, length: Column) -> Column:
 
 
 def v4_cidr(text: Column) -> dict[str, Column]:
-    """network and length of `a.b.c.d/n` (host bits allowed), NULL for anything else."""
-    length_text = F.regexp_extract(text, r"/(\d{1,2})$", 1)
-    length = F.when(length_text.rlike(r"^([0-9]|[12][0-9]|3[0-2])$"), length_text.cast("int"))
-    number = v4_number(F.substring_index(text, "/", 1))
+    """network and length of `a.b.c.d/n` (host bits allowed, n also as net or host mask), NULL for anything else."""
+    tail = F.substring_index(text, "/", -1)
+    mask = v4_number(tail)
+
+    def mask_length(size: Column) -> Column:
+        return F.when(F.bit_count(size) == 1, F.lit(32) - F.bit_count(size - 1))
+
+    length = F.when(tail.rlike(r"^([0-9]|[12][0-9]|3[0-2])$"), tail.cast("int")).otherwise(
+        F.coalesce(mask_length(F.lit(1 << 32) - mask), mask_length(mask + 1))
+    )
+    number = F.when(text.rlike(r"^[^/]+/[^/]+$"), v4_number(F.substring_index(text, "/", 1)))
     return {"network": F.when(length.isNotNull(), v4_network(number, length)), "length": F.when(number.isNotNull(), length)}
 
 

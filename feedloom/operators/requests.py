@@ -201,26 +201,41 @@ def queried_date(dt: Column) -> Column:
     return F.coalesce(day_text(dt), F.lit("Current"))
 
 
-def normalise_ips(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND, on_large: str = "raise") -> DataFrame:
-    """Distinct canonical ips of a list of addresses and CIDRs; what is neither is left out.
-
-    Host bits are allowed, network and broadcast addresses are included. on_large decides about
-    CIDRs of more than `max_expand` addresses: raise, skip or expand.
-    """
+def _networks(items: DataFrame, max_expand: int, on_large: str) -> DataFrame:
+    """Addresses of the items that are CIDRs or ips; all other items are left out."""
     if on_large not in ("raise", "skip", "expand"):
         raise ValueError("on_large must be raise, skip or expand")
-    text = F.col(item)
-    items = df.select(text.alias("item")).distinct()
-    cidr = v4_cidr(F.col("item"))
+    item = F.col("item")
+    cidr = v4_cidr(item)
     v4 = items.filter(~F.contains("item", F.lit(":"))).withColumns({
-        "lo": F.coalesce(cidr["network"], v4_number(F.col("item"))), "length": F.coalesce(cidr["length"], F.lit(32)),
+        "lo": F.coalesce(cidr["network"], v4_number(item)), "length": F.coalesce(cidr["length"], F.lit(32)),
     }).filter(F.col("lo").isNotNull())
     v6 = items.filter(F.contains("item", F.lit(":"))).select("item", v6_parts("item").alias("p"))
     v6 = v6.filter("p.length is not null").select("item", "p.hi", "p.lo", F.col("p.length").alias("length"))
     v4, v6 = _sized(v4, 32, max_expand, on_large), _sized(v6, 128, max_expand, on_large)
     v4 = _addresses(v4, ["item"], on_large).select(v4_text(F.col("lo")).alias("ip"))
     v6 = _addresses(v6, ["item", "hi"], on_large).select(v6_text("hi", "lo").alias("ip"))
-    return v4.unionByName(v6).distinct()
+    return v4.unionByName(v6)
+
+
+def normalise_ips(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND, on_large: str = "raise") -> DataFrame:
+    """Distinct canonical ips of a list of addresses and CIDRs; what is neither is left out.
+
+    Host bits are allowed, network and broadcast addresses are included. on_large decides about
+    CIDRs of more than `max_expand` addresses: raise, skip or expand.
+    """
+    items = df.select(F.col(item).alias("item")).distinct()
+    return _networks(items, max_expand, on_large).distinct()
+
+
+def expand_items(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND, on_large: str = "raise") -> DataFrame:
+    """Items with their CIDRs replaced by addresses; all other items, malformed CIDRs too, stay as they are."""
+    items = df.select(F.col(item).alias("item"))
+    text = F.col("item")
+    v6 = v6_parts(F.when(F.contains("item", F.lit(":")) & F.contains("item", F.lit("/")), text))
+    marked = items.select("item", (v4_cidr(text)["network"].isNotNull() | v6["length"].isNotNull()).alias("is_cidr"))
+    expanded = _networks(marked.filter("is_cidr").select("item"), max_expand, on_large)
+    return marked.filter("not is_cidr").select(text.alias("ip")).unionByName(expanded)
 
 
 def _sized(df: DataFrame, bits: int, max_expand: int, on_large: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import day_text
 from feedloom.functions.sqltext import as_array, as_object, field
-from feedloom.functions.values import equality_key, has_data, list_members
+from feedloom.functions.values import equality_key, list_members
 from feedloom.operators.grouping import last_per_key
 from feedloom.operators.paths import MAX_DEPTH
 
@@ -25,7 +25,8 @@ ANY = None
 
 def daily_series(df: DataFrame, seq: Column, key: str = "ip") -> DataFrame:
     """(key, dt, v): the last record per key and day; days with an empty record do not count."""
-    rows = df.select(key, "dt", "v", seq.alias("seq")).filter(F.col("dt").isNotNull() & has_data(F.to_json("v")))
+    rows = df.select(key, "dt", "v", seq.alias("seq"))
+    rows = rows.filter(F.col("dt").isNotNull() & (F.size(F.col("v").try_cast("map<string,variant>")) > 0))
     return last_per_key(rows, [key, "dt"], F.col("seq")).drop("seq")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import parse_span
 from feedloom.operators import enrich, forensics, profile, requests, snapshots, tags, timeline
 from feedloom.operators.criteria import Criterion, compile_criteria
-from feedloom.session import configure
+from feedloom.session import configure, staged
 from feedloom.sources import feeds, sinks
 
 
@@ -26,7 +26,8 @@ def filter_feed_files(spark: SparkSession, path: str, out: str, criteria: list[C
 
 def profile_files(spark: SparkSession, path: str, **options) -> DataFrame:
     """Top values of every key path of JSON files; options go to `profile`."""
-    return profile.profile(feeds.read_documents(configure(spark), path).select("v"), **options)
+    rows = profile.profile(feeds.read_documents(configure(spark), path).select("v"), **options)
+    return rows.orderBy("path", "rank")
 
 
 def flatten_files(spark: SparkSession, path: str, out: str) -> None:
@@ -51,7 +52,11 @@ def tag_changes(spark: SparkSession, old: str, new: str) -> dict[str, DataFrame]
         feed = feeds.read_documents(spark, path, objects_only=True)
         sides.append(tags.tag_records(feed, feeds.position(feed)))
     added = tags.added_records(*sides)
-    return {"diff": tags.tag_diff(*sides), "categories": tags.category_counts(added), "details": tags.tag_details(added)}
+    return {
+        "diff": tags.tag_diff(*sides).orderBy("change", "tag"),
+        "categories": tags.category_counts(added).orderBy(F.desc("count"), "category"),
+        "details": tags.tag_details(added).orderBy("tag"),
+    }
 
 
 def _snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _snapshot(spark: SparkSession, path: str) -> DataFrame:
 def snapshot_changes(spark: SparkSession, old: str, new: str, current_date: str) -> dict[str, DataFrame]:
     """rows, summary and attributes of the diff of two snapshot files."""
     configure(spark)
-    diff = snapshots.diff_records(_snapshot(spark, old), _snapshot(spark, new))
+    diff = staged(snapshots.diff_records(_snapshot(spark, old), _snapshot(spark, new)), "snapshot-diff")
     return {
         "rows": snapshots.diff_rows(diff, current_date),
         "summary": snapshots.diff_summary(diff),
@@ -76,8 +81,8 @@ def forensic_report(spark: SparkSession, history: str, current: str, current_dat
     configure(spark)
     feed = feeds.read_feed(spark, history)
     keyed = feeds.keyed_records(feed).withColumn("ts", feeds.stamp_text("unknown_date"))
-    past = forensics.history_records(keyed, feeds.position(keyed))
-    now = _snapshot(spark, current)
+    past = staged(forensics.history_records(keyed, feeds.position(keyed)), "history")
+    now = staged(_snapshot(spark, current), "current")
     states = forensics.attribute_states(past, now)
     return {
         "rows": forensics.forensic_rows(past, now, current_date),

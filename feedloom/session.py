@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings: keys `ip` and `IP` may sit in one record, days are UTC days, and a
 # repeated JSON key keeps its last value.
@@ -37,3 +39,18 @@ def build_session(app: str = "feedloom", master: str | None = None, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that feeds several outputs once, as Parquet, and read it back.
+
+    The folder is the one the cluster names in spark.checkpoint.dir, so that a lost executor does
+    not lose it and later reads still prune columns. Without that setting the DataFrame is
+    returned as it is and every output computes it again.
+    """
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -9,6 +9,9 @@ from feedloom.functions.sqltext import as_array, as_object
 
 DOCUMENT, JSONL, AUTO = "document", "jsonl", "auto"
 
+# Largest file one row can hold.
+DOCUMENT_BYTES = 2**31 - 1
+
 # File extensions that always hold one JSON value per line.
 LINE_SUFFIXES = (".jsonl", ".ndjson", ".jsonl.gz", ".ndjson.gz")
 
@@ -79,8 +82,13 @@ def unwrapped(df: DataFrame, objects_only: bool = False) -> DataFrame:
 
 
 def _multi_line_files(spark: SparkSession, path) -> list[str]:
-    """Files whose first line is not JSON on its own: only these can be one document over many lines."""
-    first = read_lines(spark, path).groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"))
+    """Files whose first line is not JSON on its own: only these can be one document over many lines.
+
+    Files too large for one row cannot be documents; their size prunes them from this pass.
+    """
+    text = spark.read.text(path).filter(F.col("_metadata.file_size") < DOCUMENT_BYTES)
+    lines = text.select(F.trim("value").alias("raw"), *_position()).filter(F.col("raw") != "")
+    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"))
     opened = first.filter(F.try_parse_json("head").isNull() & F.col("head").rlike(r"^[\[{]"))
     return [r.file for r in opened.select("file").collect()]
 
@@ -90,7 +98,8 @@ def read_documents(spark: SparkSession, path: str | list[str], format: str = AUT
 
     auto: a file whose first line parses is read by line, any other as one document, falling back
     to its lines if the document does not parse. A document is one task; convert large arrays with
-    `array_to_lines` first. Malformed lines are dropped.
+    `array_to_lines` first. Finding the first lines is one more pass over files that do not end in
+    .jsonl or .ndjson: name the format for large inputs. Malformed lines are dropped.
     """
     columns = ["raw", "file", "block", "line", "item", "v"]
     paths = [path] if isinstance(path, str) else list(path)

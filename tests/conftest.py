@@ -10,10 +10,11 @@ from feedloom import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         app="tests", master="local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -53,6 +53,15 @@ def test_snapshots(spark, tmp_path):
     assert out["summary"].first().modified == 1 and out["attributes"].first().attribute == "x"
 
 
+def test_staged_intermediates(spark, tmp_path):
+    past = dump(tmp_path / "h.jsonl", [{"ip": "a", "x": 1, "Timestamp": "20240101"}])
+    now = dump(tmp_path / "c.jsonl", [{"ip": "a", "x": 2}])
+    out = jobs.forensic_report(spark, past, now, "20240102")
+    assert out["summary"].first().multi_stage == 0
+    folder = spark.conf.get("spark.checkpoint.dir")
+    assert f"{folder}/history" in out["summary"]._jdf.queryExecution().toString()
+
+
 def test_one_record_snapshot(spark, tmp_path):
     path = dump(tmp_path / "one.jsonl", [{"ip": "a", "x": 1}])
     assert jobs.snapshot_changes(spark, path, path, "20240102")["summary"].first().unchanged == 1

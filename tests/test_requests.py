@@ -133,6 +133,15 @@ def test_normalise_ips(spark):
     assert sorted(r.item for r in requests.rejected_ips(items).collect()) == ["01.2.3.4", "1.2.3.4/33", "fe80::/129", "x"]
 
 
+def test_masks_and_expanded_items(spark):
+    items = column(spark, ["10.0.0.5/255.255.255.252", "10.0.1.5/0.0.0.1", "10.0.0.0/255.0.255.0", "TAG", "::4/127", "::1", "1.2.3.4/33", "1.1.1.1", "1.1.1.1"], "item")
+    got = sorted(r.ip for r in requests.expand_items(items).collect())
+    assert got == sorted([
+        "10.0.0.4", "10.0.0.5", "10.0.0.6", "10.0.0.7", "10.0.1.4", "10.0.1.5", "10.0.0.0/255.0.255.0", "TAG", "::4", "::5", "::1",
+        "1.2.3.4/33", "1.1.1.1", "1.1.1.1",
+    ])
+
+
 def test_large_ranges(spark):
     items = column(spark, ["10.0.0.0/8", "10.0.0.0/15", "1.1.1.1"], "item")
     with pytest.raises(Exception, match="too many addresses"):
