@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import literal
+from feedloom.functions.sqltext import literal, stripped
 
 # Accepted spellings, as (shape, pattern). A value is parsed by the first shape it
 # has; two-digit years up to 68 lie in this century, the others in the last.
@@ -46,11 +46,11 @@ def instant_sql(x: str) -> str:
     Each spelling is chosen by shape, so a parse is only tried where it can succeed. An offset is
     dropped: the wall-clock time of the text counts.
     """
-    text = f"trim({x})"
+    text = stripped(x)
     for pattern, to in _CLEAN:
         text = f"regexp_replace({text}, {literal(pattern)}, {literal(to)})"
     epoch = f"try_cast({x} as double)"
-    number = f"trim({x}) rlike {literal(r'^[+]?[0-9]+([.][0-9]*)?$')}"
+    number = f"{stripped(x)} rlike {literal(r'^[+]?[0-9]+([.][0-9]*)?$')}"
     cases = [
         f"when {number} and {epoch} > {EPOCH_FROM} and {epoch} <= {EPOCH_TO} "
         f"then timestamp_micros(cast({epoch} * 1000000 as bigint))"
@@ -92,9 +92,9 @@ def date_set(column: str) -> Column:
     Each comma-separated part is tried as a range split at ` to `, ` - ` and `-`, in this order and
     only where both ends parse, and as a single date otherwise. Reversed ranges are turned around.
     """
-    cell = f"trim(cast({column} as string))"
+    cell = stripped(f"cast({column} as string)")
     body = f"if(startswith({cell}, '[') and endswith({cell}, ']'), substring({cell}, 2, length({cell}) - 2), {cell})"
-    parts = f"transform(split({body}, ','), p -> regexp_replace(trim(p), '[\"\\']', ''))"
+    parts = f"transform(split({body}, ','), p -> regexp_replace({stripped('p')}, '[\"\\']', ''))"
     ends = ", ".join(
         f"if(contains(p, {literal(d)}), array(substring_index(p, {literal(d)}, 1), "
         f"substring(p, instr(p, {literal(d)}) + {len(d)})), null)"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+BLANKS = " \t\n\r\x0b\x0c"
+
 OBJECT_T = "map<string,variant>"
 ARRAY_T = "array<variant>"
 
@@ -22,6 +24,11 @@ def field(source: str, key: str) -> str:
     return f"element_at(try_cast({source} as {OBJECT_T}), {literal(key)})"
 
 
+def stripped(text: str) -> str:
+    """SQL text without white space at both ends; plain `trim` only takes blanks."""
+    return f"btrim({text}, {literal(BLANKS)})"
+
+
 def as_object(source: str) -> str:
     return f"try_cast({source} as {OBJECT_T})"
 

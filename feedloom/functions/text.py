@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.sqltext import BLANKS
+
+
+def strip(text: Column) -> Column:
+    """Text without white space at both ends; plain `trim` only takes blanks."""
+    return F.trim(text, F.lit(BLANKS))
+
 
 def percent(part: Column, total: Column) -> Column:
     """part / total * 100, and 0 where the total is 0 or unknown."""
@@ -18,10 +25,10 @@ def or_default(text: Column, default: str) -> Column:
 
 def request_key(ip: Column, day: Column) -> Column:
     """Identity of an (ip, day) request: case and blanks ignored, no day reads `none`."""
-    day_text = F.coalesce(F.nullif(F.trim(day), F.lit("")), F.lit("none"))
-    return F.concat_ws("|", F.lower(F.trim(ip)), day_text)
+    day_text = F.coalesce(F.nullif(strip(day), F.lit("")), F.lit("none"))
+    return F.concat_ws("|", F.lower(strip(ip)), day_text)
 
 
 def has_ip(ip: Column) -> Column:
     """True where an ip is present; blank cells and the text `nan` count as absent."""
-    return ip.isNotNull() & (F.trim(ip) != "") & (F.lower(F.trim(ip)) != "nan")
+    return ip.isNotNull() & (strip(ip) != "") & (F.lower(strip(ip)) != "nan")

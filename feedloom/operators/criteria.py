@@ -10,7 +10,8 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import as_array, as_object, field, literal
+from feedloom.functions.sqltext import as_array, as_object, field, literal, stripped
+from feedloom.functions.text import strip
 from feedloom.functions.values import NUMBER_PATTERN, leaf_text
 from feedloom.operators.paths import candidate_paths, checked_text, direct_leaf, entry_text, has_object, subtree_sql
 
@@ -79,7 +80,7 @@ def _keyed_value(key: str, v: str) -> Column:
         members = [checked_text(*direct_leaf(v, p), True) for p in places if not p.endswith('"]')]
         if members:
             texts = f"concat({texts}, array({', '.join(members)}))"
-    texts = f"filter(transform({texts}, t -> lower(trim(t))), t -> t not in ({_ABSENT_SQL}))"
+    texts = f"filter(transform({texts}, t -> lower({stripped('t')})), t -> t not in ({_ABSENT_SQL}))"
     return F.expr(f"try_element_at({texts}, -1)")
 
 
@@ -100,13 +101,13 @@ def _wildcard_values(key: str, v: str) -> Column:
     direct = f"flatten(transform(l, (m, i) -> map_values(map_filter({as_object('m')}, (k, x) -> {named}))))"
     direct = f"transform({direct}, x -> {leaf_text('x')})"
     texts = f"transform(array({members}), l -> if(coalesce({simple}, false), {direct}, {general}))[0]"
-    keep = f"filter(t, x -> x is not null and lower(trim(x)) not in ({_ABSENT_SQL}))"
+    keep = f"filter(t, x -> x is not null and lower({stripped('x')}) not in ({_ABSENT_SQL}))"
     return F.expr(f"transform(array({texts}), t -> if(size(t) = 0, null, {keep}))[0]")
 
 
 def _test(text: Column, word: str) -> Column:
     """One keyword without its negation against one text; a missing or empty text is only empty."""
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    blank = F.coalesce(strip(text), F.lit("")) == ""
     numeric = _NUMERIC.fullmatch(word)
     if word == "=empty":
         return blank
@@ -114,7 +115,7 @@ def _test(text: Column, word: str) -> Column:
         return ~blank
     if numeric:
         # Guarded cast: only plain decimal text is a number.
-        number = F.when(F.trim(text).rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
+        number = F.when(strip(text).rlike(NUMBER_PATTERN), strip(text).try_cast("double"))
         hit = _COMPARE[numeric.group(1)](number, F.lit(float(numeric.group(2))))
     else:
         hit = F.contains(F.lower(text), F.lit(word)) & (text != "")
@@ -166,7 +167,7 @@ def compile_criteria(criteria: list[Criterion], overall: str = "AND", v: str = "
     """Criteria as one boolean Column over a parsed feed; lines that are not objects never match."""
     if overall not in ("AND", "OR"):
         raise ValueError(f"overall must be AND or OR, not {overall!r}")
-    is_record = F.col(v).isNotNull() & F.ltrim(F.col(raw)).startswith("{")
+    is_record = F.col(v).isNotNull() & strip(F.col(raw)).startswith("{")
     return is_record & F.coalesce(_combine([_criterion(c, v, raw) for c in criteria], overall), F.lit(False))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.sqltext import PLAIN_KEY, as_array, as_object, literal
+from feedloom.functions.text import strip
 from feedloom.functions.values import CONTAINER, STRING, leaf_text, number_text, scalar_text, scalar_type
 
 LEVELS = 5
@@ -265,7 +266,7 @@ def value_samples(df: DataFrame, key: str, v: str = "v", max_depth: int = MAX_DE
     return (
         found.filter(hit)
         .select(F.explode(parts).alias("value"))
-        .select(F.trim("value").alias("value"))
+        .select(strip(F.col("value")).alias("value"))
         .filter(F.col("value").isNotNull())
         .distinct()
     )

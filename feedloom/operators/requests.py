@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.dates import date_set, day_text, instant, span_days
 from feedloom.functions.ips import v4_cidr, v4_number, v4_text, v6_parts, v6_text
 from feedloom.functions.sqltext import as_object
-from feedloom.functions.text import has_ip, request_key
+from feedloom.functions.text import has_ip, request_key, strip
 from feedloom.operators.grouping import last_per_key
 
 # Members that may hold the date of a failed record, in order.
@@ -136,7 +136,7 @@ def skipped(df: DataFrame, done: DataFrame, ip: str = "IP", day: str = "Timestam
 
 def dates_per_ip(sheet: DataFrame, ip: str, stamp: str, seq: Column) -> DataFrame:
     """(ip, dates): date set of the last row per ip that names any date."""
-    rows = sheet.select(F.trim(F.col(ip).cast("string")).alias("ip"), date_set(stamp).alias("dates"), seq.alias("seq"))
+    rows = sheet.select(strip(F.col(ip).cast("string")).alias("ip"), date_set(stamp).alias("dates"), seq.alias("seq"))
     return last_per_key(rows.filter(F.size("dates") > 0), ["ip"], F.col("seq")).drop("seq")
 
 

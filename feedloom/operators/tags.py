@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import or_default
+from feedloom.functions.text import or_default, strip
 from feedloom.operators.grouping import last_per_key
 
 ADDED, REMOVED = "added", "removed"
@@ -16,7 +16,7 @@ def tag_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     sides = old.select("tag", F.lit(True).alias("o"), F.lit(False).alias("n")).unionByName(
         new.select("tag", F.lit(False).alias("o"), F.lit(True).alias("n"))
     )
-    seen = sides.filter(F.trim("tag") != "").groupBy("tag").agg(F.bool_or("o").alias("o"), F.bool_or("n").alias("n"))
+    seen = sides.filter(strip(F.col("tag")) != "").groupBy("tag").agg(F.bool_or("o").alias("o"), F.bool_or("n").alias("n"))
     change = F.when(F.col("o"), F.lit(REMOVED)).otherwise(F.lit(ADDED))
     return seen.filter(F.col("o") != F.col("n")).select("tag", change.alias("change"))
 

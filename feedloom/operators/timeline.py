@@ -193,8 +193,8 @@ def _target_key(target) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    """Text of a scalar without quotes, as it prints."""
-    return F.when(text.startswith('"'), F.try_parse_json(text).try_cast("string")).otherwise(text)
+    """Text of a scalar as it prints: no quotes, booleans in title case."""
+    return F.when(text.isin("true", "false"), F.initcap(text)).when(text.startswith('"'), F.try_parse_json(text).try_cast("string")).otherwise(text)
 
 
 def matches(value: Column, target) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import as_array, as_object
+from feedloom.functions.sqltext import as_array, as_object, stripped
+from feedloom.functions.text import strip
 
 DOCUMENT, JSONL, AUTO = "document", "jsonl", "auto"
 
@@ -49,7 +50,7 @@ def _position() -> list[Column]:
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Non-blank lines as (raw, file, block, line). Gzip is read natively; few splits are spread out."""
-    text = spark.read.text(path).select(F.trim("value").alias("raw"), *_position())
+    text = spark.read.text(path).select(strip(F.col("value")).alias("raw"), *_position())
     return spread(text.filter(F.col("raw") != ""))
 
 
@@ -87,7 +88,7 @@ def _multi_line_files(spark: SparkSession, path) -> list[str]:
     Files too large for one row cannot be documents; their size prunes them from this pass.
     """
     text = spark.read.text(path).filter(F.col("_metadata.file_size") < DOCUMENT_BYTES)
-    lines = text.select(F.trim("value").alias("raw"), *_position()).filter(F.col("raw") != "")
+    lines = text.select(strip(F.col("value")).alias("raw"), *_position()).filter(F.col("raw") != "")
     first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"))
     opened = first.filter(F.try_parse_json("head").isNull() & F.col("head").rlike(r"^[\[{]"))
     return [r.file for r in opened.select("file").collect()]
@@ -116,7 +117,7 @@ def read_documents(spark: SparkSession, path: str | list[str], format: str = AUT
         return by_line
     text = spark.read.text(whole_files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     doc = parsed(text, "value")
-    lines = "transform(filter(split(value, '\\\\R'), l -> trim(l) <> ''), l -> try_parse_json(trim(l)))"
+    lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> try_parse_json({stripped('l')}))"
     items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
     records = unwrapped(doc.select("file", items).filter("v is not null"), objects_only)
     records = records.select(
@@ -193,7 +194,7 @@ def ip_text(key: str | None = None, v: str = "v") -> Column:
         names = ", ".join(f"'{k}'" for k in IP_KEYS)
         found = f"map_values(map_filter({as_object(v)}, (k, x) -> lower(k) in ({names})))"
         value = F.expr(f"try_element_at({found}, 1)").try_cast("string")
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(strip(value), F.lit(""))
 
 
 def keyed_records(df: DataFrame, key: str | None = None) -> DataFrame:

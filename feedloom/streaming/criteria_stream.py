@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import strip
 from feedloom.operators.criteria import Criterion, filter_feed
 from feedloom.sources.feeds import parsed
 
@@ -17,7 +18,7 @@ def stream_feed(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(path).select(F.trim("value").alias("raw")).filter(F.col("raw") != "")
+    lines = reader.text(path).select(strip(F.col("value")).alias("raw")).filter(F.col("raw") != "")
     return parsed(lines).filter(F.col("v").isNotNull())
 
 
