@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.dates import date_set, day_text, instant, span_days
 from feedloom.functions.ips import v4_cidr, v4_number, v4_text, v6_parts, v6_text
 from feedloom.functions.sqltext import as_object
@@ -57,7 +58,7 @@ def map_columns_loosely(columns: list[str]) -> tuple[str, str]:
 def _spans(df: DataFrame, start: str, end: str) -> DataFrame:
     """Add _lo, _hi (ordered instants, one-sided dates filled in) and _days."""
     s, e = instant(start), instant(end)
-    rows = df.select("*", F.inline(F.array(F.struct(s.alias("_s"), e.alias("_e")))))
+    rows = df.select("*", bound(_s=s, _e=e))
     rows = rows.withColumns({"_lo": F.least("_s", "_e"), "_hi": F.greatest("_s", "_e")})
     return rows.withColumn("_days", span_days(F.col("_lo"), F.col("_hi")))
 
@@ -136,7 +137,7 @@ def skipped(df: DataFrame, done: DataFrame, ip: str = "IP", day: str = "Timestam
 
 def dates_per_ip(sheet: DataFrame, ip: str, stamp: str, seq: Column) -> DataFrame:
     """(ip, dates): date set of the last row per ip that names any date."""
-    rows = sheet.select(strip(F.col(ip).cast("string")).alias("ip"), date_set(stamp).alias("dates"), seq.alias("seq"))
+    rows = sheet.select(strip(F.col(ip).cast("string")).alias("ip"), seq.alias("seq"), bound(dates=date_set(stamp)))
     return last_per_key(rows.filter(F.size("dates") > 0), ["ip"], F.col("seq")).drop("seq")
 
 
@@ -174,11 +175,11 @@ def record_dates(df: DataFrame, v: str = "v") -> DataFrame:
     """
     names = [f"_stamp_{i}" for i in range(len(DATE_FIELDS))]
     members = f"transform_keys({as_object(v)}, (k, x) -> lower(k))"
-    rows = df.select("*", F.inline(F.array(F.struct(F.expr(members).alias("_members")))))
+    rows = df.select("*", bound(_members=F.expr(members)))
     for name, member in zip(names, DATE_FIELDS):
         found = f"map_values(map_filter(_members, (k, x) -> contains(k, '{member.lower()}')))"
         rows = rows.withColumn(name, F.expr(f"try_cast(try_element_at({found}, 1) as string)"))
-    rows = rows.withColumns({f"{n}_set": date_set(n) for n in names})
+    rows = rows.select("*", bound(**{f"{n}_set": date_set(n) for n in names}))
     usable = [F.when(F.size(f"{n}_set") > 0, F.col(f"{n}_set")) for n in names]
     return rows.withColumn("_days", F.coalesce(*usable)).drop("_members", *names, *[f"{n}_set" for n in names])
 

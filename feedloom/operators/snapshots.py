@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_object
 from feedloom.functions.text import percent
 from feedloom.functions.values import equality_key, has_data
@@ -53,7 +54,7 @@ def diff_records(old: DataFrame, new: DataFrame, key: str = "ip", ignore: list[s
         f"map_zip_with({members('old_v', ignore)}, {members('new_v', ignore)}, "
         "(k, a, b) -> struct(a as old, b as new))"
     )
-    rows = matched(old, new, key).select("*", F.inline(F.array(F.struct(pair.alias("pair")))))
+    rows = matched(old, new, key).select("*", bound(pair=pair))
     both = F.col("in_old") & F.col("in_new")
     differs = F.map_filter("pair", lambda k, p: equality_key(p["old"]) != equality_key(p["new"]))
     equal = F.map_filter("pair", lambda k, p: equality_key(p["old"]) == equality_key(p["new"]))

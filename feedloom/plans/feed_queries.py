@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.operators import lines, paths, profile
 from feedloom.operators.criteria import Criterion, compile_criteria, filter_feed
 from feedloom.plans.registry import Tables, query
@@ -13,8 +14,8 @@ from feedloom.sources.feeds import parsed, spread
 
 
 def as_feed(df: DataFrame, record: Column, *keep: str) -> DataFrame:
-    """Parsed feed whose lines are the records as JSON; `inline` keeps the text from being built twice."""
-    lines = spread(df).select(*keep, F.inline(F.array(F.struct(F.to_json(record).alias("raw")))))
+    """Parsed feed whose lines are the records as JSON; the text is built once."""
+    lines = spread(df).select(*keep, bound(raw=F.to_json(record)))
     return parsed(lines)
 
 
@@ -141,7 +142,7 @@ def fixed_line_queries(t: Tables) -> DataFrame:
     """Text patterns on compact JSON and their structured twins agree."""
     rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     record = F.struct(F.col("n_name").alias("country"), F.array("c_mktsegment").alias("services"))
-    feed = parsed(rows.select(F.inline(F.array(F.struct(F.to_json(record).alias("raw"))))))
+    feed = parsed(rows.select(bound(raw=F.to_json(record))))
     return feed.agg(
         F.count_if(F.col("raw").rlike('(?i)country":"NATION_1')).alias("country_raw"),
         F.count_if(lines.country_starts("NATION_1")).alias("country_keyed"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.operators import forensics, snapshots, tags, timeline
 from feedloom.operators.grouping import last_per_key
 from feedloom.plans.registry import Tables, query
@@ -25,7 +26,7 @@ def _k() -> Column:
 
 def _v(*columns: Column) -> Column:
     """Record as VARIANT; NULL members are left out."""
-    return F.parse_json(F.to_json(F.struct(*columns))).alias("v")
+    return bound(v=F.parse_json(F.to_json(F.struct(*columns))))
 
 
 def _ip(second: Column) -> Column:

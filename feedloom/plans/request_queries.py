@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.dates import date_set, instant, parse_span, span_column
 from feedloom.functions.ips import v4_text
 from feedloom.operators import enrich, requests, snapshots
@@ -150,7 +151,7 @@ from (select min(d) + cast(unnest(range(datediff('day', min(d), max(d)) + 1)) as
 def global_range_requests(t: Tables) -> DataFrame:
     """Every day of the range found in a sheet, asked for every customer."""
     days = requests.range_days(requests.global_range(_cells(t), "date"))
-    rows = requests.with_dates(t.customer.select("c_custkey"), days)
+    rows = requests.with_dates(spread(t.customer.select("c_custkey")), days)
     return rows.groupBy(F.date_format("dt", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -201,8 +202,8 @@ def cross_dates(t: Tables) -> DataFrame:
 
 def _context(t: Tables) -> DataFrame:
     """Context table: last event per user and day, and the last event per user as current state."""
-    record = F.parse_json(F.to_json(F.struct("event_id", "event_type", F.col("user_id").alias("ip")))).alias("v")
-    rows = t.events.select(F.col("user_id").cast("string").alias("ip"), F.to_date("ts").alias("dt"), "event_id", record)
+    record = bound(v=F.parse_json(F.to_json(F.struct("event_id", "event_type", F.col("user_id").alias("ip")))))
+    rows = spread(t.events).select(F.col("user_id").cast("string").alias("ip"), F.to_date("ts").alias("dt"), "event_id", record)
     daily = requests.last_per_key(rows, ["ip", "dt"], F.col("event_id")).drop("event_id")
     now = snapshots.latest_records(rows, F.col("event_id")).withColumn("dt", F.lit(None).cast("date"))
     return daily.unionByName(now)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_array, as_object, stripped
 from feedloom.functions.text import strip
 
@@ -21,12 +22,8 @@ IP_KEYS = ["ip", "ip_address", "ipaddress"]
 
 
 def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add the parsed record `v` (NULL where a line is not JSON).
-
-    `inline` keeps the parse below later filters; a plain projection would be pushed into them and
-    the line parsed again for every reference.
-    """
-    return df.select("*", F.inline(F.array(F.struct(F.try_parse_json(F.col(raw)).alias("v")))))
+    """Add the parsed record `v` (NULL where a line is not JSON), parsed once per line."""
+    return df.select("*", bound(v=F.try_parse_json(F.col(raw))))
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_object
 from feedloom.operators.paths import MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves
 
@@ -85,7 +86,7 @@ def wide(df: DataFrame, columns: list[str] | None = None, v: str = "v", max_dept
     # Names with too many readings come from the flattened record, bound once.
     if any(found is None for found in places.values()):
         pairs = f"transform({entries_sql(v, max_depth)}, e -> struct(e.path, {entry_text('e')}))"
-        read.append(F.inline(F.array(F.struct(F.expr(f"map_from_entries({pairs})").alias("_flat")))))
+        read.append(bound(_flat=F.expr(f"map_from_entries({pairs})")))
         text |= {c: F.try_element_at("_flat", F.lit(c)) for c, found in places.items() if found is None}
     # The reads form their own projection, so that each is done once per record.
     return rows.select(*keep, *read).select(*keep, *[text[c].alias(c) for c in columns])
