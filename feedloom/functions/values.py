@@ -18,7 +18,7 @@ NULL, BOOL, NUMBER, STRING, CONTAINER = "null", "bool", "number", "string", "jso
 EMPTY_TEXTS = ["null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"]
 
 # Nesting below a list that unordered comparison follows.
-MEMBER_DEPTH = 12
+MEMBER_DEPTH = 8
 
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -120,11 +120,11 @@ def _settled(x: str, depth: int) -> str:
     members = f"coalesce(map_entries({obj}), transform({arr}, y -> struct(cast(null as string) as key, y as value)))"
     name = f"coalesce(concat(to_json(cast({c}.key as variant)), ':'), '')"
     texts = f"transform({members}, {c} -> concat({name}, {_settled(f'{c}.value', depth - 1)}))"
-    return (
-        f"transform(array({texts}), {ts} -> case when {ts} is null then {scalar} "
-        f"when {obj} is not null then concat('{{', array_join({ts}, ','), '}}') "
-        f"else concat('[', array_join(array_sort({ts}), ','), ']') end)[0]"
+    container = (
+        f"transform(array({texts}), {ts} -> if({obj} is not null, concat('{{', array_join({ts}, ','), '}}'), "
+        f"concat('[', array_join(array_sort({ts}), ','), ']')))[0]"
     )
+    return f"if({obj} is null and {arr} is null, {scalar}, {container})"
 
 
 def list_members(text: str, depth: int = MEMBER_DEPTH) -> Column:

@@ -15,8 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# Skew handling and partition sizing are left to adaptive execution.
+# Skew handling and partition sizing are left to adaptive execution. Work on nested records is heavy
+# per byte, so small shuffles are not merged down to few tasks.
 ADAPTIVE_CONF = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128kb",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
