@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.dates import day_text
 from feedloom.functions.ips import v4_cidr, v4_network, v4_number
 from feedloom.functions.sqltext import as_array, as_object
@@ -38,7 +39,9 @@ def context_lookup(
     """
     day = F.col(dt) if today is None else F.when(F.col(dt) != today, F.col(dt))
     asked = requests.withColumn("_day", F.coalesce(day_text(day), F.lit(CURRENT)))
-    known = context.select(
+    # Only the days asked for are read: on a table partitioned by dt this prunes folders.
+    span = requests.agg(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
+    known = context.filter(F.col("dt").isNull() | F.col("dt").between(span["lo"], span["hi"])).select(
         F.col("ip").alias("_ip"), F.coalesce(day_text(F.col("dt")), F.lit(CURRENT)).alias("_known_day"), F.col("v"), F.lit(True).alias("_hit")
     )
     valid = has_ip(F.col(ip))
@@ -115,9 +118,9 @@ def longest_prefix(ips: DataFrame, prefixes: DataFrame, ip: str = "ip", prefix:
     (network, length): no range join. Addresses without a match are left out.
     """
     cidr = v4_cidr(F.col(prefix))
-    table = prefixes.withColumns({"_network": cidr["network"], "_length": cidr["length"]}).filter(F.col("_length").isNotNull())
+    table = prefixes.select("*", bound(_network=cidr["network"], _length=cidr["length"])).filter(F.col("_length").isNotNull())
     lengths = table.agg(F.collect_set("_length")).scalar()
-    tried = ips.select(ip).distinct().withColumn("_n", v4_number(F.col(ip))).filter(F.col("_n").isNotNull())
+    tried = ips.select(ip).distinct().select(ip, bound(_n=v4_number(F.col(ip)))).filter(F.col("_n").isNotNull())
     tried = tried.withColumn("_length", F.explode(lengths)).withColumn("_network", v4_network(F.col("_n"), F.col("_length")))
     rest = [c for c in prefixes.columns if c != ip]
     hits = tried.join(table, ["_network", "_length"])

@@ -208,9 +208,9 @@ def _networks(items: DataFrame, max_expand: int, on_large: str) -> DataFrame:
         raise ValueError("on_large must be raise, skip or expand")
     item = F.col("item")
     cidr = v4_cidr(item)
-    v4 = items.filter(~F.contains("item", F.lit(":"))).withColumns({
-        "lo": F.coalesce(cidr["network"], v4_number(item)), "length": F.coalesce(cidr["length"], F.lit(32)),
-    }).filter(F.col("lo").isNotNull())
+    lo, length = F.coalesce(cidr["network"], v4_number(item)), F.coalesce(cidr["length"], F.lit(32))
+    v4 = items.filter(~F.contains("item", F.lit(":"))).select("item", bound(lo=lo, length=length))
+    v4 = v4.filter(F.col("lo").isNotNull())
     v6 = items.filter(F.contains("item", F.lit(":"))).select("item", v6_parts("item").alias("p"))
     v6 = v6.filter("p.length is not null").select("item", "p.hi", "p.lo", F.col("p.length").alias("length"))
     v4, v6 = _sized(v4, 32, max_expand, on_large), _sized(v6, 128, max_expand, on_large)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +105,7 @@ def read_documents(spark: SparkSession, path: str | list[str], format: str = AUT
     paths = [path] if isinstance(path, str) else list(path)
     if format == JSONL or (format == AUTO and all(p.lower().endswith(LINE_SUFFIXES) for p in paths)):
         return unwrapped(read_feed(spark, paths), objects_only).select(columns)
-    whole_files = paths if format == DOCUMENT else _multi_line_files(spark, paths)
+    whole_files = [quote(p) for p in paths] if format == DOCUMENT else _multi_line_files(spark, paths)
     by_line = None
     if format == AUTO:
         by_line = unwrapped(read_feed(spark, paths), objects_only)
@@ -112,7 +114,8 @@ def read_documents(spark: SparkSession, path: str | list[str], format: str = AUT
         by_line = by_line.select(columns)
     if not whole_files:
         return by_line
-    text = spark.read.text(whole_files, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    # File names in metadata are URL-encoded, paths to read are not.
+    text = spark.read.text([unquote(f) for f in whole_files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     doc = parsed(text, "value")
     lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> try_parse_json({stripped('l')}))"
     items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
@@ -150,7 +153,7 @@ def read_tags(spark: SparkSession, path: str | list[str], objects_only: bool = F
         lines = lines.filter(~F.col("file").isin(whole))
     items = unwrapped(lines).select("raw", "v")
     if whole:
-        items = items.unionByName(read_documents(spark, whole, DOCUMENT).select("raw", "v"))
+        items = items.unionByName(read_documents(spark, [unquote(f) for f in whole], DOCUMENT).select("raw", "v"))
     if objects_only:
         items = items.filter(F.expr(f"{as_object('v')} is not null"))
     return items.select(tag_text("v", "raw").alias("tag")).filter(F.col("tag").isNotNull() & (F.col("tag") != ""))

@@ -180,6 +180,20 @@ def test_context_lookup(spark, records):
     assert (row.processed, row.success, row.failed, row.skipped, row.success_pct) == (5, 3, 2, 0, 60.0)
 
 
+def test_lookup_reads_only_the_days_asked_for(spark, records, tmp_path):
+    days = [date(2024, 1, n) for n in range(1, 6)]
+    rows = spark.createDataFrame([("a", d, "{}") for d in days] + [("a", None, '{"now":1}')], "ip string, dt date, raw string")
+    rows.select("ip", "dt", F.parse_json("raw").alias("v")).write.partitionBy("dt").parquet(str(tmp_path / "ctx"))
+    table = spark.read.parquet(str(tmp_path / "ctx"))
+    asked = spark.createDataFrame([("a", date(2024, 1, 2)), ("a", date(2024, 1, 3)), ("a", None)], "IP string, dt date")
+    found = enrich.context_lookup(asked, table)
+    assert [r.status for r in found.collect()] == ["ok"] * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(isnull(dt" in plan and "Subquery" in plan
+    only_now = enrich.context_lookup(asked.filter("dt is null"), table)
+    assert [r.status for r in only_now.collect()] == ["ok"]
+
+
 def test_networks(records, spark):
     reg = records(
         {"network": {"cidr": [{"value": "10.0.0.0/24"}, {"x": 1}, {"value": "10.0.0.0/16"}]}}, {"network": {"cidr": []}, "asn_cidr": "10.1.0.0/16"},

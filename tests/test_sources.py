@@ -45,6 +45,7 @@ def test_gzip(spark, tmp_path):
     ("lines.json", '{"a":1}\n[{"a":2},{"a":3}]\nbad\n', ['{"a":1}', '{"a":2}', '{"a":3}']),
     ("broken.json", '{"a":1\n{"a":2}\n', ['{"a":2}']),
     ("scalar.json", "7", ["7"]),
+    ("name with space & %41.json", '[\n{"a":1}\n]', ['{"a":1}']),
 ])
 def test_documents(spark, tmp_path, name, text, want):
     assert values(feeds.read_documents(spark, write(tmp_path / name, text))) == want
