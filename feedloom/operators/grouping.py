@@ -29,7 +29,8 @@ def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int,
     inner = Window.partitionBy(*groups, "part").orderBy(*order)
     outer = Window.partitionBy(*groups).orderBy(*order)
     cut = df.withColumn("part", part).withColumn("rank", F.row_number().over(inner)).filter(F.col("rank") <= n)
-    return cut.drop("part").withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= n)
+    best = cut.drop("part").withColumn("rank", F.row_number().over(outer)).filter(F.col("rank") <= n)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def duplicate_audit(df: DataFrame, key: str, digest: Column, seq: Column, chunk: list[Column]) -> DataFrame:

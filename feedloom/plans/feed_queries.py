@@ -271,3 +271,39 @@ def random_sample(t: Tables) -> DataFrame:
 def first_lines(t: Tables) -> DataFrame:
     rows = t.documents.select(F.explode(F.split("text", "\n")).alias("raw"))
     return sinks.line_count(lines.first_lines(rows, 500))
+
+
+@query(_PROFILE + """
+select path, observations, unique_values, rank, type, value, cnt as count, cnt::double / (select count(*) from events) * 100 as percent
+from ranked join totals using (path) where rank <= 3 and path in ('event_type', 'props.k', 'user_id')
+""")
+def json_profile_selected(t: Tables) -> DataFrame:
+    """Profile of the paths chosen by their position in the sorted path list."""
+    feed = event_feed(t)
+    return profile.profile(feed, top=3, paths=profile.pick_paths(feed, "2,4-5"))
+
+
+@query(_PROFILE + """
+select path as key, observations as total_occurrences, unique_values as unique_count, (select count(*) from events) as total_input_objects,
+  string_agg(value || '=' || cnt, ';' order by rank) as top_values
+from ranked join totals using (path) where rank <= 4 group by all
+""")
+def json_profile_summary(t: Tables) -> DataFrame:
+    """One summary record per path, its ranked values printed as one text."""
+    feed = event_feed(t)
+    records = profile.summary_records(profile.profile(feed, top=4), feed)
+    shown = F.transform("unique_values", lambda x: F.concat(x["value"], F.lit("="), x["count"]))
+    return records.select("key", "total_occurrences", "unique_count", "total_input_objects", F.array_join(shown, ";").alias("top_values"))
+
+
+@query("""
+with seen as (select 'text' as path, text as value from documents union all select 'lang', lang from documents union all select 'source', source from documents),
+counts as (select path, value, count(*) as cnt, case when length(value) > 30 then substr(value, 1, 30) || '...(truncated)' else value end as shown from seen group by all),
+ranked as (select *, row_number() over (partition by path order by cnt desc, shown, value) as rank from counts)
+select path, rank, shown as value, cnt as count, md5(value) as digest from ranked where rank <= 20
+""")
+def json_profile_truncated(t: Tables) -> DataFrame:
+    """Whole document texts counted, and shown cut to thirty characters."""
+    feed = as_feed(t.documents, F.struct("text", "lang", "source"))
+    full = profile.profile(feed, top=20, truncate=30, keep_full=True)
+    return full.select("path", "rank", "value", "count", F.md5("full_value").alias("digest"))

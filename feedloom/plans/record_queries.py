@@ -9,6 +9,7 @@ from feedloom.functions.bind import bound
 from feedloom.operators import forensics, snapshots, tags, timeline
 from feedloom.operators.grouping import last_per_key
 from feedloom.plans.registry import Tables, query
+from feedloom.sources import feeds
 from feedloom.sources.feeds import spread
 
 # Snapshot day between the historic and the current half of the events, as in a feed kept by date.
@@ -422,3 +423,53 @@ def presence_of_listed(t: Tables) -> DataFrame:
     """The same for a given list of keys, those without any match included."""
     listed = t.customer.select(F.col("c_custkey").alias("ip"))
     return timeline.presence_intervals(_daily_types(t), "client.types", "error", listed)
+
+
+@query(_HALVES + """
+select count(*) as pool, count(*) filter (where in_old and in_new) as shared, count(*) filter (where not in_new) as removed,
+  count(*) filter (where not in_old) as added from pair
+""")
+def key_sets(t: Tables) -> DataFrame:
+    """Union, intersection and both differences of the keys of two snapshots."""
+    rows = snapshots.matched(*_halves(t))
+    return rows.agg(
+        F.count("*").alias("pool"),
+        F.count_if(F.col("in_old") & F.col("in_new")).alias("shared"),
+        F.count_if(F.col("in_new").isNull()).alias("removed"),
+        F.count_if(F.col("in_old").isNull()).alias("added"),
+    )
+
+
+@query("""
+select l_returnflag, count(*) as n from lineitem where l_discount > 0.05 and l_quantity <> l_linenumber group by l_returnflag
+""")
+def unordered_list_diff(t: Tables) -> DataFrame:
+    """Lists of objects compared without order, at both levels; only a changed member counts."""
+    other = F.when(F.col("l_discount") > 0.05, F.col("l_quantity")).otherwise(F.col("l_linenumber").cast("double"))
+
+    def member(kind: str, n: Column, reverse: bool) -> Column:
+        pair = [F.lit(kind), F.lit("x")]
+        return F.struct(n.alias("n"), F.array(*(reversed(pair) if reverse else pair)).alias("tags"))
+
+    line = F.col("l_linenumber").cast("double")
+    old = F.array(member("a", line, False), member("b", F.lit(1.0), False))
+    new = F.array(member("b", F.lit(1.0), True), member("a", other, True))
+    rows = spread(t.lineitem).select(
+        "l_returnflag", bound(old_v=F.parse_json(F.to_json(F.struct(old.alias("l")))), new_v=F.parse_json(F.to_json(F.struct(new.alias("l")))))
+    )
+    return timeline.deep_diff(rows).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("""
+select cast(c_custkey as varchar) as ip, c_mktsegment from customer where c_mktsegment <> 'FURNITURE'
+""")
+def keyed_records(t: Tables) -> DataFrame:
+    """Records keyed by their ip member in any spelling; those without one are dropped."""
+    ip = F.concat(F.lit(" "), F.col("c_custkey"))
+    segment = F.col("c_mktsegment")
+    record = F.struct(
+        F.when(segment == "BUILDING", ip).alias("ip"), F.when(segment == "MACHINERY", ip).alias("IP_Address"),
+        F.when(~segment.isin("BUILDING", "MACHINERY", "FURNITURE"), ip).alias("IpAddress"), "c_mktsegment",
+    )
+    rows = t.customer.select("c_mktsegment", bound(v=F.parse_json(F.to_json(record))))
+    return feeds.keyed_records(rows).select("ip", "c_mktsegment")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.bind import bound
-from feedloom.functions.dates import date_set, instant, parse_span, span_column
+from feedloom.functions.dates import date_set, day_of, instant, parse_span, span_column
 from feedloom.functions.ips import v4_text
 from feedloom.operators import enrich, requests, snapshots
 from feedloom.plans.registry import Tables, query
@@ -348,7 +348,7 @@ def longest_prefix(t: Tables) -> DataFrame:
     length = F.when(F.col("p_size") > 25, 26).otherwise(20)
     number = F.lit(_TEN) + F.col("p_partkey") * 64
     network = number - F.pmod(number, F.when(F.col("p_size") > 25, 64).otherwise(4096))
-    pre = t.part.select(F.concat_ws("/", v4_text(network), length).alias("prefix"), "p_partkey", length.cast("bigint").alias("length"))
+    pre = t.part.select(F.concat_ws("/", v4_text(network), length).alias("prefix"), "p_partkey", length.alias("length"))
     one = pre.groupBy("prefix", "length").agg(F.min("p_partkey").alias("p_partkey"))
     ips = t.customer.select(_address("c_custkey", 37).alias("ip"))
     return enrich.longest_prefix(ips, one).select("ip", "p_partkey", "length")
@@ -388,3 +388,33 @@ def cidr_expand(t: Tables) -> DataFrame:
     items = t.part.select(F.concat(_address("p_partkey", 64), F.lit("/26")).alias("item"))
     ips = requests.normalise_ips(items)
     return ips.agg(F.count("*").alias("addresses"), F.min("ip").alias("least"), F.max("ip").alias("greatest"))
+
+
+@query("""
+select strftime(o_orderdate, '%Y%m') as month, count(*) as rows, count(*) filter (where o_orderstatus <> 'P') as valid from orders group by 1
+""")
+def valid_days(t: Tables) -> DataFrame:
+    """YYYYMMDD texts that are real days; status P is written with day 32."""
+    text = F.when(F.col("o_orderstatus") == "P", F.concat(_day("o_orderdate", "yyyyMM"), F.lit("32"))).otherwise(_day("o_orderdate"))
+    rows = t.orders.select(_day("o_orderdate", "yyyyMM").alias("month"), text.alias("day"))
+    return rows.groupBy("month").agg(F.count("*").alias("rows"), F.count_if(day_of(F.col("day")).isNotNull()).alias("valid"))
+
+
+@query("""
+select o_orderkey from orders where o_orderpriority[1] not in ('1', '2', '3')
+""")
+def valid_requests(t: Tables) -> DataFrame:
+    """Requests with an ip: missing, blank and `nan` cells are dropped."""
+    kind = F.substring("o_orderpriority", 1, 1)
+    ip = F.when(kind == "2", F.lit(" ")).when(kind == "3", F.lit("NaN")).when(kind != "1", F.col("o_custkey").cast("string"))
+    return requests.valid_requests(t.orders.select("o_orderkey", ip.alias("IP"))).select("o_orderkey")
+
+
+@query("""
+select count(*) filter (where event_type in ('view', 'error')) as undated from events
+""")
+def undated(t: Tables) -> DataFrame:
+    """Records that name no date that parses."""
+    stamp = F.when(F.col("event_type") == "error", F.lit("soon")).when(F.col("event_type") != "view", _day("ts"))
+    rows = spread(t.events).select("event_id", bound(v=F.parse_json(F.to_json(F.struct(stamp.alias("Timestamp"))))))
+    return requests.undated(rows)
