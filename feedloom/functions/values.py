@@ -23,11 +23,6 @@ MEMBER_DEPTH = 8
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
-def canonical(v: Column) -> Column:
-    """Canonical JSON text of a VARIANT; a missing value stays NULL."""
-    return F.when(v.isNotNull(), F.to_json(v))
-
-
 def kind(text: Column) -> Column:
     """Value type read off canonical text."""
     head = F.substring(text, 1, 1)

@@ -202,7 +202,7 @@ def queried_date(dt: Column) -> Column:
     return F.coalesce(day_text(dt), F.lit("Current"))
 
 
-def _networks(items: DataFrame, max_expand: int, on_large: str) -> DataFrame:
+def _networks(items: DataFrame, max_expand: int, on_large: str, distinct: bool) -> DataFrame:
     """Addresses of the items that are CIDRs or ips; all other items are left out."""
     if on_large not in ("raise", "skip", "expand"):
         raise ValueError("on_large must be raise, skip or expand")
@@ -214,9 +214,11 @@ def _networks(items: DataFrame, max_expand: int, on_large: str) -> DataFrame:
     v6 = items.filter(F.contains("item", F.lit(":"))).select("item", v6_parts("item").alias("p"))
     v6 = v6.filter("p.length is not null").select("item", "p.hi", "p.lo", F.col("p.length").alias("length"))
     v4, v6 = _sized(v4, 32, max_expand, on_large), _sized(v6, 128, max_expand, on_large)
-    v4 = _addresses(v4, ["item"], on_large).select(v4_text(F.col("lo")).alias("ip"))
-    v6 = _addresses(v6, ["item", "hi"], on_large).select(v6_text("hi", "lo").alias("ip"))
-    return v4.unionByName(v6)
+    v4, v6 = _addresses(v4, [], on_large), _addresses(v6, ["hi"], on_large)
+    if distinct:
+        # On numbers, which shuffle smaller than text.
+        v4, v6 = v4.distinct(), v6.distinct()
+    return v4.select(v4_text(F.col("lo")).alias("ip")).unionByName(v6.select(v6_text("hi", "lo").alias("ip")))
 
 
 def normalise_ips(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND, on_large: str = "raise") -> DataFrame:
@@ -226,7 +228,7 @@ def normalise_ips(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAN
     CIDRs of more than `max_expand` addresses: raise, skip or expand.
     """
     items = df.select(F.col(item).alias("item")).distinct()
-    return _networks(items, max_expand, on_large).distinct()
+    return _networks(items, max_expand, on_large, distinct=True)
 
 
 def expand_items(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND, on_large: str = "raise") -> DataFrame:
@@ -235,7 +237,7 @@ def expand_items(df: DataFrame, item: str = "item", max_expand: int = MAX_EXPAND
     text = F.col("item")
     v6 = v6_parts(F.when(F.contains("item", F.lit(":")) & F.contains("item", F.lit("/")), text))
     marked = items.select("item", (v4_cidr(text)["network"].isNotNull() | v6["length"].isNotNull()).alias("is_cidr"))
-    expanded = _networks(marked.filter("is_cidr").select("item"), max_expand, on_large)
+    expanded = _networks(marked.filter("is_cidr").select("item"), max_expand, on_large, distinct=False)
     return marked.filter("not is_cidr").select(text.alias("ip")).unionByName(expanded)
 
 

@@ -223,9 +223,6 @@ def value_samples(t: Tables) -> DataFrame:
     return paths.value_samples(line_feed(t), "tunnels_type")
 
 
-_WIDE = ["l_linenumber", "l_orderkey", "tunnels_0_n", "tunnels_0_type", "tunnels_1_n", "tunnels_1_type"]
-
-
 @query("""
 select cast(l_linenumber as varchar) as l_linenumber, cast(l_orderkey as varchar) as l_orderkey,
   cast(cast(l_quantity as bigint) as varchar) as tunnels_0_n, l_returnflag as tunnels_0_type,
