@@ -105,7 +105,8 @@ class WordEncoder:
         young, old = self.young, self.old
         parts: dict[bytes, tuple[bytes, ...]] = {}
         need: set[bytes] = set()
-        for word in set().union(*split):
+        distinct = set().union(*split)
+        for word in distinct:
             if word not in young:
                 parts[word] = pieces = self._parts(word)
                 need.update(pieces)
@@ -121,11 +122,9 @@ class WordEncoder:
                 known[piece] = ids
         if missing:
             known |= self._learn(missing)
-        local = {word: b"".join([known[p] for p in pieces]) for word, pieces in parts.items()}
-        out = []
-        for words in split:
-            out.append(b"".join([local[w] if w in local else young[w] for w in words]))
-        return out
+        ids_of = {word: b"".join([known[p] for p in pieces]) for word, pieces in parts.items()}
+        ids_of |= {word: young[word] for word in distinct if word not in ids_of}
+        return [b"".join(map(ids_of.__getitem__, words)) for words in split]
 
 
 @lru_cache(maxsize=4)
