@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import tokenfiles
+from feedloom.llm import fingerprints, tokenfiles
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,18 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with the likeness to the edit and to the next document."""
+    docs = fingerprints.with_edits(table(spark, folder, "documents"))
+    return docs.select(
+        "doc_id",
+        F.char_length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_hex(F.col("print")).alias("fingerprint"),
+        fingerprints.as_hex(F.col("edited_print")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        F.coalesce(fingerprints.likeness(F.col("print"), F.col("next_print")), F.lit(0.0)).alias("near_next"),
+    )
