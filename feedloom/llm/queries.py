@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import fingerprints, tokenfiles
+from feedloom.llm import decontam, fingerprints, tokenfiles
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,52 @@ def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
         F.coalesce(fingerprints.likeness(F.col("print"), F.col("next_print")), F.lit(0.0)).alias("near_next"),
     )
+
+
+def contaminated(n_hit, n_words):
+    """More than a stray hit: at least a twentieth of the words."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 13 words found in all documents, the words they cover and their items."""
+    found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+ORACLE["op5_decontamination"] = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+    SELECT item_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+    SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 13
+        THEN list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))
+        ELSE [array_to_string(w, ' ')] END) AS t, least(len(w), 13) AS k
+    FROM b WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT k FROM win), spot AS (
+    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k
+), hit AS (
+    SELECT s.doc_id, s.i, s.k, n.item_id FROM spot s JOIN win n
+    ON n.k = s.k AND n.t = array_to_string(s.w[s.i:s.i + s.k - 1], ' ')
+), words AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit
+    FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, i, k FROM hit)) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
