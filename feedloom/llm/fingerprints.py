@@ -29,7 +29,7 @@ FRAGMENT_PATTERN = f"[^.!?,;|\\n]{{1,{FRAGMENT}}}"
 _FOUR = sum(1 << 16 * k for k in range(4))
 COUNTED = 2**16 - 1
 # Documents of one bucket are neighbours in id order; the number of buckets bounds what is broadcast.
-BUCKET_DOCUMENTS = 4096
+BUCKET_DOCUMENTS = 1024
 MAX_BUCKETS = 65536
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontam, fingerprints, tokenfiles
+from feedloom.llm import decontam, fingerprints, neardup, tokenfiles
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles overlap by 0.75 or more."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+ORACLE["op2_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5
+        THEN list_transform(range(1, len(w) - 3), lambda i: md5_number(array_to_string(w[i:i + 4], ' ')))
+        WHEN len(w) > 0 THEN [md5_number(array_to_string(w, ' '))] ELSE [] END) AS s FROM w
+), e AS MATERIALIZED (SELECT doc_id, unnest(s) AS h FROM s),
+p AS MATERIALIZED (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+    SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+    WHERE 100 * shared >= 75 * (len(x.s) + len(y.s) - shared)
+), ends AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (
+    SELECT doc_id, doc_id AS far FROM s UNION SELECT r.doc_id, ends.b FROM reach r JOIN ends ON ends.a = r.far
+), low AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN low USING (doc_id)
+"""
