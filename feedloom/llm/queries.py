@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import decontam, fingerprints, neardup, tokenfiles
+from feedloom.llm import crf, decontam, fingerprints, neardup, tokenfiles
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,13 @@ reach AS (
 SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
 FROM s JOIN low USING (doc_id)
 """
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents by a line-level conditional random field."""
+    docs = table(spark, folder, "documents")
+    model = crf.train(docs, table(spark, folder, "labels"))
+    return crf.scores(docs, model).select(
+        "doc_id", crf.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
