@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import crf, decontam, fingerprints, neardup, tokenfiles
+from feedloom.llm import crf, decontam, fingerprints, neardup, tokenfiles, urlfilter
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,14 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return crf.scores(docs, model).select(
         "doc_id", crf.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+URL_RULES = (
+    ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
+)
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urlfilter.judge_urls(table(spark, folder, "pages"), URL_RULES)
