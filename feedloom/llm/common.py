@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # A batch handed to Python holds at most this much text, however long the documents are.
 BATCH_CONF = {
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 

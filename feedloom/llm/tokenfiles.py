@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import id_and_text, partitions_for, prepare
 
 NO_ID = -(2**63)
-# Words kept per generation of a worker's cache: two generations, some 40 MB each.
-CACHE_WORDS = 200_000
+# Words kept per generation of a worker's table: two generations, some 70 MB each.
+CACHE_WORDS = 400_000
 TAIL = b".,!?;:|"
 
 
@@ -55,14 +55,9 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype(f"<u{width}")
-        self.young: dict[bytes, bytes] = {}
+        self.table: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _store(self, word: bytes, ids: bytes) -> None:
-        if len(self.young) >= CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = ids
-
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Encode new words: plain Latin words in one text, told apart by their word numbers, others one by one."""
         plain, other = [], []
@@ -83,8 +78,6 @@ class WordEncoder:
         if other:
             for text, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
                 found[text.encode()] = np.array(code.ids, self.kind).tobytes()
-        for word, ids in found.items():
-            self._store(word, ids)
         return found
 
     @staticmethod
@@ -96,35 +89,39 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the file's width."""
-        split = []
-        for text in texts:
-            data = text.encode()
-            # A special token is matched in its own case, before the normalizer.
-            words = (data if b"<|" in data else data.lower()).split()
-            split.append(words)
-        young, old = self.young, self.old
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        need: set[bytes] = set()
-        distinct = set().union(*split)
-        for word in distinct:
-            if word not in young:
-                parts[word] = pieces = self._parts(word)
-                need.update(pieces)
+        # A special token is matched in its own case, before the normalizer.
+        data = [text.encode() for text in texts]
+        split = [(x if b"<|" in x else x.lower()).split() for x in data]
+        if len(self.table) > CACHE_WORDS:
+            self.old, self.table = self.table, {}
+        table, old = self.table, self.old
+        out = [list(map(table.get, words)) for words in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in out]
+        new: dict[bytes, tuple[bytes, ...]] = {}
         known: dict[bytes, bytes] = {}
-        missing = set()
-        for piece in need:
-            ids = young.get(piece)
-            if ids is None and (ids := old.get(piece)) is not None:
-                self._store(piece, ids)
-            if ids is None:
-                missing.add(piece)
-            else:
+        for words, places in zip(split, gaps):
+            for i in places:
+                word = words[i]
+                if word not in new and word not in known:
+                    ids = old.get(word)
+                    if ids is None:
+                        new[word] = self._parts(word)
+                    else:
+                        known[word] = ids
+        pieces = set().union(*new.values())
+        for piece in pieces.difference(known):
+            ids = table.get(piece) or old.get(piece)
+            if ids is not None:
                 known[piece] = ids
-        if missing:
-            known |= self._learn(missing)
-        ids_of = {word: b"".join([known[p] for p in pieces]) for word, pieces in parts.items()}
-        ids_of |= {word: young[word] for word in distinct if word not in ids_of}
-        return [b"".join(map(ids_of.__getitem__, words)) for words in split]
+        known |= self._learn(pieces.difference(known))
+        for word, parts in new.items():
+            if len(parts) > 1:
+                known[word] = b"".join([known[p] for p in parts])
+        table.update(known)
+        for words, row, places in zip(split, out, gaps):
+            for i in places:
+                row[i] = known[words[i]]
+        return [b"".join(row) for row in out]
 
 
 @lru_cache(maxsize=4)
