@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import crf, decontam, fingerprints, neardup, tokenfiles, urlfilter
+from feedloom.llm import crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ URL_RULES = (
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return urlfilter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+@query
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
