@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter
+from feedloom.llm import crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter, warc
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,21 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
     return extract.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    archives = new_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_pages(spark, archives).drop("payload")
+
+
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT html, max(page_id) AS holder FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+    CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM p LEFT JOIN h ON p.html = h.html
+"""
