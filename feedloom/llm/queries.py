@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter, warc
+from feedloom.llm import bpe, crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter, warc
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,18 @@ SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
     CASE WHEN page_id < holder THEN holder END AS refers_to
 FROM p LEFT JOIN h ON p.html = h.html
 """
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """Digests of the ids and of the decoded texts."""
+    found = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return encoded(table(spark, folder, "documents"))

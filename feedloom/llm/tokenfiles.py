@@ -83,7 +83,7 @@ class WordEncoder:
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and core.decode()[-1].isalpha():
+        if core and len(core) < len(word) and core.decode()[-1].lower()[-1].isalpha():
             return core, word[len(core) :]
         return (word,)
 
