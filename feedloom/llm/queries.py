@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, crf, decontam, extract, fingerprints, neardup, tokenfiles, urlfilter, warc
+from feedloom.llm import bpe, crf, decontam, extract, fingerprints, neardup, suffixdedup, tokenfiles, urlfilter, warc
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,13 @@ def encoded(docs: DataFrame) -> DataFrame:
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """All documents encoded and decoded."""
     return encoded(table(spark, folder, "documents"))
+
+
+@query
+def op9_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start twice or more."""
+    found = suffixdedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
