@@ -57,3 +57,8 @@ def partitions_for(spark: SparkSession) -> int:
 def ascii_lower(column: Column) -> Column:
     """Lower case of A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def broadcast_below(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A stored table of a few numbers per row, marked for broadcast if it has at most `rows` rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

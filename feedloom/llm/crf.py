@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,14 +220,17 @@ def train(
     return fit(parsed, [r["label"] for r in rows])
 
 
-def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row, from its whole text. A null text counts as the empty text, which is one empty line."""
+def with_score(docs: DataFrame, model: Model, name: str = "score", text_col: str = "text") -> DataFrame:
+    """Add the probability of label 1 of every whole text. A null text counts as the empty text, which is one empty line."""
     prepare(docs.sparkSession)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [score(text, model) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
+    @F.pandas_udf("double")
+    def judge(texts: pd.Series) -> pd.Series:
+        return pd.Series([score(text or "", model) for text in texts], dtype="float64")
+
+    return docs.withColumn(name, judge(F.col(text_col)))
 
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for every row; other columns are left behind."""
+    return with_score(id_and_text(docs, id_col, text_col), model).select("doc_id", "score")

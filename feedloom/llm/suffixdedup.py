@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -362,6 +363,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
+_SPAN_TYPE = "array<struct<start:bigint,end:bigint>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -381,7 +383,33 @@ def _merged(spans: DataFrame) -> DataFrame:
                 out.append(runs)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _SPANS)], ["k1", "k2", "spans"])
 
-    return spans.mapInArrow(merge, "k1 bigint, k2 bigint, spans array<struct<start:bigint,end:bigint>>")
+    return spans.mapInArrow(merge, f"k1 bigint, k2 bigint, spans {_SPAN_TYPE}")
+
+
+def _text_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with the column `_spans`: the merged spans to remove from each row's text, null where there are none."""
+    keys = {"_k1": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), "_k2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit(1))}
+    rows = docs.withColumns(keys)
+    copies = (
+        rows.filter(F.octet_length(text_col) >= LENGTH).groupBy("_k1", "_k2")
+        .agg(F.count("*").alias("n"), F.max(F.octet_length(text_col)).alias("bytes")).filter("n > 1")
+        .select("_k1", "_k2", F.lit(0).cast("bigint").alias("start"), F.col("bytes").cast("bigint").alias("end"))
+    )
+    texts = rows.select("doc_id", F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spans = stored(_merged(
+        repeated_spans(texts).union(copies).distinct().groupBy("k1", "k2")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # bounded by the length of the text
+    ), "spans")
+    named = _bounded(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")), "_spans")
+    return rows.join(named, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+
+
+def _without(text: str, spans: list | None) -> bytes:
+    data, at, parts = text.encode(), 0, []
+    for run in spans if spans is not None else ():
+        parts.append(data[at : run["start"]])
+        at = run["end"]
+    return b"".join(parts) + data[at:]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,35 +418,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty. Texts shorter than LENGTH keep everything. Copies of a text remove each other as a whole, rows that share
     an id included. `kept` is binary: a cut can split a character.
     """
-    spark = prepare(docs.sparkSession)
-    rows = id_and_text(docs, id_col, text_col).select(
-        "doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")
-    )
-    copies = (
-        rows.filter(F.octet_length("text") >= LENGTH).groupBy("k1", "k2")
-        .agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes")).filter("n > 1")
-        .select("k1", "k2", F.lit(0).cast("bigint").alias("start"), F.col("bytes").cast("bigint").alias("end"))
-    )
-    spans = stored(_merged(
-        repeated_spans(rows).union(copies).distinct().groupBy("k1", "k2")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))  # bounded by the length of the text
-    ), "spans")
+    prepare(docs.sparkSession)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, found = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sizes, kept = [], []
-            for text, own in zip(texts, found):
-                data, at, parts = text.encode(), 0, []
-                for run in own or ():
-                    parts.append(data[at : run["start"]])
-                    at = run["end"]
-                sizes.append(len(data)), kept.append(b"".join(parts) + data[at:])
-            yield pa.RecordBatch.from_arrays([
-                ids, pa.array(sizes, pa.int64()), pa.array([own or [] for own in found], _SPANS), pa.array(kept, pa.binary()),
-            ], ["doc_id", "n_bytes", "spans", "kept"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.join(_bounded(spans, "spans"), ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(
-        remove, f"doc_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    @F.pandas_udf("binary")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([_without(t, s) for t, s in zip(texts, spans)], dtype="object")
+
+    rows = _text_spans(id_and_text(docs, id_col, text_col), "text")
+    return rows.select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"),
+        F.coalesce("_spans", F.array().cast(_SPAN_TYPE)).alias("spans"), kept("text", "_spans").alias("kept"),
     )
+
+
+def with_kept_text(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """`docs` with the repeated bytes removed from its text and the new number of characters; needs the column doc_id. Halves of
+    characters at a cut are dropped; a null text stays null with no characters."""
+    prepare(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else _without(t, s).decode("utf-8", "ignore") for t, s in zip(texts, spans)], dtype="object")
+
+    rows = _text_spans(docs, text_col)
+    new = rows.withColumn("_cut", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept(text_col, "_spans")))
+    new = new.drop(text_col, "_spans").withColumnRenamed("_cut", text_col)
+    length = F.coalesce(F.char_length(text_col), F.lit(0)).cast("bigint")
+    return new.withColumn(chars_col, length).select(docs.columns)
