@@ -8,9 +8,12 @@ three rounds, each checked exactly on the full sets and each followed by compone
 
 1. every node with the most connected head among its buckets;
 2. every node with the head of each bucket in which it and the head still are in different components;
-3. the rest, exactly: within each bucket the pairs of nodes that still are in different components.
+3. the rest, exactly: nodes of buckets that still hold several components, by a prefix-filtered set join. Shingles are ordered by
+   rarity; two sets that overlap enough share one of their rarest quarter, and its place in both bounds the overlap. For each
+   shingle only nodes outside its largest component look for partners, and only in other components.
 
-A large group of near copies is one component after the first two rounds, so the third sees only what is left between groups.
+A large group of near copies is one component after the first two rounds. What is left shares common passages but differs in too
+many rare shingles, and the bounds rule most of its pairs out before they are made.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_and_text, prepare, stored
@@ -98,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands = _mix((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 keys.append(blake2b(s.tobytes(), digest_size=16).digest())
                 buckets.append(bands.view(np.int64))
-                short.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+                short.append((_mix(low) & np.uint64(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "text_key": batch.column(1),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
@@ -145,6 +148,56 @@ def _linked(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
 
 
+def _shingle_rows(nodes: DataFrame) -> DataFrame:
+    """(node, own, node_group, size, shingle) of all shingles; `own` tells several sets of one node apart."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, group, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2).to_pylist())):
+                own = int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                same = lambda x: pa.array(np.full(len(s), x, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [same(node), same(own), same(group), same(len(s)), pa.array(s.view(np.int64))],
+                    ["node", "own", "node_group", "size", "shingle"],
+                )
+
+    return nodes.select("node", "node_group", "text").mapInArrow(
+        explode, "node bigint, own bigint, node_group bigint, size bigint, shingle bigint"
+    )
+
+
+def prefix_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, node_group, text) in different groups that a prefix filter leaves; none that overlaps enough is
+    lost."""
+    rows = stored(_shingle_rows(nodes), "shingles")
+    rarity = stored(
+        rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("node_group").alias("low"), F.max("node_group").alias("high")),
+        "shingle-rarity",
+    )
+    place = F.row_number().over(Window.partitionBy("node", "own").orderBy("df", "shingle")) - 1
+    needed = F.ceil(F.col("size") * SIMILARITY_PERCENT / 100)
+    prefix = stored(
+        rows.join(rarity, "shingle").withColumn("place", place)
+        .filter((F.col("place") <= F.col("size") - needed) & (F.col("low") != F.col("high"))).drop("df", "low", "high", "own"),
+        "prefixes",
+    )
+    largest = stored(
+        prefix.groupBy("shingle", "node_group").agg(F.count("*").alias("n"))
+        .groupBy("shingle").agg(F.max(F.struct("n", "node_group")).alias("m")).select("shingle", F.col("m.node_group").alias("largest")),
+        "largest-groups",
+    )
+    seekers = stored(prefix.join(largest, "shingle").filter("node_group <> largest").drop("largest"), "seekers")
+    one, two = (df.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "node_group", "size", "place")))
+                for df, s in ((seekers, "a"), (prefix, "b")))
+    # What both sets have from the shared shingle on is the most they can share.
+    rest = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    enough = (100 + SIMILARITY_PERCENT) * rest >= SIMILARITY_PERCENT * (F.col("size_a") + F.col("size_b"))
+    return (
+        one.join(two, "shingle").filter((F.col("node_group_a") != F.col("node_group_b")) & enough)
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    )
+
+
 class _Checker:
     """Checks candidate pairs, first by signature and then on the full sets."""
 
@@ -236,16 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("low <> high").select("bucket"),
         "mixed-buckets",
     )
-    left = members.join(mixed, "bucket").select("bucket", "node", "head", "n_shingles", "node_group")
-    one, two = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in left.columns[1:])) for s in "ab")
-    rest = (
-        one.join(two, "bucket")
-        .filter("node_group_a <> node_group_b and node_a < node_b and node_a <> head_a and node_b <> head_b")
-        .filter(
-            (100 * F.least("n_shingles_a", "n_shingles_b") >= SIMILARITY_PERCENT * F.greatest("n_shingles_a", "n_shingles_b"))
-        )
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    )
+    left = stored(members.join(mixed, "bucket").select("node", "node_group").distinct(), "left-nodes")
+    rest = prefix_pairs(left.join(pool, "node"))
     links = links.union(checker.links(rest, "third"))
 
     found = stored(components(links), "components")
