@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.common import id_and_text, partitions_for, prepare
 
 NO_ID = -(2**63)
-# Words kept per generation of a worker's table: two generations, some 70 MB each.
-CACHE_WORDS = 400_000
+# Words kept per generation of a worker's table: two generations, some 30 MB each.
+CACHE_WORDS = 150_000
 TAIL = b".,!?;:|"
 
 
