@@ -27,7 +27,7 @@ FRAGMENT_PATTERN = f"[^.!?,;|\\n]{{1,{FRAGMENT}}}"
 # Four 16-bit counters in one number, for bits j, j + 16, j + 32 and j + 48 of a hash. They hold COUNTED fragments; longer
 # texts are counted in chunks of that many.
 _FOUR = sum(1 << 16 * k for k in range(4))
-COUNTED = 2**16 - 1
+COUNTED = 2**15 - 1
 # Documents of one bucket are neighbours in id order; the number of buckets bounds what is broadcast.
 BUCKET_DOCUMENTS = 1024
 MAX_BUCKETS = 65536
