@@ -29,6 +29,20 @@ def stripped(text: str) -> str:
     return f"btrim({text}, {literal(BLANKS)})"
 
 
+# Closes the list that a line is parsed in. A line that closes the list itself leaves something else in its place.
+LINE_END = "feedloom:end of line"
+
+
+def strict_json(text: str) -> str:
+    """SQL text: VARIANT of a text that is one JSON value and nothing else, else NULL.
+
+    The parser stops after the first value, so the text is parsed as the first of two members of a list.
+    """
+    listed = f"try_parse_json(concat('[', {text}, ',\"{LINE_END}\"]'))"
+    whole = f"try_variant_get(x, '$[1]', 'string') = '{LINE_END}' and try_variant_get(x, '$[2]', 'variant') is null"
+    return f"transform(array({listed}), x -> if({whole}, try_variant_get(x, '$[0]', 'variant'), null))[0]"
+
+
 def as_object(source: str) -> str:
     return f"try_cast({source} as {OBJECT_T})"
 

@@ -128,4 +128,8 @@ def list_members(text: str, depth: int = MEMBER_DEPTH) -> Column:
     Order is kept, lists inside the members are sorted; members nested deeper than `depth` raise.
     """
     members = as_array(f"try_parse_json(if(startswith({text}, '['), {text}, null))")
-    return F.expr(f"transform({members}, m -> {_settled('m', depth)})")
+    # Without another bracket after the first there are scalars only, and nothing inside them to settle.
+    flat = f"not substring({text}, 2) rlike '[\\\\[{{]'"
+    return F.expr(
+        f"if({flat}, transform({members}, m -> {_settled('m', 0)}), transform({members}, m -> {_settled('m', depth)}))"
+    )

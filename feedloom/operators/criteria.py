@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field as dc_field
 from functools import partial, reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +76,15 @@ def _keyed_value(key: str, v: str) -> Column:
         hits = f"filter({subtree_sql(_roots(key, v), on_path)}, h -> h.path = {literal(key)})"
         texts = f"transform({hits}, h -> {entry_text('h')})"
     else:
-        plain = [direct_leaf(v, p)[0] for p in places if p.endswith('"]')]
-        texts = f"transform(array({', '.join(plain)}), x -> {checked_text('x', 'null', False)})"
-        members = [checked_text(*direct_leaf(v, p), True) for p in places if not p.endswith('"]')]
-        if members:
-            texts = f"concat({texts}, array({', '.join(members)}))"
+        # In member order, so that the last reading present is the one that counts.
+        texts = []
+        for member, run in groupby(places, lambda p: not p.endswith('"]')):
+            if member:
+                texts.append(f"array({', '.join(checked_text(*direct_leaf(v, p), True) for p in run)})")
+            else:
+                plain = ", ".join(direct_leaf(v, p)[0] for p in run)
+                texts.append(f"transform(array({plain}), x -> {checked_text('x', 'null', False)})")
+        texts = texts[0] if len(texts) == 1 else f"concat({', '.join(texts)})"
     texts = f"filter(transform({texts}, t -> lower({stripped('t')})), t -> t not in ({_ABSENT_SQL}))"
     return F.expr(f"try_element_at({texts}, -1)")
 

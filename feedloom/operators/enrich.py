@@ -124,5 +124,6 @@ def longest_prefix(ips: DataFrame, prefixes: DataFrame, ip: str = "ip", prefix:
     tried = tried.withColumn("_length", F.explode(lengths)).withColumn("_network", v4_network(F.col("_n"), F.col("_length")))
     rest = [c for c in prefixes.columns if c != ip]
     hits = tried.join(table, ["_network", "_length"])
-    best = hits.groupBy(ip).agg(F.max_by(F.struct(*rest), F.col("_length")).alias("r"))
+    # Rows with the same prefix are told apart by their own values; the least counts.
+    best = hits.groupBy(ip).agg(F.min(F.struct((-F.col("_length")).alias("_rank"), *rest)).alias("r"))
     return best.select(ip, *[F.col("r")[c].alias(c) for c in rest])

@@ -34,9 +34,12 @@ def only_service(name: str, v: str = "v") -> Column:
     return (F.size(services) == 1) & (F.upper(F.get(services, 0)) == name.upper())
 
 
-def first_lines(df: DataFrame, n: int = 500_000) -> DataFrame:
-    """First `n` lines of the scan, the sample used to discover keys and values."""
-    return df.limit(n)
+def first_lines(df: DataFrame, n: int = 500_000, order: list[str] | None = None) -> DataFrame:
+    """First `n` lines by file position (or by the given columns), the sample used to discover keys and values.
+
+    Each task keeps at most `n` lines before they meet.
+    """
+    return df.orderBy(*(order or ["file", "block", "line"])).limit(n)
 
 
 def random_lines(df: DataFrame, n: int = 10_000, seed: int | None = None) -> DataFrame:

@@ -134,7 +134,14 @@ def candidate_paths(key: str, limit: int = 32) -> list[str] | None:
         found = grown
         if len(found) > limit:
             return None
-    return ["$" + "".join(f"[{s}]" if isinstance(s, int) else f'["{s}"]' for s in steps) for steps in found]
+    places = ["$" + "".join(f"[{s}]" if isinstance(s, int) else f'["{s}"]' for s in steps) for steps in found]
+    return sorted(places, key=reading_order)
+
+
+def reading_order(place: str) -> list[tuple]:
+    """Sort key of a VARIANT path: the order in which a record with its members in name order is read."""
+    steps = re.findall(r'\["([^"]*)"\]|\[(\d+)\]', place)
+    return [(1, 0, name) if name else (0, int(index or 0), "") for name, index in steps]
 
 
 def direct_leaf(v: str, path: str) -> tuple[str, str]:

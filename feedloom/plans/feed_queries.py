@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from feedloom.functions.bind import bound
 from feedloom.operators import lines, paths, profile
 from feedloom.operators.criteria import Criterion, compile_criteria, filter_feed
-from feedloom.plans.registry import Tables, query
+from feedloom.plans.registry import Tables, fanned, query
 from feedloom.sources import sinks
-from feedloom.sources.feeds import parsed, spread
+from feedloom.sources.feeds import parsed, tag_text
 
 
 def as_feed(df: DataFrame, record: Column, *keep: str) -> DataFrame:
     """Parsed feed whose lines are the records as JSON; the text is built once."""
-    lines = spread(df).select(*keep, bound(raw=F.to_json(record)))
+    lines = fanned(df).select(*keep, bound(raw=F.to_json(record)))
     return parsed(lines)
 
 
@@ -115,7 +115,7 @@ from (select lang, unnest(string_split(text, chr(10))) as line from documents) g
 """)
 def line_regex_count(t: Tables) -> DataFrame:
     """Lines of all documents that match fixed patterns, letter case ignored."""
-    rows = spread(t.documents.select("lang", "text")).select("lang", F.explode(F.split("text", "\n")).alias("raw"))
+    rows = fanned(t.documents.select("lang", "text")).select("lang", F.explode(F.split("text", "\n")).alias("raw"))
     hit = {"malicious": lines.MALICIOUS, "license": "license|copyright"}
     counts = [F.count_if(F.col("raw").rlike(f"(?i){p}")).alias(n) for n, p in hit.items()]
     return rows.groupBy("lang").agg(F.count("*").alias("lines"), *counts)
@@ -126,7 +126,7 @@ select doc_id, length(line) as chars from (select doc_id, unnest(string_split(te
 where regexp_matches(line, '(?i)license|copyright')
 """)
 def line_regex_filter(t: Tables) -> DataFrame:
-    rows = spread(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
+    rows = fanned(t.documents.select("doc_id", "text")).select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
     hits = lines.line_filter(rows, "license|copyright")
     return hits.select("doc_id", F.length("raw").cast("bigint").alias("chars"))
 
@@ -264,10 +264,66 @@ def random_sample(t: Tables) -> DataFrame:
     return lines.random_lines(t.documents.select("doc_id", "lang"), 100, seed=7)
 
 
-@query("select least(count(*), 500) as lines from (select unnest(string_split(text, chr(10))) from documents)")
+@query("""
+select doc_id, n, md5(line) as digest
+from (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents)
+order by doc_id, n limit 500
+""")
 def first_lines(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.explode(F.split("text", "\n")).alias("raw"))
-    return sinks.line_count(lines.first_lines(rows, 500))
+    """The first lines in document order, by their content."""
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    rows = rows.select("doc_id", (F.col("n") + 1).cast("bigint").alias("n"), "raw")
+    return lines.first_lines(rows, 500, ["doc_id", "n"]).select("doc_id", "n", F.md5("raw").alias("digest"))
+
+
+def _broken(record: str, n: str) -> str:
+    """SQL text: a line that is whole for a remainder of 0 and has something beside one JSON value for all others."""
+    return (
+        f"case {n} % 6 when 0 then {record} when 1 then {record} || ' xyz' when 2 then {record} || {record} "
+        f"when 3 then {record} || ',' when 4 then cast({n} as string) || ' monkeys' else 'true ' || {record} end"
+    )
+
+
+@query("""
+select event_type, count(*) as lines, count(*) filter (where event_id % 6 = 0) as records, count(*) filter (where event_id % 6 <> 0) as malformed
+from events group by event_type
+""")
+def malformed_line_counts(t: Tables) -> DataFrame:
+    """Lines with something before, after or instead of their one JSON value are no records."""
+    raw = F.expr(_broken("to_json(struct(event_id, event_type))", "event_id"))
+    rows = parsed(fanned(t.events).select("event_type", raw.alias("raw")))
+    return rows.groupBy("event_type").agg(
+        F.count("*").alias("lines"), F.count_if(F.expr("try_variant_get(v, '$.event_id', 'bigint') is not null")).alias("records"),
+        F.count_if(F.col("v").isNull()).alias("malformed"),
+    )
+
+
+@query(r"""
+select o_orderkey, case o_orderkey % 5 when 0 then o_orderpriority when 1 then o_custkey || ' monkeys' when 2 then 'true ' || o_orderpriority
+  when 3 then '"' || o_orderpriority || '" x' else o_orderpriority end as tag from orders
+""")
+def tag_texts(t: Tables) -> DataFrame:
+    """Tags of quoted lines, objects, and raw lines that begin like JSON and go on."""
+    raw = F.expr("""case o_orderkey % 5 when 0 then to_json(struct(o_orderpriority as tag)) when 1 then concat(o_custkey, ' monkeys')
+        when 2 then concat('true ', o_orderpriority) when 3 then concat('"', o_orderpriority, '" x') else concat('"', o_orderpriority, '"') end""")
+    rows = parsed(fanned(t.orders).select("o_orderkey", raw.alias("raw")))
+    return rows.select("o_orderkey", tag_text("v", "raw").alias("tag"))
+
+
+_COLLIDING = "concat('{\"a\":{\"b\":', l_linenumber, '},\"a_b\":', l_orderkey, '}')"
+
+
+@query("select l_orderkey, l_linenumber, cast(l_orderkey as varchar) as a_b from lineitem")
+def flatten_collisions(t: Tables) -> DataFrame:
+    """Two members with one flattened name: the last in member order counts."""
+    rows = parsed(fanned(t.lineitem).select("l_orderkey", "l_linenumber", F.expr(_COLLIDING).alias("raw"))).drop("raw")
+    return sinks.wide(rows, ["a_b"])
+
+
+@query("select l_linenumber, count(*) as n from lineitem where l_orderkey < 1000 group by l_linenumber")
+def criteria_collisions(t: Tables) -> DataFrame:
+    rows = parsed(fanned(t.lineitem).select("l_linenumber", F.expr(_COLLIDING).alias("raw")))
+    return filter_feed(rows, [Criterion("a_b", ["<1000"])]).groupBy("l_linenumber").agg(F.count("*").alias("n"))
 
 
 @query(_PROFILE + """

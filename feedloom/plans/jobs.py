@@ -18,7 +18,8 @@ def filter_feed_files(spark: SparkSession, path: str, out: str, criteria: list[C
     """Write the matching lines of a feed as read; returns lines_parsed and exported, counted on the way."""
     configure(spark)
     seen, kept = Observation("seen"), Observation("kept")
-    feed = feeds.parsed(feeds.read_lines(spark, path)).observe(seen, F.count("*").alias("lines_parsed"))
+    # Blank lines count as parsed.
+    feed = feeds.parsed(feeds.read_lines(spark, path, keep_blank=True)).observe(seen, F.count("*").alias("lines_parsed"))
     matches = feed.filter(compile_criteria(criteria, overall)) if criteria else feed.filter(F.col("v").isNotNull())
     sinks.write_raw_lines(matches.observe(kept, F.count("*").alias("exported")), out)
     return {**seen.get, **kept.get}

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.bind import bound
 from feedloom.operators import forensics, snapshots, tags, timeline
 from feedloom.operators.grouping import last_per_key
-from feedloom.plans.registry import Tables, query
+from feedloom.plans.registry import Tables, fanned, query
 from feedloom.sources import feeds
-from feedloom.sources.feeds import spread
 
 # Snapshot day between the historic and the current half of the events, as in a feed kept by date.
 CUT = "2024-01-16"
@@ -50,7 +49,7 @@ def _records(t: Tables, key: Column) -> DataFrame:
     high = (F.col("value") > 50).alias("high")
     stamp = F.date_format("ts", "yyyyMMdd")
     record = _v(key.alias("ip"), "event_type", "value", high, _note(), stamp.alias("Timestamp"))
-    return spread(t.events).select(key.alias("ip"), F.to_date("ts").alias("day"), "event_id", record)
+    return fanned(t.events).select(key.alias("ip"), F.to_date("ts").alias("day"), "event_id", record)
 
 
 @query("""
@@ -262,7 +261,7 @@ def _tag_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     kinds = F.when(F.col("event_type") != "view", F.array(F.upper("event_type"), F.when(F.col("value") > 50, F.lit("HIGH")).otherwise(F.lit("LOW"))))
     words = F.when(F.col("event_type") != "click", F.concat(F.lit("seen as "), F.col("event_type")))
     tag = F.concat_ws("-", F.concat(F.lit("U"), F.col("user_id")), _k()).alias("tag")
-    rows = spread(t.events).select("event_id", F.to_date("ts").alias("day"), _v(tag, kinds.alias("categories"), words.alias("description")))
+    rows = fanned(t.events).select("event_id", F.to_date("ts").alias("day"), _v(tag, kinds.alias("categories"), words.alias("description")))
     old = tags.tag_records(rows.filter(F.col("day") < CUT), F.col("event_id"))
     new = tags.tag_records(rows.filter(F.col("day") >= CUT), F.col("event_id"))
     return old, new
@@ -315,7 +314,7 @@ def tag_metadata(t: Tables) -> DataFrame:
 def _daily(t: Tables) -> DataFrame:
     """(ip, dt, v): last event per user and day, nested."""
     client = F.struct(_k().alias("count"), F.struct(F.col("event_type").alias("kind")).alias("seen")).alias("client")
-    rows = spread(t.events).select(
+    rows = fanned(t.events).select(
         F.col("user_id").alias("ip"), F.to_date("ts").alias("dt"), "event_id", _v("event_type", "value", client, _note())
     )
     return timeline.daily_series(rows, F.col("event_id"))
@@ -454,7 +453,7 @@ def unordered_list_diff(t: Tables) -> DataFrame:
     line = F.col("l_linenumber").cast("double")
     old = F.array(member("a", line, False), member("b", F.lit(1.0), False))
     new = F.array(member("b", F.lit(1.0), True), member("a", other, True))
-    rows = spread(t.lineitem).select(
+    rows = fanned(t.lineitem).select(
         "l_returnflag", bound(old_v=F.parse_json(F.to_json(F.struct(old.alias("l")))), new_v=F.parse_json(F.to_json(F.struct(new.alias("l")))))
     )
     return timeline.deep_diff(rows).groupBy("l_returnflag").agg(F.count("*").alias("n"))

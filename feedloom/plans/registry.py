@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.session import configure
+from feedloom.sources.feeds import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +24,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def fanned(df: DataFrame) -> DataFrame:
+    """A table spread over as many partitions as the session setting feedloom.partitions says.
+
+    The tables of one row group are one split. Unset, as it should be where the inputs have many splits, nothing is shuffled.
+    """
+    partitions = df.sparkSession.conf.get("feedloom.partitions", None)
+    return spread(df, int(partitions) if partitions else None)
+
+
 def query(sql: str | None = None):
     """Register a function of `Tables` under its own name, with the SQL that gives the same rows."""
 

@@ -9,8 +9,8 @@ from feedloom.functions.bind import bound
 from feedloom.functions.dates import date_set, day_of, instant, parse_span, span_column
 from feedloom.functions.ips import v4_text
 from feedloom.operators import enrich, requests, snapshots
-from feedloom.plans.registry import Tables, query
-from feedloom.sources.feeds import split_items, spread
+from feedloom.plans.registry import Tables, fanned, query
+from feedloom.sources.feeds import split_items
 
 # The first of ten-dot-zero, as a number.
 _TEN = 167_772_160
@@ -24,7 +24,7 @@ def _ranges(t: Tables) -> DataFrame:
     """Orders as sheet rows: a date, a second date by priority, reversed for status F, missing for P."""
     later = F.date_add(F.to_date("o_orderdate"), F.substring("o_orderpriority", 1, 1).cast("int") * 3)
     first, second = _day("o_orderdate"), F.date_format(later, "yyyy-MM-dd")
-    return spread(t.orders).select(
+    return fanned(t.orders).select(
         F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("ip"),
         F.when(F.col("o_orderstatus") == "F", second).otherwise(first).alias("start"),
         F.when(F.col("o_orderstatus") == "F", first).when(F.col("o_orderstatus") == "O", second).alias("end"),
@@ -88,7 +88,7 @@ def normalise_dates(t: Tables) -> DataFrame:
         .when(kind == "4", _day("o_orderdate", "M-d-yyyy"))
         .otherwise(_day("o_orderdate", "yyyy-MM-dd'T07:08:09Z'"))
     )
-    rows = spread(t.orders).select("o_orderkey", text.alias("cell"))
+    rows = fanned(t.orders).select("o_orderkey", text.alias("cell"))
     return rows.select("o_orderkey", F.date_format(instant("cell"), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
 
@@ -102,7 +102,7 @@ def _cells(t: Tables) -> DataFrame:
         .when(F.col("o_orderstatus") == "F", F.concat(F.date_format(F.date_add(day, 2), "yyyyMMdd"), F.lit("-"), _day("o_orderdate")))
         .otherwise(F.lit("n/a"))
     )
-    return spread(t.orders).select("o_orderkey", F.col("o_custkey").cast("string").alias("ip"), text.alias("date"))
+    return fanned(t.orders).select("o_orderkey", F.col("o_custkey").cast("string").alias("ip"), text.alias("date"))
 
 
 _CELLS = """
@@ -128,7 +128,7 @@ def proximity_dates(t: Tables) -> DataFrame:
     bad = F.when(F.col("event_type") == "click", F.lit("none")).when(F.col("event_type") == "error", F.lit("soon"))
     good = F.when(F.col("event_type") != "view", _day("ts"))
     record = F.struct(bad.alias("Timestamp"), good.alias("Queried_Date"))
-    rows = spread(t.events).select("event_id", F.parse_json(F.to_json(record)).alias("v"))
+    rows = fanned(t.events).select("event_id", F.parse_json(F.to_json(record)).alias("v"))
     near = requests.proximity_dates(rows, 2)
     return near.select("event_id", F.date_format("dt", "yyyyMMdd").alias("day"))
 
@@ -151,7 +151,7 @@ from (select min(d) + cast(unnest(range(datediff('day', min(d), max(d)) + 1)) as
 def global_range_requests(t: Tables) -> DataFrame:
     """Every day of the range found in a sheet, asked for every customer."""
     days = requests.range_days(requests.global_range(_cells(t), "date"))
-    rows = requests.with_dates(spread(t.customer.select("c_custkey")), days)
+    rows = requests.with_dates(fanned(t.customer.select("c_custkey")), days)
     return rows.groupBy(F.date_format("dt", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -203,7 +203,7 @@ def cross_dates(t: Tables) -> DataFrame:
 def _context(t: Tables) -> DataFrame:
     """Context table: last event per user and day, and the last event per user as current state."""
     record = bound(v=F.parse_json(F.to_json(F.struct("event_id", "event_type", F.col("user_id").alias("ip")))))
-    rows = spread(t.events).select(F.col("user_id").cast("string").alias("ip"), F.to_date("ts").alias("dt"), "event_id", record)
+    rows = fanned(t.events).select(F.col("user_id").cast("string").alias("ip"), F.to_date("ts").alias("dt"), "event_id", record)
     daily = requests.last_per_key(rows, ["ip", "dt"], F.col("event_id")).drop("event_id")
     now = snapshots.latest_records(rows, F.col("event_id")).withColumn("dt", F.lit(None).cast("date"))
     return daily.unionByName(now)
@@ -416,5 +416,5 @@ select count(*) filter (where event_type in ('view', 'error')) as undated from e
 def undated(t: Tables) -> DataFrame:
     """Records that name no date that parses."""
     stamp = F.when(F.col("event_type") == "error", F.lit("soon")).when(F.col("event_type") != "view", _day("ts"))
-    rows = spread(t.events).select("event_id", bound(v=F.parse_json(F.to_json(F.struct(stamp.alias("Timestamp"))))))
+    rows = fanned(t.events).select("event_id", bound(v=F.parse_json(F.to_json(F.struct(stamp.alias("Timestamp"))))))
     return requests.undated(rows)

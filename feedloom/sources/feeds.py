@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.bind import bound
-from feedloom.functions.sqltext import as_array, as_object, stripped
+from feedloom.functions.sqltext import as_array, as_object, strict_json, stripped
 from feedloom.functions.text import strip
 
 DOCUMENT, JSONL, AUTO = "document", "jsonl", "auto"
@@ -24,18 +24,16 @@ IP_KEYS = ["ip", "ip_address", "ipaddress"]
 
 
 def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add the parsed record `v` (NULL where a line is not JSON), parsed once per line."""
-    return df.select("*", bound(v=F.try_parse_json(F.col(raw))))
+    """Add the parsed record `v`, parsed once per line; NULL where a line is not one JSON value and nothing else."""
+    return df.select("*", bound(v=F.expr(strict_json(raw))))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a scan over the cores if it has fewer splits than the session has cores.
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread the rows of a scan over `partitions`; by default, and for any input in many splits, nothing is shuffled.
 
-    Gzip files and single row groups are one split each. A scan with enough splits, which is any
-    large input in splittable files, is returned as it is: no shuffle.
+    Gzip files and single row groups are one split each, so a small input of them may be worth it.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(partitions) if partitions else scan
 
 
 def _position() -> list[Column]:
@@ -47,15 +45,17 @@ def _position() -> list[Column]:
     ]
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Non-blank lines as (raw, file, block, line). Gzip is read natively; few splits are spread out."""
+def read_lines(
+    spark: SparkSession, path: str | list[str], partitions: int | None = None, keep_blank: bool = False
+) -> DataFrame:
+    """Lines as (raw, file, block, line), without blank ones. Gzip is read natively; `partitions` spreads few splits out."""
     text = spark.read.text(path).select(strip(F.col("value")).alias("raw"), *_position())
-    return spread(text.filter(F.col("raw") != ""))
+    return spread(text if keep_blank else text.filter(F.col("raw") != ""), partitions)
 
 
-def read_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
     """JSON-lines feed: (raw, file, block, line, v); blank and malformed lines are dropped."""
-    return parsed(read_lines(spark, path)).filter(F.col("v").isNotNull())
+    return parsed(read_lines(spark, path, partitions)).filter(F.col("v").isNotNull())
 
 
 def position(df: DataFrame) -> Column:
@@ -84,13 +84,18 @@ def unwrapped(df: DataFrame, objects_only: bool = False) -> DataFrame:
 def _multi_line_files(spark: SparkSession, path) -> list[str]:
     """Files whose first line is not JSON on its own: only these can be one document over many lines.
 
-    Files too large for one row cannot be documents; their size prunes them from this pass.
+    One that is too large for a row is an error; convert it to lines first.
     """
-    text = spark.read.text(path).filter(F.col("_metadata.file_size") < DOCUMENT_BYTES)
-    lines = text.select(strip(F.col("value")).alias("raw"), *_position()).filter(F.col("raw") != "")
-    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"))
-    opened = first.filter(F.try_parse_json("head").isNull() & F.col("head").rlike(r"^[\[{]"))
-    return [r.file for r in opened.select("file").collect()]
+    text = spark.read.text(path).select(
+        strip(F.col("value")).alias("raw"), *_position(), F.col("_metadata.file_size").alias("size")
+    )
+    lines = text.filter(F.col("raw") != "")
+    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"), F.max("size").alias("size"))
+    opened = first.filter(F.expr(strict_json("head")).isNull() & F.col("head").rlike(r"^[\[{]")).select("file", "size").collect()
+    large = [r.file for r in opened if r.size > DOCUMENT_BYTES]
+    if large:
+        raise ValueError(f"too large for one document, convert to lines: {large[0]}")
+    return [r.file for r in opened]
 
 
 def read_documents(spark: SparkSession, path: str | list[str], format: str = AUTO, objects_only: bool = False) -> DataFrame:
@@ -117,7 +122,7 @@ def read_documents(spark: SparkSession, path: str | list[str], format: str = AUT
     # File names in metadata are URL-encoded, paths to read are not.
     text = spark.read.text([unquote(f) for f in whole_files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     doc = parsed(text, "value")
-    lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> try_parse_json({stripped('l')}))"
+    lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> {strict_json(stripped('l'))})"
     items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
     records = unwrapped(doc.select("file", items).filter("v is not null"), objects_only)
     records = records.select(
@@ -164,9 +169,12 @@ def read_tag_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_lines(spark, path).select(F.col("raw").alias("tag"))
 
 
-def read_sheet(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """CSV sheet with lower-case, trimmed headers; every cell is text."""
-    df = spark.read.csv(path, header=True, inferSchema=False)
+def read_sheet(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+    """CSV sheet with lower-case, trimmed headers; every cell is text. Quotes in a quoted cell are doubled.
+
+    `multi_line` reads line breaks inside quoted cells; a file is then one task.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
     return df.toDF(*[c.strip().lstrip("\ufeff").lower() for c in df.columns])
 
 

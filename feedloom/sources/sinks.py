@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_object
-from feedloom.operators.paths import MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves
+from feedloom.operators.paths import (
+    MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves, reading_order,
+)
 
 
 def json_line(*columns: str | Column) -> Column:
@@ -45,11 +47,11 @@ def wide_columns(
     Keys are data, so more than `max_columns` is an error.
     """
     seen = leaves(df.select(v), v=v, max_depth=max_depth, places=True).select("path", "place").distinct()
-    rows = seen.limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
+    names = seen.select("path").distinct().limit(max_columns + 1).count()
+    if names > max_columns:
         raise ValueError(f"more than {max_columns} flattened keys; filter the input or raise max_columns")
     found: dict[str, list[str] | None] = {}
-    for path, place in sorted((r.path, r.place or "") for r in rows):
+    for path, place in sorted(((r.path, r.place or "") for r in seen.collect()), key=lambda x: (x[0], reading_order(x[1]))):
         if not _PLACE.fullmatch(place):
             found[path] = None
         elif found.setdefault(path, []) is not None:
@@ -82,7 +84,8 @@ def wide(df: DataFrame, columns: list[str] | None = None, v: str = "v", max_dept
                 read.append(F.expr(parent).alias(list_name))
             parts.append(checked_text(name, list_name, member))
         if parts:
-            text[column] = F.expr(f"coalesce({', '.join(parts)})")
+            # Of several readings in one record the last in member order counts.
+            text[column] = F.expr(f"coalesce({', '.join(reversed(parts))})")
     # Names with too many readings come from the flattened record, bound once.
     if any(found is None for found in places.values()):
         pairs = f"transform({entries_sql(v, max_depth)}, e -> struct(e.path, {entry_text('e')}))"
@@ -92,10 +95,19 @@ def wide(df: DataFrame, columns: list[str] | None = None, v: str = "v", max_dept
     return rows.select(*keep, *read).select(*keep, *[text[c].alias(c) for c in columns])
 
 
-def write_wide_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
-    """CSV with a header of all flattened keys; missing values are empty."""
-    out = wide(df.select("v"), columns)
-    out.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def write_wide_csv(
+    df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error", bom: bool = False, max_depth: int = MAX_DEPTH
+) -> None:
+    """CSV with a header of all flattened keys; missing values are empty.
+
+    Quotes are doubled and outer blanks kept. `bom` starts each file with a byte order mark, which spreadsheets look for.
+    """
+    out = wide(df.select("v"), columns, max_depth=max_depth)
+    if bom and out.columns:
+        out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0])
+    writer = out.write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "")
+    writer = writer.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
 
 
 def write_tags(df: DataFrame, path: str, mode: str = "error") -> None:

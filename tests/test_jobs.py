@@ -18,7 +18,7 @@ def dump(path, rows):
 def test_filter(spark, tmp_path):
     path = dump(tmp_path / "f.jsonl", [{"a": 1}, "bad", "", {"a": 5}, "[1]", {"a": 9}])
     counters = jobs.filter_feed_files(spark, path, str(tmp_path / "out"), [Criterion("a", [">2"])])
-    assert counters == {"lines_parsed": 5, "exported": 2}
+    assert counters == {"lines_parsed": 6, "exported": 2}
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a": 5}', '{"a": 9}']
 
 

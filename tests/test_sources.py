@@ -160,7 +160,61 @@ def test_landed_feed_prunes_by_date(spark, tmp_path, records):
     assert "PartitionFilters: [isnotnull(snapshot_date" in df._jdf.queryExecution().toString()
 
 
-def test_spread_only_where_splits_are_few(spark):
-    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 16)
-    assert feeds.spread(few).rdd.getNumPartitions() == 4
-    assert feeds.spread(many) is many
+def test_spread_only_where_asked(spark):
+    few = spark.range(0, 100, 1, 1)
+    assert feeds.spread(few) is few
+    assert feeds.spread(few, 4).rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("line, whole", [
+    ('{"a":1}', True), ("[1,2]", True), ('"x"', True), ("12", True), ("null", True), ('[1,"x"]', True), ('{"a":1} ', True),
+    ('{"a":1} xyz', False), ('{"a":1}{"b":2}', False), ('{"a":1},', False), ("12 monkeys", False), ("1,2", False), ("", False),
+    ("true vpn", False), ('"QUOTED" x', False), ("1]", False), ('1,"x"],["y"', False), ("[1", False), ("{", False), ("a", False),
+])
+def test_a_line_is_one_value_and_nothing_else(spark, line, whole):
+    row = feeds.parsed(spark.createDataFrame([(line,)], "raw string")).select((F.col("v").isNotNull()).alias("ok")).first()
+    assert row.ok == whole
+
+
+def test_raw_tags_that_begin_like_json(spark, tmp_path):
+    path = write(tmp_path / "t.txt", '12 monkeys\ntrue vpn\n"QUOTED" x\n"Q"\n')
+    assert sorted(r.tag for r in feeds.read_tags(spark, path).collect()) == ['"QUOTED" x', "12 monkeys", "Q", "true vpn"]
+
+
+def test_a_document_beyond_the_row_limit_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "DOCUMENT_BYTES", 10)
+    path = write(tmp_path / "d.json", '[\n{"ip": "1.1.1.1",\n"n": 1}\n]')
+    with pytest.raises(ValueError, match="too large"):
+        feeds.read_documents(spark, path).collect()
+    lines = write(tmp_path / "l.json", '{"ip": "1.1.1.1"}\n{"ip": "2.2.2.2"}\n')
+    assert feeds.read_documents(spark, lines).count() == 2
+
+
+CELLS = ['say "hi", ok', " x ", "a,b", "plain", '"', "ü", "", "tab\t"]
+
+
+def test_wide_csv_keeps_cells(records, tmp_path):
+    import csv
+
+    sinks.write_wide_csv(records(*[{"k": c, "n": i} for i, c in enumerate(CELLS)]), str(tmp_path / "out"), bom=True)
+    got = {}
+    for part in (tmp_path / "out").glob("part-*.csv"):
+        with open(part, encoding="utf-8-sig", newline="") as file:
+            got |= {int(r["n"]): r["k"] for r in csv.DictReader(file)}
+    assert [got[i] for i in range(len(CELLS))] == CELLS
+
+
+def test_sheet_with_quotes_and_line_breaks(spark, tmp_path):
+    path = write(tmp_path / "s.csv", 'IP,Note,N\n1.1.1.1,"a ""b"", c",2\n2.2.2.2,"two\nlines",3\n')
+    rows = feeds.read_sheet(spark, path, multi_line=True).collect()
+    assert [(r.ip, r.note, r.n) for r in rows] == [("1.1.1.1", 'a "b", c', "2"), ("2.2.2.2", "two\nlines", "3")]
+
+
+def test_colliding_keys_keep_the_last(records):
+    from feedloom.operators.criteria import Criterion, filter_feed
+
+    df = records({"a": {"b": 1}, "a_b": 2}, {"a": {"b": 1}}, {"a_b": 2})
+    for columns in (None, ["a_b"]):
+        assert [r.a_b for r in sinks.wide(df, columns).orderBy("id").collect()] == ["2", "1", "2"]
+    hits = lambda x: [r.id for r in filter_feed(df, [Criterion("a_b", [x])]).orderBy("id").collect()]
+    assert hits("=2") == [0, 2] and hits("=1") == [1]
