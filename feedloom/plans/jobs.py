@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_span
-from feedloom.operators import enrich, forensics, profile, requests, snapshots, tags, timeline
+from feedloom.operators import enrich, forensics, lines, profile, requests, snapshots, tags, timeline
 from feedloom.operators.criteria import Criterion, compile_criteria
 from feedloom.session import configure, staged
 from feedloom.sources import feeds, sinks
@@ -31,6 +31,17 @@ def profile_files(spark: SparkSession, path: str, **options) -> DataFrame:
     return rows.orderBy("path", "rank")
 
 
+def summarise_files(spark: SparkSession, path: str, out: str, **options) -> None:
+    """One JSON line per key path of JSON files, with its ranked values; options go to `profile`."""
+    records = feeds.read_documents(configure(spark), path).select("v")
+    sinks.write_json_lines(profile.summary_records(profile.profile(records, **options), records), out)
+
+
+def count_lines(spark: SparkSession, path: str, patterns: dict[str, str]) -> dict[str, int]:
+    """Number of lines of a feed, and of the lines that match each named pattern, in one pass."""
+    return lines.match_counts(feeds.read_lines(configure(spark), path), patterns).first().asDict()
+
+
 def flatten_files(spark: SparkSession, path: str, out: str) -> None:
     """JSON files to CSV with one column per flattened key."""
     sinks.write_wide_csv(feeds.read_documents(configure(spark), path, objects_only=True).select("v"), out)
@@ -78,7 +89,7 @@ def snapshot_changes(spark: SparkSession, old: str, new: str, current_date: str)
 
 
 def forensic_report(spark: SparkSession, history: str, current: str, current_date: str) -> dict[str, DataFrame]:
-    """rows, summary and attributes of a history file against a current snapshot."""
+    """rows, nested lines, summary and attributes of a history file against a current snapshot."""
     configure(spark)
     feed = feeds.read_feed(spark, history)
     keyed = feeds.keyed_records(feed).withColumn("ts", feeds.stamp_text("unknown_date"))
@@ -88,10 +99,33 @@ def forensic_report(spark: SparkSession, history: str, current: str, current_dat
     return {
         "rows": forensics.forensic_rows(past, now, current_date),
         "summary": forensics.forensic_summary(past, now),
+        "lines": forensics.nested_history(forensics.forensic_rows(past, now, current_date)),
         "attributes": forensics.forensic_attribute_counts(states).orderBy(F.desc("aged_out"), F.desc("new_current"), "attribute"),
     }
 
 
+def _look_up(requested: DataFrame, context: DataFrame, out: str) -> dict[str, int]:
+    """Look requests (IP, Timestamp, ...) up and write them by status; returns success and failed, counted on the way."""
+    keyed = requested.withColumn("_dt", F.to_date("Timestamp", "yyyyMMdd"))
+    run = Observation("run")
+    ok = F.col("status") == enrich.OK
+    found = enrich.context_lookup(keyed, context, dt="_dt").drop("_dt")
+    found = found.observe(run, F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+    enrich.enriched_json(found).write.partitionBy("status").text(out)
+    return run.get
+
+
+def enrich_list(
+    spark: SparkSession, path: str, context: DataFrame, out: str, day: date | None = None, max_expand: int = requests.MAX_EXPAND
+) -> dict[str, int]:
+    """Ips and CIDRs of a free-form list, expanded to distinct addresses, looked up for one day (or the current state)."""
+    items = feeds.read_items(configure(spark), path)
+    addresses = requests.expand_items(items, max_expand=max_expand).distinct()
+    stamp = F.lit(day.strftime("%Y%m%d") if day else None).cast("string")
+    counters = _look_up(addresses.select(F.col("ip").alias("IP"), stamp.alias("Timestamp")), context, out)
+    return {**counters, "processed": sum(counters.values())}
+
+
 def enrich_sheet(
     spark: SparkSession, sheet: str, context: DataFrame, out: str, cap: int | None = None,
     done: list[str] | None = None, columns: tuple[str, str | None, str | None] | None = None,
@@ -108,13 +142,7 @@ def enrich_sheet(
     if done:
         keys = requests.done_keys(*[feeds.read_feed(spark, p) for p in done])
         todo, skipped = requests.resume(asked, keys), requests.skipped(asked, keys).count()
-    keyed = todo.withColumn("_dt", F.to_date("Timestamp", "yyyyMMdd"))
-    run = Observation("run")
-    ok = F.col("status") == enrich.OK
-    found = enrich.context_lookup(keyed, context, dt="_dt").drop("_dt")
-    found = found.observe(run, F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
-    enrich.enriched_json(found).write.partitionBy("status").text(out)
-    counters = {**run.get, "skipped": skipped}
+    counters = {**_look_up(todo, context, out), "skipped": skipped}
     counters["processed"] = sum(counters.values())
     audit = requests.skipped_ranges(rows, ip, start, end or start, cap) if cap and start else None
     return counters, audit
@@ -148,6 +176,15 @@ def geo_by_prefix(spark: SparkSession, ips: DataFrame, registration: DataFrame,
     return enrich.prefix_join(rows, resolved).select("ip", F.col("prefix").alias("cidr"), F.col("v").alias("ipgeo_data"))
 
 
+def geo_records(spark: SparkSession, ips: DataFrame, registration: DataFrame, feed: str, out: str) -> None:
+    """One JSON line per ip: its networks with their geo record. An ip has few networks, so the lists are short."""
+    pair = F.struct("cidr", "ipgeo_data")
+    rows = geo_by_prefix(spark, ips, registration, feed).withColumn("ipgeo_data", F.to_json("ipgeo_data"))
+    grouped = rows.groupBy("ip").agg(F.array_sort(F.collect_list(pair)).alias("cidrs"))
+    parsed = F.transform("cidrs", lambda c: F.struct(c["cidr"].alias("cidr"), F.parse_json(c["ipgeo_data"]).alias("ipgeo_data")))
+    sinks.write_json_lines(grouped.select("ip", parsed.alias("cidrs")), out)
+
+
 def latest_context(rows: DataFrame, seq: Column) -> DataFrame:
     """Context table (ip, dt, v) from dated records: one per ip and day, and the last one under a NULL dt."""
     daily = timeline.daily_series(rows.withColumn("seq", seq), F.col("seq"))

@@ -1,6 +1,7 @@
 """The jobs on small files."""
 
 import json
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,33 @@ def test_geo(spark, tmp_path):
     assert [(r.ip, r.cidr) for r in got] == [("10.0.0.1", "10.0.0.0/24")]
 
 
+def test_geo_records(spark, tmp_path):
+    feed = dump(tmp_path / "g.jsonl", [{"prefix": "10.0.0.0/24", "geo": "x"}, {"prefix": "9.0.0.0/24"}])
+    reg = spark.createDataFrame([("10.0.0.1", '{"asn_cidr":"10.0.0.0/24"}')], "ip string, raw string")
+    reg = reg.select("ip", F.parse_json("raw").alias("v"))
+    jobs.geo_records(spark, spark.createDataFrame([("10.0.0.1",)], "ip string"), reg, feed, str(tmp_path / "out"))
+    line = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert line == {"ip": "10.0.0.1", "cidrs": [{"cidr": "10.0.0.0/24", "ipgeo_data": {"prefix": "10.0.0.0/24", "geo": "x"}}]}
+
+
+def test_enrich_list(spark, tmp_path):
+    path = tmp_path / "ips.txt"
+    path.write_text("10.0.0.0/31, 10.0.0.1\nnone 10.0.0.9\n")
+    table = context(spark, [("10.0.0.1", "2024-01-01", '{"ip":"10.0.0.1","n":1}'), ("10.0.0.9", None, '{"ip":"10.0.0.9"}')])
+    counters = jobs.enrich_list(spark, str(path), table, str(tmp_path / "out"), date(2024, 1, 1))
+    assert counters["success"] == 1 and counters["processed"] == 4
+    counters = jobs.enrich_list(spark, str(path), table, str(tmp_path / "now"))
+    assert counters["success"] == 1 and counters["failed"] == 3
+
+
+def test_summaries_and_counts(spark, tmp_path):
+    path = dump(tmp_path / "f.jsonl", [{"a": 1}, {"a": 1}, {"a": 2}])
+    jobs.summarise_files(spark, path, str(tmp_path / "out"), top=1)
+    line = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert (line["key"], line["unique_count"], line["total_input_objects"], line["unique_values"][0]["count"]) == ("a", 2, 3, 2)
+    assert jobs.count_lines(spark, path, {"ones": '"a": 1', "none": "b"}) == {"lines": 3, "ones": 2, "none": 0}
+
+
 def test_latest_context(spark):
     rows = context(spark, [("a", "2024-01-01", '{"k":1}'), ("a", "2024-01-02", '{"k":2}')]).withColumn("n", F.lit(1))
     got = jobs.latest_context(rows, F.col("n")).select("dt", F.expr("v:k::int").alias("k")).collect()
