@@ -33,7 +33,8 @@ from feedloom.llm.common import id_and_text, prepare, stored
 LENGTH = 400
 GRAM = 80
 REACH = LENGTH - GRAM  # bytes before an anchor that a window through it can cover
-HALF = REACH // 2
+SIDES = 4  # two windows that agree share one of so many substrings of LENGTH - STEP bytes about their anchor
+STEP = REACH // SIDES
 MAX_PERIOD = 200
 CLASS_MEMBERS = 50_000
 CHUNK = 1 << 20
@@ -107,7 +108,7 @@ def _periodic(data: np.ndarray, places: np.ndarray, grams: np.ndarray) -> list[t
 
 
 def scan(text: bytes) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
-    """Anchors of a whole text (place, gram hash, hash of the surroundings and of their halves, bytes before and after) and the
+    """Anchors of a whole text (place, gram hash, hash of the surroundings and of SIDES parts, bytes before and after) and the
     runs to remove. Long texts are scanned in overlapping chunks."""
     whole, n = np.frombuffer(text, np.uint8), len(text)
     found: list[dict[str, np.ndarray]] = []
@@ -128,15 +129,17 @@ def scan(text: bytes) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
         places, values = places[keep], values[keep]
         before = np.minimum(REACH, places + low)
         after = np.minimum(LENGTH, n - low - places)
-        side = LENGTH - HALF
-        right = np.where(after >= side, places, 0)
-        left = np.where(before >= HALF, places - HALF, 0)
         size = np.uint64(1 << 20)
+        sides = []
+        for t in range(SIDES):
+            fits = (before >= STEP * t) & (after >= LENGTH - STEP * (t + 1))
+            start = np.where(fits, places - STEP * t, 0)
+            shared = hashes.of(start, np.where(fits, LENGTH - STEP, 0))
+            sides.append(np.where(fits, shared * np.uint64(2 * t + 1) ^ values, 0))
         found.append({
             "place": places + low, "gram": values, "before": before, "after": after,
             "around": hashes.of(places - before, before + after) + before.astype(np.uint64) * size + after.astype(np.uint64),
-            "right": np.where(after >= side, hashes.of(right, side if len(data) >= side else 0) ^ values, 0),
-            "left": np.where(before >= HALF, hashes.of(left, side if len(data) >= side else 0) * np.uint64(3) ^ values, 0),
+            **{f"side{t}": side for t, side in enumerate(sides)},
         })
     if not found:
         return {}, removed
@@ -145,14 +148,18 @@ def scan(text: bytes) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
     return {name: column[once] for name, column in merged.items()}, removed
 
 
-_ANCHOR = "k1 bigint, k2 bigint, place int, gram bigint, around bigint, right bigint, left bigint, before int, after int, run int"
+_SIDE_NAMES = [f"side{t}" for t in range(SIDES)]
+_ANCHOR = (
+    "k1 bigint, k2 bigint, place int, gram bigint, around bigint, before int, after int, run int, "
+    + ", ".join(f"{name} bigint" for name in _SIDE_NAMES)
+)
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
     """Anchors of all texts; rows with `run` hold a run to remove from `place` on instead."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["place", "gram", "around", "right", "left", "before", "after", "run"]
+        names = ["place", "gram", "around", "before", "after", *_SIDE_NAMES, "run"]
         for batch in batches:
             keys, columns = [], {name: [] for name in names}
             for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -173,50 +180,58 @@ def _anchors(texts: DataFrame) -> DataFrame:
                 k1, k2 = np.concatenate(keys, axis=1)
                 data = {"k1": k1, "k2": k2} | {name: np.concatenate(column) for name, column in columns.items()}
                 small = {"place", "before", "after", "run"}
+                order = ["k1", "k2", "place", "gram", "around", "before", "after", "run", *_SIDE_NAMES]
                 yield pa.RecordBatch.from_pydict({
-                    name: pa.array(column.astype(np.int32) if name in small else column) for name, column in data.items()
+                    name: pa.array(data[name].astype(np.int32) if name in small else data[name]) for name in order
                 })
 
     return texts.select("k1", "k2", "text").mapInArrow(find, _ANCHOR)
 
 
-def _common(rows: list[bytes]) -> np.ndarray:
-    """Common-prefix lengths of neighbours in sorted rows; the first has none."""
-    out = np.zeros(len(rows), np.int64)
-    for i in range(1, len(rows)):
-        a, b = rows[i - 1], rows[i]
-        n = min(len(a), len(b))
-        if a[:n] == b[:n]:
-            out[i] = n
-        else:
-            out[i] = np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-    return out
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
 
 
-def induced(before: list[bytes], after: list[bytes], wanted: np.ndarray) -> list[tuple[int, int, int]]:
+def induced(before: list[bytes], after: list[bytes], wanted: list[bool]) -> list[tuple[int, int, int]]:
     """(member, first, last): starts `first` to `last` bytes before its anchor at which a wanted member repeats another.
 
     `after` are the suffixes at the anchor in sorted order, `before` the reversed bytes ahead of it.
     """
     n = len(after)
-    right = _common(after)
+    if n == 2:
+        first, last = max(0, LENGTH - _shared(*after)), _shared(*before)
+        return [(i, first, last) for i in range(2) if wanted[i]] if first <= last else []
+    right = np.array([0, *map(_shared, after[:-1], after[1:])])
     order = np.array(sorted(range(n), key=before.__getitem__))
-    left = _common([before[i] for i in order])
-    bounds = np.unique(np.concatenate([[0, REACH + 1], left + 1, LENGTH - right + 0, LENGTH - right + 1]))
+    sorted_before = [before[i] for i in order]
+    left = np.array([0, *map(_shared, sorted_before[:-1], sorted_before[1:])])
+    bounds = np.unique(np.concatenate([[0, REACH + 1], left + 1, LENGTH - right]))
     bounds = bounds[(bounds >= 0) & (bounds <= REACH + 1)]
     space, room = np.array([len(b) for b in before]), np.array([len(a) for a in after])
-    found = []
-    for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        # All starts from `first` to `end` - 1 group the members alike, except where a member's own text ends.
-        left_group = np.empty(n, np.int64)
-        left_group[order] = np.cumsum(left < max(first, 0))
-        right_group = np.cumsum(right < LENGTH - first)
-        group = left_group * (n + 1) + right_group
-        fits = (space >= first) & (room >= LENGTH - first)
-        _, at, count = np.unique(group[fits], return_inverse=True, return_counts=True)
-        for member in np.flatnonzero(fits)[(count[at] > 1)].tolist():
-            if wanted[member]:
-                found.append((member, first, end - 1))
+    marked = np.array(wanted)
+    since = np.full(n, -1)  # first start of the run of starts that is open for a member
+    left_group, found = np.empty(n, np.int64), []
+
+    def close(ended: np.ndarray, last: int) -> None:
+        found.extend(zip(ended.tolist(), since[ended].tolist(), [last] * len(ended)))
+        since[ended] = -1
+
+    for first in bounds[:-1].tolist():
+        # The starts up to the next bound group the members alike.
+        left_group[order] = np.cumsum(left < first)
+        fits = np.flatnonzero((space >= first) & (room >= LENGTH - first))
+        group = left_group[fits] * (n + 1) + np.cumsum(right < LENGTH - first)[fits]
+        _, at, count = np.unique(group, return_inverse=True, return_counts=True)
+        again = np.zeros(n, bool)
+        again[fits[count[at] > 1]] = True
+        again &= marked
+        close(np.flatnonzero((since >= 0) & ~again), first - 1)
+        since[again & (since < 0)] = first
+    close(np.flatnonzero(since >= 0), REACH)
     return found
 
 
@@ -229,7 +244,7 @@ def _class_repeats(members: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch | None:
             if len(rows) < 2:
                 return None
-            found = induced([r[2][::-1] for r in rows], [r[1] for r in rows], np.array([r[3] for r in rows]))
+            found = induced([r[2][::-1] for r in rows], [r[1] for r in rows], [r[3] for r in rows])
             if not found:
                 return None
             out = [(rows[m][4], rows[m][5], rows[m][6] - last, rows[m][6] - first + LENGTH) for m, first, last in found]
@@ -332,7 +347,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     contexts = stored(
         repeated.groupBy("gram", "around").agg(
             F.min(where).alias("low"), F.max(where).alias("high"),
-            F.min(F.struct("k1", "k2", "place", "right", "left")).alias("at"),
+            F.min(F.struct("k1", "k2", "place", *_SIDE_NAMES)).alias("at"),
         ).select("gram", "around", "at.*", (F.col("low") == F.col("high")).alias("single")),
         "contexts",
     )
@@ -341,10 +356,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         "k1", "k2", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end")
     )
     sided = contexts.select(
-        "k1", "k2", "place", "single", F.explode(F.array("right", "left")).alias("class")
+        "k1", "k2", "place", "single", F.explode(F.array(*_SIDE_NAMES)).alias("class")
     ).filter("class <> 0")
+    # Classes with the same members, as the parts of one passage have, are compared once.
     classes = stored(
-        sided.groupBy("class").agg(F.count("*").alias("n"), F.max("single").alias("open")).filter("n > 1 and open")
+        sided.groupBy("class").agg(F.count("*").alias("n"), F.max("single").alias("open"), F.bit_xor(where).alias("members"))
+        .filter("n > 1 and open").groupBy("members", "n").agg(F.min("class").alias("class"))
         .select("class", (F.col("n") > CLASS_MEMBERS).alias("large")),
         "suffix-classes",
     )
