@@ -69,8 +69,8 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
                 total += x[j : n - WORDS + 1 + j] * _PLACE[j]
             sets.append(np.unique(_mix(total)))
         elif n:
-            total = (x * _PLACE[:n]).sum(dtype=np.uint64) + _PLACE[WORDS] * np.uint64(n)
-            sets.append(_mix(np.array([total], np.uint64)))
+            total = (x * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64) + _PLACE[WORDS:] * np.uint64(n)
+            sets.append(_mix(total))
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
