@@ -212,27 +212,26 @@ def induced(before: list[bytes], after: list[bytes], wanted: list[bool]) -> list
     bounds = np.unique(np.concatenate([[0, REACH + 1], left + 1, LENGTH - right]))
     bounds = bounds[(bounds >= 0) & (bounds <= REACH + 1)]
     space, room = np.array([len(b) for b in before]), np.array([len(a) for a in after])
-    marked = np.array(wanted)
-    since = np.full(n, -1)  # first start of the run of starts that is open for a member
-    left_group, found = np.empty(n, np.int64), []
-
-    def close(ended: np.ndarray, last: int) -> None:
-        found.extend(zip(ended.tolist(), since[ended].tolist(), [last] * len(ended)))
-        since[ended] = -1
-
-    for first in bounds[:-1].tolist():
-        # The starts up to the next bound group the members alike.
-        left_group[order] = np.cumsum(left < first)
-        fits = np.flatnonzero((space >= first) & (room >= LENGTH - first))
-        group = left_group[fits] * (n + 1) + np.cumsum(right < LENGTH - first)[fits]
-        _, at, count = np.unique(group, return_inverse=True, return_counts=True)
-        again = np.zeros(n, bool)
-        again[fits[count[at] > 1]] = True
-        again &= marked
-        close(np.flatnonzero((since >= 0) & ~again), first - 1)
-        since[again & (since < 0)] = first
-    close(np.flatnonzero(since >= 0), REACH)
-    return found
+    # One row per run of starts that groups the members alike; some rows at a time.
+    starts = bounds[:-1]
+    again = np.zeros((len(starts), n), bool)
+    step = max(1, 250_000 // n)
+    for k in range(0, len(starts), step):
+        first = starts[k : k + step, None]
+        left_group = np.empty((len(first), n), np.int64)
+        left_group[:, order] = np.cumsum(left < first, axis=1)
+        group = left_group * (n + 1) + np.cumsum(right < LENGTH - first, axis=1)
+        fits = (space >= first) & (room >= LENGTH - first)
+        group = np.where(fits, group, -1 - np.arange(n))
+        at = np.argsort(group, axis=1)
+        group = np.take_along_axis(group, at, axis=1)
+        same = np.zeros((len(first), n + 1), bool)
+        same[:, 1:-1] = group[:, 1:] == group[:, :-1]
+        np.put_along_axis(again[k : k + step], at, same[:, 1:] | same[:, :-1], axis=1)
+    turns = np.diff((again & np.array(wanted)).astype(np.int8), axis=0, prepend=0, append=0).T
+    member, begin = np.nonzero(turns == 1)
+    _, end = np.nonzero(turns == -1)
+    return list(zip(member.tolist(), starts[begin].tolist(), (bounds[end] - 1).tolist()))
 
 
 def _class_repeats(members: DataFrame) -> DataFrame:
