@@ -38,7 +38,7 @@ STEP = REACH // SIDES
 MAX_PERIOD = 200
 CLASS_MEMBERS = 50_000
 CHUNK = 1 << 20
-# Tables of places or spans by text are broadcast up to this many places or spans (some 50 bytes each), else shuffled.
+# The spans to remove are broadcast up to this many (some 50 bytes each), else shuffled.
 BROADCAST_PLACES = 1_000_000
 
 _draw = np.random.default_rng(20240611)
@@ -241,6 +241,10 @@ def _class_repeats(members: DataFrame) -> DataFrame:
         rows: list[tuple] = []
 
         def close() -> pa.RecordBatch | None:
+            # Rows of equal id and text give one place several times.
+            places = {r[4:]: r for r in reversed(rows)}
+            if len(places) < len(rows):
+                rows[:] = [r for r in rows if places[r[4:]] is r]
             if len(rows) < 2:
                 return None
             found = induced([r[2][::-1] for r in rows], [r[1] for r in rows], [r[3] for r in rows])
@@ -323,7 +327,7 @@ def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema.names)
 
-    joined = texts.join(_bounded(wanted, "places"), ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("owner")))
+    joined = texts.join(wanted, ["k1", "k2"]).filter(F.col("doc_id").eqNullSafe(F.col("owner")))
     return joined.select("k1", "k2", "text", "places").mapInArrow(
         cut,
         "class bigint, after_bytes binary, before_bytes binary, single boolean, large boolean, k1 bigint, k2 bigint, place int",
@@ -371,10 +375,12 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         ).join(owners, ["k1", "k2"]),
         "wanted-places",
     )
-    members = stored(_cut(texts, wanted).dropDuplicates(["class", "k1", "k2", "place"]), "suffixes")
-    found = _class_repeats(members.filter("not large"))
-    if not members.filter("large").isEmpty():
-        found = found.unionByName(_window_repeats(members.filter("large")))
+    members = _cut(texts, wanted)
+    if classes.filter("large").isEmpty():
+        found = _class_repeats(members)
+    else:
+        members = stored(members, "suffixes")
+        found = _class_repeats(members.filter("not large")).unionByName(_window_repeats(members.filter("large")))
     parts = [df.select("k1", "k2", F.col("start").cast("bigint"), F.col("end").cast("bigint")) for df in (runs, full, found)]
     return parts[0].union(parts[1]).union(parts[2])
 
