@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from feedloom.plans import workload
 from tools.check_oracle import cell
 
 FOLDER = "/root/testdata/sf0.001"
@@ -20,29 +21,33 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(workload.ORACLE))
 def test_same_rows_as_sql(spark, con, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = workload.QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted((tuple(cell(r[c]) for c in columns) for r in df.collect()), key=repr)
-    rel = con.execute(entry.oracle_sql()[name])
+    rel = con.execute(workload.ORACLE[name])
     names = [d[0] for d in rel.description]
     assert sorted(names) == columns
     assert got == sorted((tuple(cell(r[names.index(c)]) for c in columns) for r in rel.fetchall()), key=repr)
 
 
 def test_every_query_is_checked_or_random():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"random_sample"}
+    assert set(workload.QUERIES) - set(workload.ORACLE) == {"random_sample"}
+
+
+def test_entry_registers_the_workload():
+    assert set(workload.QUERIES) <= set(entry.queries()) and set(workload.ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["user_id", "n"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_plans(spark, name):
     """No cross products, and Python only for IPv6 text."""
-    plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = workload.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in ("ip_normalise", "ip_rejects", "cidr_expand"):
         assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
