@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, crf, decontam, extract, fingerprints, infill, neardup, suffixdedup, tokenfiles, urlfilter, warc
+from feedloom.llm import bpe, crf, decontam, extract, fingerprints, infill, mixing, neardup, suffixdedup, tokenfiles, urlfilter, warc
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,46 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
     sha256(t) AS restored_sha256
 FROM p
 """
+
+
+# Sources of weight 5 lead early, those of weight 1 late; the whole of each is its target.
+CURRICULUM = (
+    mixing.Schedule(((0.0, 1.5), (1.0, 0.5))), mixing.Schedule(), mixing.Schedule(((0.0, 0.2), (0.5, 1.0), (1.0, 1.8))),
+)
+
+
+@query
+def op11_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed to target weights: the words that the training stream takes of each."""
+    documents, stream = mixing.curriculum(table(spark, folder, "documents"), (5, 2, 1), CURRICULUM, 3)
+    return mixing.taken_words(documents, stream).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op11_source_mix"] = r"""
+WITH d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        CAST('0x' || sha256('11:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15] AS BIGINT) AS draw
+    FROM documents
+), s AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source
+), w AS (
+    SELECT *, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s
+), o AS (
+    SELECT *, row_number() OVER l AS r, sum(source_size) OVER () - (sum(cap) OVER l - cap) AS rest,
+        sum(weight) OVER () - (sum(weight) OVER l - weight) AS open
+    FROM w WINDOW l AS (ORDER BY cap * 10 // weight, k ROWS UNBOUNDED PRECEDING)
+), level AS (
+    SELECT CAST(rest AS BIGINT) AS rest, CAST(open AS BIGINT) AS open FROM o WHERE cap * open >= rest * weight ORDER BY r LIMIT 1
+), t AS (
+    SELECT source, k, source_size, least(CAST(cap AS DOUBLE), CAST(weight * rest AS DOUBLE) / CAST(level.open AS DOUBLE)) AS target,
+        least(cap, weight * level.rest // level.open) AS words
+    FROM (SELECT source, k, source_size, weight, cap FROM w) CROSS JOIN level
+), a AS (
+    SELECT d.*, t.source_size, t.target, t.words,
+        coalesce(sum(d.size) OVER (PARTITION BY t.k ORDER BY draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size
+    + greatest(0, least(size, words % source_size - ahead)) END AS BIGINT) AS taken
+FROM a
+"""
