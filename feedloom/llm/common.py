@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import lru_cache
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader is done. Folders outside the shared folder are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        shared = urlparse(shared_folder(spark)).path
+        for folder in {unquote(file.rsplit("/", 1)[0]) for file in table.inputFiles()}:
+            if urlparse(folder).path.startswith(f"{shared}/"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; all other columns are left behind, so their names cannot clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

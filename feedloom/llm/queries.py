@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import bpe, crf, decontam, extract, fingerprints, infill, mixing, neardup, suffixdedup, tokenfiles, urlfilter, warc
+from feedloom.llm import bpe, clusters, crf, decontam, extract, fingerprints, infill, mixing, neardup, suffixdedup, tokenfiles, urlfilter, warc
 from feedloom.llm.common import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,3 +285,44 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
     + greatest(0, least(size, words % source_size - ahead)) END AS BIGINT) AS taken
 FROM a
 """
+
+
+@query
+def op13_shallot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """All usable embeddings in 40 clusters after five rounds."""
+    found = clusters.kmeans(table(spark, folder, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256")
+    )
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Assignment of all vectors and mean of all clusters, round after round."""
+    near = """a{i} AS MATERIALIZED (
+    SELECT v.vec_id, v.v, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+    FROM v CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.c) = 1
+)"""
+    mean = """c{j} AS MATERIALIZED (
+    SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT c, list(x ORDER BY k) AS v FROM (
+            SELECT c, k, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+            FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM a{i}) GROUP BY c, k
+        ) GROUP BY c
+    ) m USING (c)
+)"""
+    return ",\n".join(near.format(i=i) + (",\n" + mean.format(i=i, j=i + 1) if i < rounds else "") for i in range(rounds + 1))
+
+
+ORACLE["op13_shallot_clusters"] = f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v ORDER BY 1 LIMIT 40
+),
+{_rounds_sql(5)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+    CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a5 a JOIN c5 c USING (c)
+"""
