@@ -6,26 +6,26 @@ from pyspark.sql import functions as F
 from feedloom.llm import suffixdedup as sd
 
 
-def brute(rows):
+def brute(rows, length=sd.LENGTH):
     data = [(i, (t or "").encode()) for i, t in rows]
     seen = {}
     for _, b in data:
-        for p in range(len(b) - sd.LENGTH + 1):
-            w = b[p : p + sd.LENGTH]
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
             seen[w] = seen.get(w, 0) + 1
     out = []
     for i, b in data:
         gone = bytearray(len(b))
-        for p in range(len(b) - sd.LENGTH + 1):
-            if seen[b[p : p + sd.LENGTH]] > 1:
-                gone[p : p + sd.LENGTH] = b"\1" * sd.LENGTH
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = b"\1" * length
         runs = sum(1 for q in range(len(b)) if gone[q] and (q == 0 or not gone[q - 1]))
         out.append((i, len(b), runs, bytes(x for x, g in zip(b, gone) if not g)))
     return sorted(out, key=repr)
 
 
-def result(df):
-    rows = sd.remove_repeats(df).select("doc_id", "n_bytes", F.size("spans").alias("n"), "kept").collect()
+def result(df, length=sd.LENGTH):
+    rows = sd.remove_repeats(df, window=sd.Window(length)).select("doc_id", "n_bytes", F.size("spans").alias("n"), "kept").collect()
     return sorted(((r["doc_id"], r["n_bytes"], r["n"], bytes(r["kept"])) for r in rows), key=repr)
 
 
@@ -55,6 +55,12 @@ def test_against_brute_force(docs, seed):
     assert result(docs(*rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("length", [40, 200, 333])
+def test_other_lengths(docs, length):
+    rows = passages(length)
+    assert result(docs(*rows), length) == brute(rows, length)
+
+
 def test_large_classes_and_shuffled_joins(docs, monkeypatch):
     monkeypatch.setattr(sd, "CLASS_MEMBERS", 1)
     monkeypatch.setattr(sd, "BROADCAST_PLACES", -1)
@@ -84,6 +90,17 @@ def test_kept_text(docs, odd_docs):
     assert sd.with_kept_text(odd_docs.withColumn("n_chars", F.lit(1))).columns == [*odd_docs.columns, "n_chars"]
 
 
+def test_kept_text_by_words(docs):
+    """Of a repeated run of bytes, only one with enough words goes; extra columns of any name are passed on."""
+    few, many = " ".join("w" * 20 + str(k) for k in range(20)), " ".join(f"v{k}" for k in range(100, 170))
+    rows = docs((1, f"one {few} and {many} end"), (2, f"two {many} mid {few}"), (3, None))
+    named = rows.withColumns({c: F.lit("x") for c in ("row", "spans", "k1", "k2", "_k1", "_spans", "cut", "a.b")}).withColumn("n_chars", F.lit(0))
+    found = sd.with_kept_text(named, window=sd.Window(200), words=50)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert found.columns == named.columns and got[1]["a.b"] == "x" and got[3]["text"] is None and got[3]["n_chars"] == 0
+    assert got[1]["text"] == f"one {few} andend" and got[2]["text"] == f"twomid {few}" and got[1]["n_chars"] == len(got[1]["text"])
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = sd.remove_repeats(odd_docs).collect()
     assert len(rows) == 13
