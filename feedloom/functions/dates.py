@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import literal, stripped
+from feedloom.functions.sqltext import literal, name, stripped
 
 # Accepted spellings, as (shape, pattern). A value is parsed by the first shape it
 # has; two-digit years up to 68 lie in this century, the others in the last.
@@ -69,7 +69,7 @@ def instant_sql(x: str) -> str:
 
 def instant(column: str) -> Column:
     """Timestamp of a text column in any accepted spelling."""
-    return F.expr(instant_sql(f"cast({column} as string)"))
+    return F.expr(instant_sql(f"cast({name(column)} as string)"))
 
 
 def day_text(day: Column) -> Column:
@@ -92,7 +92,7 @@ def date_set(column: str) -> Column:
     Each comma-separated part is tried as a range split at ` to `, ` - ` and `-`, in this order and
     only where both ends parse, and as a single date otherwise. Reversed ranges are turned around.
     """
-    cell = stripped(f"cast({column} as string)")
+    cell = stripped(f"cast({name(column)} as string)")
     body = f"if(startswith({cell}, '[') and endswith({cell}, ']'), substring({cell}, 2, length({cell}) - 2), {cell})"
     parts = f"transform(split({body}, ','), p -> regexp_replace({stripped('p')}, '[\"\\']', ''))"
     ends = ", ".join(
@@ -108,7 +108,7 @@ def date_set(column: str) -> Column:
     days = f"flatten(transform({chosen}, r -> sequence({first}, date_add({first}, {steps}))))"
     whole = f"flatten(transform(filter({parts}, p -> p <> ''), p -> {days}))"
     empty = "cast(array() as array<date>)"
-    return F.expr(f"if({column} is null or lower({cell}) = 'nan', {empty}, array_sort(array_distinct({whole})))")
+    return F.expr(f"if({name(column)} is null or lower({cell}) = 'nan', {empty}, array_sort(array_distinct({whole})))")
 
 
 def parse_span(text: str, today: date | None = None) -> tuple[date, date] | None:

@@ -17,6 +17,11 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def name(column: str) -> str:
+    """Column name as SQL text, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def field(source: str, key: str) -> str:
     """Member `key` of the VARIANT expression `source`: NULL if missing, variant null if null."""
     if PLAIN_KEY.fullmatch(key):

@@ -135,6 +135,12 @@ def skipped(df: DataFrame, done: DataFrame, ip: str = "IP", day: str = "Timestam
     return _by_key(df, done, "left_semi", ip, day)
 
 
+def marked_done(df: DataFrame, done: DataFrame, name: str, ip: str = "IP", day: str = "Timestamp") -> DataFrame:
+    """All requests, with the column `name`: whether the key is among the (distinct) done keys."""
+    known = done.withColumn(name, F.lit(True))
+    return _by_key(df, known, "left", ip, day).withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def dates_per_ip(sheet: DataFrame, ip: str, stamp: str, seq: Column) -> DataFrame:
     """(ip, dates): date set of the last row per ip that names any date."""
     rows = sheet.select(strip(F.col(ip).cast("string")).alias("ip"), seq.alias("seq"), bound(dates=date_set(stamp)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.dates import parse_span
-from feedloom.operators import enrich, forensics, lines, profile, requests, snapshots, tags, timeline
+from feedloom.operators import enrich, forensics, lines, profile, requests, retry, snapshots, tags, timeline
 from feedloom.operators.criteria import Criterion, compile_criteria
 from feedloom.session import configure, staged
 from feedloom.sources import feeds, sinks
@@ -128,26 +128,64 @@ def enrich_list(
 
 def enrich_sheet(
     spark: SparkSession, sheet: str, context: DataFrame, out: str, cap: int | None = None,
-    done: list[str] | None = None, columns: tuple[str, str | None, str | None] | None = None,
+    done: list[str] | None = None, columns: tuple[str, str | None, str | None] | None = None, multi_line: bool = False,
 ) -> tuple[dict[str, int], DataFrame | None]:
     """Sheet to requests per day, minus those done before, looked up and written by status.
 
-    Returns the run counters, counted on the way, and the audit of the ranges cut by the cap.
+    Returns the run counters, counted on the way, and the audit of the ranges cut by the cap. `multi_line` reads cells with line breaks.
     """
     configure(spark)
-    rows = feeds.read_sheet(spark, sheet)
+    rows = feeds.read_sheet(spark, sheet, multi_line)
     ip, start, end = columns or requests.map_columns(rows.columns)
     asked = requests.valid_requests(requests.expand_days(rows.withColumnRenamed(ip, "IP"), start, end, cap))
-    todo, skipped = asked, 0
+    left = Observation("left")
     if done:
         keys = requests.done_keys(*[feeds.read_feed(spark, p) for p in done])
-        todo, skipped = requests.resume(asked, keys), requests.skipped(asked, keys).count()
-    counters = {**_look_up(todo, context, out), "skipped": skipped}
+        asked = requests.marked_done(asked, keys, "_done").observe(left, F.count_if("_done").alias("skipped"))
+        asked = asked.filter("not _done").drop("_done")
+    else:
+        asked = asked.observe(left, F.lit(0).cast("bigint").alias("skipped"))
+    # The lookup reads the requests twice: for the span of days and for the join.
+    counters = {**_look_up(staged(asked, "sheet-requests"), context, out), **left.get}
     counters["processed"] = sum(counters.values())
     audit = requests.skipped_ranges(rows, ip, start, end or start, cap) if cap and start else None
     return counters, audit
 
 
+def sheet_days(spark: SparkSession, path: str, multi_line: bool = False) -> retry.SheetDays:
+    """Days per ip from a sheet whose ip and date columns are found by name."""
+    sheet = feeds.read_sheet(configure(spark), path, multi_line, position="row_position")
+    return retry.SheetDays(sheet, *requests.map_columns_loosely([c for c in sheet.columns if c != "row_position"]), "row_position")
+
+
+def sheet_range(spark: SparkSession, path: str, multi_line: bool = False) -> retry.SheetRange:
+    """All days between the first and the last of a sheet."""
+    sheet = feeds.read_sheet(configure(spark), path, multi_line)
+    return retry.SheetRange(sheet, requests.map_columns_loosely(sheet.columns)[1])
+
+
+def retry_failed(
+    spark: SparkSession, path: str, context: DataFrame, out: str, sources: list[retry.Source], done: list[str] | None = None
+) -> dict[str, int]:
+    """Look the failed records of an earlier run up again on the days that `sources` name, written by status.
+
+    `done` are outputs of earlier retries: what they hold, found or not, is not asked again. Returns counters of records
+    (records, without_ip, undated) and of requests (skipped, success, failed, processed), all counted on the way.
+    """
+    configure(spark)
+    seen, left, run = Observation("records"), Observation("left"), Observation("run")
+    asked = retry.plan(feeds.read_feed(spark, path), sources, seen)
+    keys = retry.retried_keys(*[feeds.read_feed(spark, p) for p in done]) if done else None
+    # The lookup reads the requests twice: for the span of days and for the join.
+    todo = staged(retry.without_done(asked, keys, left), "retry-requests")
+    found = enrich.context_lookup(todo, context, name_day=True)
+    ok = F.col("status") == enrich.OK
+    found = found.observe(run, F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+    retry.retried_lines(found).write.partitionBy("status").text(out)
+    counters = {**seen.get, **left.get, **run.get}
+    return {**counters, "processed": counters["success"] + counters["failed"]}
+
+
 def timeline_report(
     context: DataFrame, ips: DataFrame, span: str, today: date | None = None, search_key: str | None = None, search_value: str | None = None
 ) -> dict[str, DataFrame]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.bind import bound
 from feedloom.functions.dates import date_set, day_of, instant, parse_span, span_column
 from feedloom.functions.ips import v4_text
-from feedloom.operators import enrich, requests, snapshots
+from feedloom.operators import enrich, requests, retry, snapshots
 from feedloom.plans.registry import Tables, fanned, query
 from feedloom.sources.feeds import split_items
 
@@ -155,6 +157,42 @@ def global_range_requests(t: Tables) -> DataFrame:
     return rows.groupBy(F.date_format("dt", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
 
 
+@query(_CELLS + """
+, failed as (select o_orderkey, cast(o_custkey as varchar) as ip, o_orderdate::date as day, o_orderstatus as s from orders),
+last as (select ip, max(o_orderkey) as o_orderkey from cells group by ip),
+asked as (
+  select o_orderkey, ip, day + cast(unnest([-1, 0, 1]) as int) as d from failed where s <> 'P'
+  union select failed.o_orderkey, failed.ip, cells.d from failed join last on last.ip = failed.ip
+    join cells on cells.ip = last.ip and cells.o_orderkey = last.o_orderkey
+  union select o_orderkey, ip, unnest([date '1995-03-01', date '1995-03-02']) from failed
+  union select o_orderkey, ip, null from failed
+)
+select coalesce(strftime(d, '%Y%m%d'), 'Current') as queried, count(*) as n, count(distinct ip) as ips from asked
+where not exists (select 1 from customer where cast(c_custkey as varchar) = asked.ip
+  and (c_nationkey = 3 and asked.d = date '1995-03-01' or c_nationkey = 4 and asked.d is null))
+group by 1
+""")
+def retry_requests(t: Tables) -> DataFrame:
+    """Requests for failed records on the days around their own, on the sheet's days of their ip, on named days and for the current
+    state, each once, minus those that earlier outputs hold."""
+    record = F.struct(F.col("o_custkey").cast("string").alias("IP"), F.when(F.col("o_orderstatus") != "P", _day("o_orderdate")).alias("Timestamp"))
+    # Members that are null are left out; the key tells the records apart.
+    raw = F.to_json(F.struct(record["IP"].alias("IP"), record["Timestamp"].alias("Timestamp"), F.col("o_orderkey").alias("id")))
+    failed = fanned(t.orders).select(raw.alias("raw")).select("raw", bound(v=F.parse_json("raw")))
+    sources = [
+        retry.Around(1), retry.SheetDays(_cells(t), "ip", "date", "o_orderkey"),
+        retry.Days((date(1995, 3, 1), date(1995, 3, 2))), retry.Current(),
+    ]
+
+    def output(nation: int, name: str, queried: str) -> DataFrame:
+        line = F.struct(F.col("c_custkey").cast("string").alias(name), F.lit(queried).alias("Queried_Date"))
+        return t.customer.filter(F.col("c_nationkey") == nation).select(F.parse_json(F.to_json(line)).alias("v"))
+
+    done = retry.retried_keys(output(3, "IP", "19950301"), output(4, "ip", "Current"))
+    asked = retry.without_done(retry.plan(failed, sources), done)
+    return asked.groupBy(requests.queried_date(F.col("dt")).alias("queried")).agg(F.count("*").alias("n"), F.countDistinct("IP").alias("ips"))
+
+
 @query("""
 with keys as (
   select o_orderkey, o_orderstatus, cast(o_custkey as varchar) || '|' || case when o_orderpriority[1] = '5' then 'none' else strftime(o_orderdate, '%Y%m%d') end as k

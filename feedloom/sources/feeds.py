@@ -169,13 +169,16 @@ def read_tag_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_lines(spark, path).select(F.col("raw").alias("tag"))
 
 
-def read_sheet(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str | list[str], multi_line: bool = False, position: str | None = None) -> DataFrame:
     """CSV sheet with lower-case, trimmed headers; every cell is text. Quotes in a quoted cell are doubled.
 
-    `multi_line` reads line breaks inside quoted cells; a file is then one task.
+    `multi_line` reads line breaks inside quoted cells; a file is then one task. `position` names a column for the place of each row.
     """
     df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line)
-    return df.toDF(*[c.strip().lstrip("\ufeff").lower() for c in df.columns])
+    names = [c.strip().lstrip("\ufeff").lower() for c in df.columns]
+    if not position:
+        return df.toDF(*names)
+    return df.select("*", F.struct(*_position()).alias(position)).toDF(*names, position)
 
 
 def read_items(spark: SparkSession, path: str | list[str]) -> DataFrame:
