@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_array, as_object, strict_json, stripped
 from feedloom.functions.text import strip
+from feedloom.session import staged
+from feedloom.sources.documents import array_members
 
 DOCUMENT, JSONL, AUTO = "document", "jsonl", "auto"
 
-# Largest file one row can hold.
+# Largest object one row can hold.
 DOCUMENT_BYTES = 2**31 - 1
 
 # File extensions that always hold one JSON value per line.
@@ -81,61 +83,77 @@ def unwrapped(df: DataFrame, objects_only: bool = False) -> DataFrame:
     return out.filter(F.expr(f"{as_object('v')} is not null")) if objects_only else out
 
 
-def _multi_line_files(spark: SparkSession, path) -> list[str]:
-    """Files whose first line is not JSON on its own: only these can be one document over many lines.
-
-    One that is too large for a row is an error; convert it to lines first.
-    """
-    text = spark.read.text(path).select(
+def _heads(spark: SparkSession, paths: list[str], whole: bool = False) -> DataFrame:
+    """(file, is_array, size) of the files whose first line is not JSON on its own but opens an array or object: only these can be one
+    document over many lines. With `whole`, of all files that open one."""
+    text = spark.read.text(paths).select(
         strip(F.col("value")).alias("raw"), *_position(), F.col("_metadata.file_size").alias("size")
     )
-    lines = text.filter(F.col("raw") != "")
-    first = lines.groupBy("file").agg(F.min_by("raw", F.struct("block", "line")).alias("head"), F.max("size").alias("size"))
-    opened = first.filter(F.expr(strict_json("head")).isNull() & F.col("head").rlike(r"^[\[{]")).select("file", "size").collect()
-    large = [r.file for r in opened if r.size > DOCUMENT_BYTES]
+    first = text.filter(F.col("raw") != "").groupBy("file").agg(
+        F.min_by("raw", F.struct("block", "line")).alias("head"), F.max("size").alias("size")
+    )
+    opened = first.filter(F.col("head").rlike(r"^[\[{]"))
+    if not whole:
+        opened = opened.filter(F.expr(strict_json("head")).isNull())
+    return staged(opened.select("file", F.startswith("head", F.lit("[")).alias("is_array"), "size"), "document-heads")
+
+
+def _object_documents(spark: SparkSession, heads: DataFrame) -> DataFrame | None:
+    """(file, line, v) of the files that open an object, each as one document or else by its lines; a file has to fit a row."""
+    files = heads.filter("not is_array").select("file", "size").collect()  # names only, one per file
+    if not files:
+        return None
+    large = [r.file for r in files if r.size > DOCUMENT_BYTES]
     if large:
-        raise ValueError(f"too large for one document, convert to lines: {large[0]}")
-    return [r.file for r in opened]
+        raise ValueError(f"too large for one record: {large[0]}")
+    # File names in metadata are URL-encoded, paths to read are not.
+    text = spark.read.text([unquote(r.file) for r in files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    doc = parsed(text, "value")
+    lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> {strict_json(stripped('l'))})"
+    items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
+    return doc.select("file", items).filter("v is not null")
 
 
 def read_documents(spark: SparkSession, path: str | list[str], format: str = AUTO, objects_only: bool = False) -> DataFrame:
     """Records (raw, file, block, line, item, v) of JSON arrays, single objects or JSON lines.
 
-    auto: a file whose first line parses is read by line, any other as one document, falling back
-    to its lines if the document does not parse. A document is one task; convert large arrays with
-    `array_to_lines` first. Finding the first lines is one more pass over files that do not end in
-    .jsonl or .ndjson: name the format for large inputs. Malformed lines are dropped.
+    auto: a file whose first line parses is read by line, any other as one document, falling back to its lines if the document does
+    not parse. An array of any size is cut into its members by many tasks; an object is one record. Finding the first lines is one
+    more pass over files that do not end in .jsonl or .ndjson: name the format for large inputs. Malformed lines are dropped.
     """
     columns = ["raw", "file", "block", "line", "item", "v"]
     paths = [path] if isinstance(path, str) else list(path)
     if format == JSONL or (format == AUTO and all(p.lower().endswith(LINE_SUFFIXES) for p in paths)):
         return unwrapped(read_feed(spark, paths), objects_only).select(columns)
-    whole_files = [quote(p) for p in paths] if format == DOCUMENT else _multi_line_files(spark, paths)
-    by_line = None
-    if format == AUTO:
-        by_line = unwrapped(read_feed(spark, paths), objects_only)
-        if whole_files:
-            by_line = by_line.filter(~F.col("file").isin(whole_files))
-        by_line = by_line.select(columns)
-    if not whole_files:
-        return by_line
-    # File names in metadata are URL-encoded, paths to read are not.
-    text = spark.read.text([unquote(f) for f in whole_files], wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    doc = parsed(text, "value")
-    lines = f"transform(filter(split(value, '\\\\R'), l -> {stripped('l')} <> ''), l -> {strict_json(stripped('l'))})"
-    items = F.expr(f"posexplode(if(v is null, {lines}, array(v)))").alias("line", "v")
-    records = unwrapped(doc.select("file", items).filter("v is not null"), objects_only)
-    records = records.select(
-        F.to_json("v").alias("raw"), "file", F.lit(0).cast("bigint").alias("block"), F.col("line").cast("bigint").alias("line"), "item", "v"
-    )
-    return records if by_line is None else by_line.unionByName(records)
+    heads = _heads(spark, paths, format == DOCUMENT)
+    arrays = heads.filter("is_array").select("file")
+    out = unwrapped(read_feed(spark, paths).join(heads.select("file"), "file", "left_anti"), objects_only).select(columns)
+    if not arrays.isEmpty():
+        lines = read_lines(spark, paths).join(arrays, "file", "left_semi")
+        members = staged(array_members(lines), "array-members")
+        broken = members.filter("v is null").select("file").distinct()
+        # Member numbers beyond an int go on in `line`.
+        top = F.lit(2**30)
+        good = members.join(broken, "file", "left_anti").select(
+            F.to_json("v").alias("raw"), "file", F.lit(0).cast("bigint").alias("block"), F.expr("member div 1073741824L").alias("line"),
+            (F.col("member") % top).cast("int").alias("item"), "v",
+        )
+        by_line = parsed(lines.join(broken, "file", "left_semi")).filter("v is not null")
+        out = out.unionByName(good.filter(F.expr(f"{as_object('v')} is not null")) if objects_only else good)
+        out = out.unionByName(unwrapped(by_line, objects_only).select(columns))
+    documents = _object_documents(spark, heads)
+    if documents is not None:
+        out = out.unionByName(unwrapped(documents, objects_only).select(
+            F.to_json("v").alias("raw"), "file", F.lit(0).cast("bigint").alias("block"), F.col("line").cast("bigint").alias("line"), "item", "v"
+        ))
+    return out
 
 
 def array_to_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Members of a JSON array file as canonical lines (`value`); anything but an array is an error."""
-    text = parsed(spark.read.text(path, wholetext=True).select(F.col("value").alias("raw")))
-    members = f"coalesce({as_array('v')}, raise_error('input is not a JSON array'))"
-    return text.select(F.expr(f"explode({members})").alias("v")).select(F.to_json("v").alias("value"))
+    """Members of a JSON array file of any size as canonical lines (`value`); anything but an array is an error."""
+    members = array_members(read_lines(spark, path))
+    checked = F.when(F.col("v").isNull(), F.raise_error(F.lit("input is not a JSON array")).cast("string")).otherwise(F.to_json("v"))
+    return members.select(checked.alias("value"))
 
 
 def tag_text(v: str, raw: str) -> Column:
@@ -152,13 +170,13 @@ def read_tags(spark: SparkSession, path: str | list[str], objects_only: bool = F
 
     objects_only keeps just the `tag` members of objects. Values without a tag are dropped.
     """
-    whole = _multi_line_files(spark, path)
-    lines = parsed(read_lines(spark, path))
-    if whole:
-        lines = lines.filter(~F.col("file").isin(whole))
+    paths = [path] if isinstance(path, str) else list(path)
+    heads = _heads(spark, paths)
+    lines = parsed(read_lines(spark, paths)).join(heads, "file", "left_anti")
     items = unwrapped(lines).select("raw", "v")
+    whole = [unquote(r.file) for r in heads.select("file").collect()]  # names only, one per file
     if whole:
-        items = items.unionByName(read_documents(spark, [unquote(f) for f in whole], DOCUMENT).select("raw", "v"))
+        items = items.unionByName(read_documents(spark, whole, DOCUMENT).select("raw", "v"))
     if objects_only:
         items = items.filter(F.expr(f"{as_object('v')} is not null"))
     return items.select(tag_text("v", "raw").alias("tag")).filter(F.col("tag").isNotNull() & (F.col("tag") != ""))

@@ -183,7 +183,9 @@ def test_raw_tags_that_begin_like_json(spark, tmp_path):
 
 def test_a_document_beyond_the_row_limit_is_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(feeds, "DOCUMENT_BYTES", 10)
-    path = write(tmp_path / "d.json", '[\n{"ip": "1.1.1.1",\n"n": 1}\n]')
+    array = write(tmp_path / "a.json", '[\n{"ip": "1.1.1.1",\n"n": 1}\n]')
+    assert feeds.read_documents(spark, array).count() == 1
+    path = write(tmp_path / "d.json", '{"ip": "1.1.1.1",\n"n": 1}')
     with pytest.raises(ValueError, match="too large"):
         feeds.read_documents(spark, path).collect()
     lines = write(tmp_path / "l.json", '{"ip": "1.1.1.1"}\n{"ip": "2.2.2.2"}\n')
