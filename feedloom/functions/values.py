@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.sqltext import as_array, as_object
+from feedloom.functions.sqltext import as_array, literal
 
 # The five value types of a profile signature.
 NULL, BOOL, NUMBER, STRING, CONTAINER = "null", "bool", "number", "string", "json"
@@ -17,8 +17,9 @@ NULL, BOOL, NUMBER, STRING, CONTAINER = "null", "bool", "number", "string", "jso
 # Canonical texts of the values that count as "no data".
 EMPTY_TEXTS = ["null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"]
 
-# Nesting below a list that unordered comparison follows.
-MEMBER_DEPTH = 8
+# Brackets and commas of settled texts, and the characters that stand for them while a list is being settled. JSON texts
+# never hold control characters.
+_MARKS, _HIDDEN = "[]{},", "\\u0011\\u0012\\u0013\\u0014\\u0015"
 
 NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -97,39 +98,46 @@ def leaf_text(v: str) -> str:
     return f"coalesce(array_join({items}, ','), {scalar_text(v)})"
 
 
-def _settled(x: str, depth: int) -> str:
-    """SQL text: comparable text of a VARIANT with the lists inside it sorted, `depth` levels deep."""
-    real = "try_cast(t as double)"
-    scalar = (
-        f"transform(array(to_json({x})), t -> case when t = 'true' then '1' when t = 'false' then '0' "
-        f"when not t rlike '^[-0-9]' or t rlike '^-?[0-9]+$' then t "
+# Strings, brackets and signs, and what lies between them.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{},:]|[^"\[\]{},:]+'
+# A text whose strings hold no sign and no escape, and whose numbers are whole: it is its own list of tokens.
+_SIMPLE = r'^(?:"[^"\\\[\]{},]*+"|[\[\]{},:]|-?[0-9]++(?![.eE])|null)++$'
+_INNERMOST = r"[\[{][^\[\]{}]*+[\]}]"
+
+
+def _hidden(x: str) -> str:
+    return f"translate({x}, '{_MARKS}', '{_HIDDEN}')"
+
+
+def _token(t: str) -> str:
+    """SQL text: a token as it is compared: brackets in strings hidden, booleans and numbers by value."""
+    real = f"try_cast({t} as double)"
+    return (
+        f"case when startswith({t}, '\"') then {_hidden(t)} when {t} = 'true' then '1' when {t} = 'false' then '0' "
+        f"when not {t} rlike '^[-0-9]' or {t} rlike '^-?[0-9]+$' then {t} "
         f"when {real} = floor({real}) and abs({real}) < 1e18 then cast(cast({real} as bigint) as string) "
-        f"else cast({real} as string) end)[0]"
-    )
-    obj, arr = as_object(x), as_array(x)
-    if depth == 0:
-        deep = "raise_error('list members are nested too deep to compare')"
-        return f"if({obj} is null and {arr} is null, {scalar}, {deep})"
-    # Members of objects and of lists share one lambda, so that the text grows linearly with depth.
-    c, ts = f"c{depth}", f"ts{depth}"
-    members = f"coalesce(map_entries({obj}), transform({arr}, y -> struct(cast(null as string) as key, y as value)))"
-    name = f"coalesce(concat(to_json(cast({c}.key as variant)), ':'), '')"
-    texts = f"transform({members}, {c} -> concat({name}, {_settled(f'{c}.value', depth - 1)}))"
-    container = (
-        f"transform(array({texts}), {ts} -> if({obj} is not null, concat('{{', array_join({ts}, ','), '}}'), "
-        f"concat('[', array_join(array_sort({ts}), ','), ']')))[0]"
+        f"else cast({real} as string) end"
     )
-    return f"if({obj} is null and {arr} is null, {scalar}, {container})"
 
 
-def list_members(text: str, depth: int = MEMBER_DEPTH) -> Column:
-    """Comparable text of each member of the JSON list in SQL expression `text`; NULL for anything else.
+def list_members(text: str) -> Column:
+    """Comparable text of each member of the canonical JSON list in SQL expression `text`; NULL for anything else.
 
-    Order is kept, lists inside the members are sorted; members nested deeper than `depth` raise.
+    Order is kept; lists inside the members, at any depth, are sorted: in each step all innermost containers are settled at once, with
+    their brackets hidden, until only the outer list is left. The text of the expression does not depend on the depth.
     """
-    members = as_array(f"try_parse_json(if(startswith({text}, '['), {text}, null))")
-    # Without another bracket after the first there are scalars only, and nothing inside them to settle.
-    flat = f"not substring({text}, 2) rlike '[\\\\[{{]'"
-    return F.expr(
-        f"if({flat}, transform({members}, m -> {_settled('m', 0)}), transform({members}, m -> {_settled('m', depth)}))"
-    )
+    r, tokens = literal(_INNERMOST), f"regexp_extract_all({text}, {literal(_TOKENS)}, 0)"
+    start = f"if({text} rlike {literal(_SIMPLE)}, {text}, array_join(transform({tokens}, t -> {_token('t')}), ''))"
+    more = "substring(n, 2) rlike '[\\\\[{]'"
+    members = "array_join(array_sort(split(substring(x, 2, length(x) - 2), ',')), ',')"
+    settled = f"if(startswith(x, '['), concat('[', {members}, ']'), x)"
+    inner = f"transform(regexp_extract_all(acc.t, {r}, 0), x -> {_hidden(settled)})"
+    joined = f"array_join(zip_with(split(acc.t, {r}), {inner}, (p, x) -> concat(p, coalesce(x, ''))), '')"
+    state = f"n -> struct(n as t, {more} as more)"
+    step = f"(acc, i) -> if(acc.more, transform(array({joined}), {state})[0], acc)"
+    # Each step closes a level, and there are no more levels than brackets.
+    steps = "sequence(1, length(s) - length(translate(s, '[{', '')))"
+    whole = f"transform(array({start}), s -> aggregate({steps}, transform(array(s), {state})[0], {step}, acc -> acc.t))[0]"
+    shown = f"transform(split(substring(w, 2, length(w) - 2), ','), m -> translate(m, '{_HIDDEN}', '{_MARKS}'))"
+    listed = f"transform(array({whole}), w -> if(w = '[]', cast(array() as array<string>), {shown}))[0]"
+    return F.expr(f"if(startswith({text}, '['), {listed}, null)")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import day_text
 from feedloom.functions.sqltext import as_array, as_object, field
-from feedloom.functions.values import MEMBER_DEPTH, equality_key, list_members
+from feedloom.functions.values import equality_key, list_members
 from feedloom.operators.grouping import last_per_key
 from feedloom.operators.paths import MAX_DEPTH
 
@@ -60,13 +60,12 @@ def _deeper_pairs(max_depth: int) -> str:
     )
 
 
-def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_depth: int = MAX_DEPTH, member_depth: int = MEMBER_DEPTH) -> DataFrame:
+def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Differences of two records per row: other columns, path, change, old_value, new_value (JSON text).
 
     Objects on both sides are opened level by level, equal members are dropped before that, and a
-    subtree on one side only stays whole. Lists compare without order, numbers and booleans by
-    value; a missing member differs from null. Lists in list members compare without order down to `member_depth` levels; deeper
-    ones are an error.
+    subtree on one side only stays whole. Lists compare without order, those in their members too, at
+    any depth; numbers and booleans by value; a missing member differs from null.
     """
     keep = [c for c in pairs.columns if c not in (old, new)]
     rows = pairs.filter(F.col(old).isNotNull() & F.col(new).isNotNull())
@@ -89,7 +88,7 @@ def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_dept
     both_lists = o.startswith("[") & n.startswith("[")
     differs = (
         F.when(o.isNull() | n.isNull(), F.lit(True))
-        .when(both_lists, F.array_sort(list_members("old_value", member_depth)) != F.array_sort(list_members("new_value", member_depth)))
+        .when(both_lists, F.array_sort(list_members("old_value")) != F.array_sort(list_members("new_value")))
         .otherwise(equality_key(o) != equality_key(n))
     )
     change = F.when(o.isNull(), F.lit(ADDED)).when(n.isNull(), F.lit(REMOVED)).otherwise(F.lit(CHANGED))
@@ -137,12 +136,12 @@ def timeline_events(series: DataFrame, key: str = "ip", max_depth: int = MAX_DEP
     return first.unionByName(changes).unionByName(last)
 
 
-def list_delta(old: str, new: str, member_depth: int = MEMBER_DEPTH) -> dict[str, Column]:
+def list_delta(old: str, new: str) -> dict[str, Column]:
     """added and removed members of the JSON lists in two columns, as sorted canonical texts.
 
     A change of multiplicity alone gives two empty lists.
     """
-    o, n = list_members(old, member_depth), list_members(new, member_depth)
+    o, n = list_members(old), list_members(new)
     shown = lambda m: F.regexp_replace(m, r'^"|"$', "")
     by_text = lambda a, b: F.when(shown(a) < shown(b), -1).when(shown(a) > shown(b), 1).otherwise(0)
     return {

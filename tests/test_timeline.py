@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 
 import pytest
@@ -47,6 +48,46 @@ def test_unordered_lists(pair, old, new, same):
     assert pair({"l": old}, {"l": new}) == ({} if same else {"l": ("changed", old, new)})
 
 
+def settled(x):
+    """Members in an order that does not depend on the order of lists, booleans as numbers."""
+    if isinstance(x, list):
+        return ["list", *sorted((settled(y) for y in x), key=repr)]
+    if isinstance(x, dict):
+        return {k: settled(x[k]) for k in sorted(x)}
+    return float(x) if isinstance(x, (int, float)) else x
+
+
+def test_random_nested_lists(spark):
+    """Against a plain recursive comparison, 30 levels deep, with strings full of signs."""
+    draw = random.Random(3)
+    words = ["", "a,b", "[", "]}", '"', "\\", "x:1", "\u0011", "é"]
+
+    def value(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.2:
+            return draw.choice([1, 1.0, 2.5, -3, True, None, 10**20, *words])
+        if kind < 0.7:
+            return [value(depth - 1) for _ in range(draw.randrange(1, 4) if depth < 4 else 1)]
+        return {draw.choice(words) + str(k): value(depth - 1) for k in range(draw.randrange(3) if depth < 4 else 1)}
+
+    def turned(x):
+        if isinstance(x, list):
+            return draw.sample([turned(y) for y in x], len(x))
+        return {k: turned(y) for k, y in x.items()} if isinstance(x, dict) else x
+
+    rows = []
+    for k in range(120):
+        old = [value(draw.choice([1, 3, 6, 30])) for _ in range(draw.randrange(4))]
+        new = turned(old) if k % 2 else [value(3) for _ in old]
+        if k % 4 == 1 and new:
+            new[0] = value(2)
+        rows.append((k, json.dumps({"l": old}), json.dumps({"l": new})))
+    df = spark.createDataFrame(rows, "k int, o string, n string").selectExpr("k", "parse_json(o) as old_v", "parse_json(n) as new_v")
+    changed = {r.k for r in tl.deep_diff(df).select("k").collect()}
+    wanted = {k for k, o, n in rows if settled(json.loads(o)["l"]) != settled(json.loads(n)["l"])}
+    assert changed == wanted and 20 < len(wanted) < 100
+
+
 def test_deep_levels_and_limit(pair):
     def nest(x, depth):
         for _ in range(depth):
