@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments (by tag, role, class or id) are left out. The first pass judges every other block by itself: many links are bad; long
+comments (by tag, role, class or id) are left out. Classes and ids are only hints, as is a form: where nothing good is left, the one
+such part that holds most of the good text is the article after all. The first pass judges every other block by itself: many links are bad; long
 blocks with enough stop words are good; short ones, and blocks of an article with few stop words, stay open. In the second pass
 an open block takes the label of the nearest decided block before and after it; where these differ, or no block of the
 page is good, the article's own open blocks are good and others are bad.
@@ -56,6 +57,9 @@ pagination popup promo promoted promotion related recommended replies reply resp
 sponsored subscribe toolbar topbar widget widgets
 """.split())
 OUTSIDE_HEADERS = frozenset("header".split())
+# First and last parts of names that tell of a state (has-sidebar, ad-free), not of what the element is.
+STATE_STARTS = frozenset("has have is no non not with without hide hides hidden show shows".split())
+STATE_ENDS = frozenset("free less".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -63,33 +67,50 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
+KEPT, HINTED, OUT = 0, 1, 2
+
+
+def _hinted(value: str, in_article: bool) -> bool:
+    """Whether a class or id names something beside the article. Each of its names is taken whole: one that tells of a state is none."""
+    for name in value.split():
+        parts = _PART.findall(name)
+        if not parts or parts[0] in STATE_STARTS and len(parts) > 1 or parts[-1] in STATE_ENDS:
+            continue
+        if not OUTSIDE_NAMES.isdisjoint(parts) or (not in_article and not OUTSIDE_HEADERS.isdisjoint(parts)):
+            return True
+    return False
+
+
+def _outside(tag: str, attributes: str, in_article: bool) -> int:
+    if tag == "form":
+        return HINTED
     if tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
-        return True
+        return OUT
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return KEPT
+    found = KEPT
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "role" and value in OUTSIDE_ROLES):
-            return True
+            return OUT
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id"):
-            words = _NAME.findall(value)
-            if not OUTSIDE_NAMES.isdisjoint(words) or (not in_article and not OUTSIDE_HEADERS.isdisjoint(words)):
-                return True
-    return False
+            return OUT
+        if name in ("class", "id") and _hinted(value, in_article):
+            found = HINTED
+    return found
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool]]:
-    """(text, characters, characters in links, inside an article) of the blocks that are not in a left-out part."""
-    found: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, article
-    outside = article = links = 0
+def blocks(html: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters, characters in links, inside an article, part) of the blocks that are in no left-out part (part 0) or only in
+    one that is left out on a hint (numbered from 1)."""
+    found: list[tuple[str, int, int, bool, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, left out, article
+    outside = article = links = part = parts = 0
+    hard = False  # more than one hint, or a part that is surely no article
     text: list[tuple[str, bool]] = []
 
     def close_block() -> None:
@@ -97,19 +118,20 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
             whole = " ".join("".join(t for t, _ in text).split())
             if whole:
                 linked = len(" ".join("".join(t for t, a in text if a).split()))
-                found.append((whole, len(whole), linked, article > 0))
+                found.append((whole, len(whole), linked, article > 0, part if outside else 0))
             text.clear()
 
     def leave(depth: int) -> None:
-        nonlocal outside, article, links
+        nonlocal outside, article, links, hard
         while len(stack) > depth:
             tag, left_out, own = stack.pop()
             outside -= left_out
             article -= own
             links -= tag == "a"
+            hard = outside > HINTED
 
     def add(chunk: str) -> None:
-        if chunk and not outside:
+        if chunk and not hard:
             text.append((unescape(chunk), links > 0))
 
     at = 0
@@ -118,7 +140,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
         at = token.end()
         raw, closing, tag, attributes = token.groups()
         if tag is None:
-            if raw and not outside and raw.lower() not in ("script", "style", "title"):
+            if raw and not hard and raw.lower() not in ("script", "style", "title"):
                 text.append((" ", False))
             continue
         tag = tag.lower()
@@ -129,6 +151,8 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
+                    if any(s[1] and s[0] in BLOCK_TAGS for s in stack[depth:]):
+                        close_block()
                     leave(depth)
                     break
             continue
@@ -145,9 +169,15 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
             elif "p" in names:
                 leave(len(names) - 1 - names[::-1].index("p"))
         left_out = _outside(tag, attributes or "", article > 0)
+        if left_out == HINTED and tag not in BLOCK_TAGS:
+            left_out = OUT  # a piece of a line is no article
+        if left_out and not outside:
+            parts += 1
+            part = parts
         own = tag in ("article", "main")
         stack.append((tag, left_out, own))
         outside += left_out
+        hard = outside > HINTED
         article += own
         links += tag == "a"
     add(html[at:])
@@ -167,9 +197,24 @@ def _first_pass(text: str, size: int, linked: int, article: bool) -> str:
     return "open" if article or share >= STOP_LOW else "bad"
 
 
+def _article_parts(html: str) -> list[tuple[str, int, int, bool]]:
+    """Blocks in no left-out part; where none of them is good or in an article, also those of the hinted part with most of the good text."""
+    every = blocks(html)
+    good: dict[int, int] = {}
+    for block in every:
+        if block[3] or _first_pass(*block[:4]) == "good":
+            good[block[4]] = good.get(block[4], 0) + block[1]
+    chosen = {0}
+    if 0 not in good and good:
+        most = max(good, key=lambda k: (good[k], -k))
+        if 2 * good[most] > sum(good.values()):
+            chosen.add(most)
+    return [block[:4] for block in every if block[4] in chosen]
+
+
 def main_text(html: str) -> str:
     """The article of a whole page: good blocks in page order, joined by a space."""
-    parts = blocks(html)
+    parts = _article_parts(html)
     labels = [_first_pass(*part) for part in parts]
     n = len(parts)
     before, last = [""] * n, ""
@@ -192,7 +237,11 @@ def main_text(html: str) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) for every row, from its whole html; null html is empty and gives an empty text. No shuffle."""
+    """(page_id, url, text) for every row, from its whole html. No shuffle.
+
+    Null html is empty and gives an empty text. Repeated rows are each answered, alike; an empty table gives no rows; a page of any
+    length is read to its end; extra columns are left behind.
+    """
     prepare(pages.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

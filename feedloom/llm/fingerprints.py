@@ -44,7 +44,8 @@ def wide_lanes(text: Column) -> Column:
             lambda i: F.pmod(
                 F.aggregate(
                     all_digests, F.lit(0).cast("bigint"),
-                    lambda total, d: total + F.xxhash64(d, i).bitwiseAND(2**32 - 1),
+                    # The number first: it seeds the hash of the whole digest, so that lanes do not hang on one 64-bit value.
+                    lambda total, d: total + F.xxhash64(i, d).bitwiseAND(2**32 - 1),
                 ),
                 F.lit(2**32),
             ),
@@ -125,27 +126,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a["wide"] == b["wide"]) & (a["signs"] == b["signs"]), 1.0).otherwise(estimate)
 
 
+def _listed(numbers: list) -> Column:
+    """Numbers as an array of texts: one literal after constant folding, however many there are."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",")
+
+
+def _bounds(docs: DataFrame, ranges: int) -> list[int]:
+    """First ids of all ranges but the first, at about equal numbers of rows; at most `ranges` numbers reach the driver."""
+    if ranges < 2:
+        return []
+    shares = _listed([k / ranges for k in range(1, ranges)]).cast("array<double>")
+    return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * ranges))).first()[0] or ()))
+
+
+def _range_of(number: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds a number has reached, by binary search; null for null."""
+    if not bounds:
+        return F.when(number.isNotNull(), F.lit(0)).cast("bigint")
+    known = _listed(bounds).cast("array<bigint>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    reached = lambda at, step: F.coalesce(F.try_element_at(known, at + step) <= number, F.lit(False))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
+    return F.when(number.isNotNull(), found).cast("bigint")
+
+
 def with_next(docs: DataFrame, derived: Column, name: str) -> DataFrame:
     """Add the column `name` = `derived`, and `next_text` and `next_<name>`: the values in the document with the next larger
     id, after the last in the first.
 
     `docs` has bigint `doc_id` and `text`. Rows that share an id follow each other in the order of their texts' hashes; rows
-    without an id have no next document. Ids are cut into at most MAX_BUCKETS ranges; every range also gets the first
+    without an id have no next document. Ids are cut into at most MAX_BUCKETS ranges of about equal numbers of documents,
+    however the ids lie; every range also gets the first
     document of the range after it, so no window needs more than its own range. The ranges' first ids are the only broadcast.
     """
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    low, high = low or 0, high or 0
+    low, rows = docs.agg(F.min("doc_id"), F.count("doc_id")).first()
     buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_DOCUMENTS))
-    width = (high - low) // buckets + 1
-    wide_id = F.col("doc_id").cast("decimal(20,0)")
-    range_no = F.floor((wide_id - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("bigint")
+    range_no = _range_of(F.col("doc_id"), _bounds(docs, buckets))
     own = docs.withColumn(
         "bucket", F.coalesce(range_no, -1 - F.pmod(F.xxhash64("text"), F.lit(MAX_BUCKETS)))
     ).withColumn("tail", F.lit(0))
     heads = (
         docs.filter("doc_id is not null").select("doc_id", range_no.alias("bucket"))
         .groupBy("bucket").agg(F.min("doc_id").alias("head"))
-        .select("bucket", F.lead("head", 1, low).over(Window.orderBy("bucket")).alias("doc_id"))
+        .select("bucket", F.lead("head", 1, low or 0).over(Window.orderBy("bucket")).alias("doc_id"))
     )
     tails = docs.join(F.broadcast(heads), "doc_id").withColumn("tail", F.lit(1))
     order = Window.partitionBy("bucket").orderBy("tail", "doc_id", F.xxhash64("text"))

@@ -21,6 +21,27 @@ def test_pages(html, want):
     assert main_text(html or "") == want
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "market-share report", "post no-comments", "ad-free story"])
+def test_names_are_hints(name):
+    """A name that tells of a state, or sounds like an advert, does not lose the article; comments in it still go."""
+    page = f"<nav>menu</nav><div class='{name}'><p>{LONG}</p><p>{LONG}</p><div class='comments'><p>{LONG}</p></div></div><footer>{LONG}</footer>"
+    assert main_text(page) == f"{LONG.strip()} {LONG.strip()}"
+
+
+def test_pieces_of_a_line_do_not_part_it():
+    assert main_text(f"<p>{LONG}wo<span class='ad'>x</span>rd<b class='share'> y</b>, end</p>") == f"{LONG}word, end"
+
+
+def test_page_in_a_form():
+    assert main_text(f"<form><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></form>") == LONG.strip()
+    assert main_text(f"<div><p>{LONG}</p></div><form><p>{LONG}</p><p>{LONG}</p></form>") == LONG.strip()
+
+
+def test_more_comments_than_article():
+    """Comments stay out however long they are, as long as the article has a good block."""
+    assert main_text(f"<div><p>{LONG}</p></div><div class='comments'>" + f"<p>{LONG}</p>" * 20 + "</div>") == LONG.strip()
+
+
 def test_broken_markup_is_read_to_its_end():
     assert isinstance(main_text("<" * 2000 + "a b='" * 500), str)
     assert main_text("<" * 2000 + f"</nav><p class='x>y'>{LONG}").endswith(LONG.strip())

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +47,29 @@ def test_edits_follow_the_next_id(docs, monkeypatch):
         assert got[i] == texts[i][: len(texts[i]) - quarter] + texts[j][:quarter]
 
 
+def test_ranges_follow_the_rows_not_the_ids(spark):
+    """One far id does not put all others into one range."""
+    ids = [*range(3000), 2**60, *([7] * 50)]
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id bigint")
+    bounds = fp._bounds(df, 20)
+    rows = df.select("doc_id", fp._range_of(F.col("doc_id"), bounds).alias("r")).collect()
+    assert all(r["r"] == (None if r["doc_id"] is None else sum(b <= r["doc_id"] for b in bounds)) for r in rows)
+    held = Counter(r["r"] for r in rows)
+    assert len(bounds) == 19 and max(held.values()) < 400
+    assert fp._bounds(df.filter("false"), 20) == [] and fp._bounds(df, 1) == []
+
+
+def test_lanes_do_not_hang_on_one_value(docs):
+    """Every lane hashes the whole digest under its own seed: no lane follows from another one."""
+    row = docs((1, "some paragraph")).select(fp.wide_lanes(F.col("text")).alias("w"), *(
+        F.xxhash64(F.lit(i), F.sha2("text", 256)).bitwiseAND(2**32 - 1).alias(f"l{i}") for i in range(1, fp.WIDE + 1)
+    )).first()
+    assert row["w"] == [row[f"l{i}"] for i in range(1, fp.WIDE + 1)] and len(set(row["w"])) == fp.WIDE
+    # What the lanes were before: functions of one 64-bit value.
+    joined = docs((1, "x")).select((F.xxhash64("text", F.lit(3)) == F.xxhash64(F.lit(3), "text")).alias("same")).first()
+    assert not joined["same"]
+
+
 def test_likeness(docs):
     base = [f"sentence number {k} of the text" for k in range(200)]
     near, far = base[:150] + [f"other {k}" for k in range(50)], [f"far away {k}" for k in range(200)]
