@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_and_text, prepare, stored
+from feedloom.llm.merges import byte_of, is_letters, merges_of
 
 TABLE_WORDS = 150_000
 # Words of one generation of a task's own table.
@@ -48,14 +49,6 @@ def parts_of(word: bytes) -> tuple[bytes, ...]:
     return (word,)
 
 
-def byte_of() -> dict[str, int]:
-    """The byte each character of a byte-level vocabulary stands for: printable Latin-1 characters stand for themselves, the
-    other bytes in ascending order for the characters from U+0100."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def pieces_of(path: str) -> list[bytes]:
     """The bytes of each id."""
@@ -79,20 +72,15 @@ def _tokenizer(path: str):
 
 
 def encode_words(path: str, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word. Words of letters after a space are encoded in one text and told apart by their word numbers."""
-    tokenizer = _tokenizer(path)
+    """Ids of each word. Letters, with or without a space ahead, are one pre-token and need the merges alone; the library encodes the
+    others."""
     texts = [word.decode() for word in words]
     out: list[np.ndarray | None] = [None] * len(words)
-    run = [i for i, t in enumerate(texts) if t[:1] == " " and t[1:].isalpha()]
-    if run:
-        code = tokenizer.encode("".join(texts[i] for i in run), add_special_tokens=False)
-        ids, number = np.array(code.ids, np.uint32), np.array(code.word_ids, np.int64)
-        starts = np.flatnonzero(np.diff(number, prepend=-1))
-        if len(starts) == len(run):
-            for i, own in zip(run, np.split(ids, starts[1:])):
-                out[i] = own
+    plain = [i for i, t in enumerate(texts) if is_letters(t[1:] if t[:1] == " " else t)]
+    for i, ids in zip(plain, merges_of(path).encode_all([words[i] for i in plain])):
+        out[i] = ids.astype(np.uint32)
     rest = [i for i, x in enumerate(out) if x is None]
-    for i, code in zip(rest, tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+    for i, code in zip(rest, _tokenizer(path).encode_batch([texts[i] for i in rest], add_special_tokens=False)):
         out[i] = np.array(code.ids, np.uint32)
     return out
 

@@ -28,10 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_and_text, partitions_for, prepare
+from feedloom.llm.merges import is_letters, merges_of
 
 NO_ID = -(2**63)
 # Words kept per generation of a worker's table: two generations, some 30 MB each.
 CACHE_WORDS = 150_000
+# Text of a shard, in bytes: its numbers are read back as one row, which holds 2 GB at most.
+SHARD_BYTES = 256 << 20
 TAIL = b".,!?;:|"
 
 
@@ -55,26 +58,19 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype(f"<u{width}")
+        self.merges = merges_of(path)
         self.table: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Encode new words: plain Latin words in one text, told apart by their word numbers, others one by one."""
+        """Encode new words: plain Latin words are one pre-token each and need the merges alone, the library encodes the others."""
         plain, other = [], []
         for word in words:
             text = word.decode()
-            (plain if text.isalpha() and max(text) <= "\xff" else other).append(text)
-        found: dict[bytes, bytes] = {}
-        if plain:
-            code = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids, number = np.array(code.ids, self.kind), np.array(code.word_ids, np.int64)
-            starts = np.flatnonzero(np.diff(number, prepend=-1))
-            if len(starts) == len(plain):
-                ends = np.append(starts[1:], len(ids))
-                for text, a, b in zip(plain, starts.tolist(), ends.tolist()):
-                    found[text.encode()] = ids[a:b].tobytes()
-            else:
-                other += plain
+            (plain if is_letters(text) and max(text) <= "\xff" else other).append(text)
+        # Lower case keeps to Latin-1, where no normal form differs.
+        lower = [text.lower().encode() for text in plain]
+        found = {t.encode(): ids.astype(self.kind).tobytes() for t, ids in zip(plain, self.merges.encode_all(lower))}
         if other:
             for text, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
                 found[text.encode()] = np.array(code.ids, self.kind).tobytes()
@@ -147,18 +143,24 @@ def file_width(tokenizer_path: str, end_id: int) -> int:
     return id_width(_vocabulary(tokenizer_path), end_id)
 
 
+def _shards(spark: SparkSession, docs: DataFrame, text_col: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(partitions_for(spark), -(-size // SHARD_BYTES))
+
+
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
     shards: int | None = None,
 ) -> None:
     """Encode every whole text and write the shards. Null texts are empty; null ids come first; rows that share an id are all
-    written, in an order fixed by their texts. `shards` defaults to the session's shuffle partitions."""
+    written, in an order fixed by their texts. There are as many shards as the session has shuffle partitions, or more, so that none
+    holds much over SHARD_BYTES of text; `shards` sets their number. An empty table writes no numbers."""
     spark = prepare(docs.sparkSession)
     width = file_width(tokenizer_path, end_id)
     ordered = (
         id_and_text(docs, id_col, text_col)
         .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(shards or partitions_for(spark), F.col("doc_id").asc_nulls_first(), F.col("tie"))
+        .repartitionByRange(shards or _shards(spark, docs, text_col), F.col("doc_id").asc_nulls_first(), F.col("tie"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     )

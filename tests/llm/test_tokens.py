@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from feedloom.llm import bpe, tokenfiles
+from feedloom.llm import bpe, merges, tokenfiles
 from feedloom.llm.common import new_path
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -39,6 +39,28 @@ def test_word_table_equals_the_library(monkeypatch):
             assert b"".join(p for _, p in row).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_merges_equal_the_library(path):
+    """Words of letters of several scripts, as whole texts of the library."""
+    draw, library = random.Random(8), Tokenizer.from_file(path)
+    letters = "aeioubcdfghklmnprstvwyz" * 3 + "àéüßñçöæøåªºµ" + ("" if path == WORD else "AEXYZİŁžαωΣжяЖ")
+    words = list({"".join(draw.choices(letters, k=draw.randint(1, 16))) for _ in range(6000)})
+    words = words if path == WORD else [draw.choice(["", " "]) + w for w in words]
+    assert all(merges.is_letters(w.strip()) for w in words)
+    for word, ids in zip(words, merges.merges_of(path).encode_all([w.encode() for w in words])):
+        assert ids.tolist() == library.encode(word, add_special_tokens=False).ids, word
+    assert merges.merges_of(path).encode_all([]) == []
+
+
+def test_shards_follow_the_text(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SHARD_BYTES", 2000)
+    rows = {k: f"word{k} " * 50 for k in range(100)}
+    folder = new_path(spark, "tokens")
+    tokenfiles.write_tokens(docs(*rows.items()), folder, WORD, 2)
+    shards = tokenfiles.shard_bases(spark, folder).collect()
+    assert len(shards) > 12 and tokenfiles.read_tokens(spark, folder, 2).count() == 100
+
+
 @pytest.mark.parametrize("limit", [0, 3, 10_000])
 def test_encode_decode(docs, limit):
     library = Tokenizer.from_file(BYTE)
