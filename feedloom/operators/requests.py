@@ -217,7 +217,7 @@ def _networks(items: DataFrame, max_expand: int, on_large: str, distinct: bool)
     lo, length = F.coalesce(cidr["network"], v4_number(item)), F.coalesce(cidr["length"], F.lit(32))
     v4 = items.filter(~F.contains("item", F.lit(":"))).select("item", bound(lo=lo, length=length))
     v4 = v4.filter(F.col("lo").isNotNull())
-    v6 = items.filter(F.contains("item", F.lit(":"))).select("item", v6_parts("item").alias("p"))
+    v6 = items.filter(F.contains("item", F.lit(":"))).select("item", bound(p=v6_parts("item")))
     v6 = v6.filter("p.length is not null").select("item", "p.hi", "p.lo", F.col("p.length").alias("length"))
     v4, v6 = _sized(v4, 32, max_expand, on_large), _sized(v6, 128, max_expand, on_large)
     v4, v6 = _addresses(v4, [], on_large), _addresses(v6, ["hi"], on_large)
@@ -273,5 +273,5 @@ def rejected_ips(df: DataFrame, item: str = "item") -> DataFrame:
     items = df.select(F.col(item).alias("item")).distinct()
     cidr = v4_cidr(F.col("item"))
     v4_bad = v4_number(F.col("item")).isNull() & cidr["network"].isNull()
-    checked = items.select("item", v6_parts(F.when(F.contains("item", F.lit(":")), F.col("item"))).alias("p"))
+    checked = items.select("item", bound(p=v6_parts(F.when(F.contains("item", F.lit(":")), F.col("item")))))
     return checked.filter(v4_bad & F.col("p.length").isNull()).select("item")

@@ -428,6 +428,24 @@ def cidr_expand(t: Tables) -> DataFrame:
     return ips.agg(F.count("*").alias("addresses"), F.min("ip").alias("least"), F.max("ip").alias("greatest"))
 
 
+@query("""
+with n as (select distinct p_partkey % 65536 // 4 * 4 + unnest(range(4)) as n from part)
+select case when n = 0 then '2001:db8::' else '2001:db8::' || printf('%x', n) end as ip from n
+union all select case when c_custkey % 7 = 0 then '::' else '1:0:0:2::' || printf('%x', c_custkey % 7) end from customer group by 1
+""")
+def ipv6_normalise(t: Tables) -> DataFrame:
+    """Distinct canonical IPv6 addresses of networks in several spellings; what is none is left out."""
+    low = F.hex(F.col("p_partkey") % 65536)
+    blocks = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("2001:DB8::"), low, F.lit("/126"))).otherwise(
+        F.concat(F.lit("2001:0db8:0:0:0000:0:0:"), low, F.lit("/0126"))
+    )
+    last = F.hex(F.col("c_custkey") % 7)
+    single = F.when(F.col("c_custkey") % 7 == 0, F.lit("0::0.0.0.0%eth0")).otherwise(F.concat(F.lit("1:0:0:2:0:0:0:"), last))
+    bad = F.concat(F.lit("2001:db8::1::"), F.col("c_custkey").cast("string"))
+    items = t.part.select(blocks.alias("item")).unionByName(t.customer.select(F.explode(F.array(single, bad)).alias("item")))
+    return requests.normalise_ips(items)
+
+
 @query("""
 select strftime(o_orderdate, '%Y%m') as month, count(*) as rows, count(*) filter (where o_orderstatus <> 'P') as valid from orders group by 1
 """)

@@ -46,11 +46,10 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", sorted(workload.QUERIES))
 def test_plans(spark, name):
-    """No cross products, and Python only for IPv6 text."""
+    """No cross products and no Python."""
     plan = workload.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name not in ("ip_normalise", "ip_rejects", "cidr_expand"):
-        assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
 
 def test_feed_is_parsed_once_per_line(spark):
