@@ -1,7 +1,10 @@
+import hashlib
+
 import pytest
 
-from feedloom.operators.criteria import Criterion, filter_feed, parse_keywords
 from feedloom.operators import lines
+from feedloom.operators.criteria import Criterion, filter_feed, parse_keywords
+from feedloom.sources import feeds
 
 FEED = [
     {"ip": "1.1.1.1", "tunnels": [{"type": "VPN", "n": 5}, {"type": "PROXY", "n": 7}], "risk": "LOW", "score": 10},
@@ -110,5 +113,33 @@ def test_line_patterns_and_twins(records):
 
 def test_random_lines(records):
     feed = records(*[{"n": i} for i in range(50)])
-    assert lines.random_lines(feed, 10, seed=1).count() == 10
-    assert lines.random_lines(feed, 80).select("id").distinct().count() == 50
+    by = {"key": ["id"]}
+    drawn = [r.id for r in lines.random_lines(feed, 10, seed=1, **by).collect()]
+    assert len(set(drawn)) == 10
+    # The same seed draws the same rows from any layout; a larger draw holds the smaller one; other seeds differ.
+    again = {r.id for r in lines.random_lines(feed.repartition(7, "raw"), 10, seed=1, **by).collect()}
+    larger = {r.id for r in lines.random_lines(feed, 25, seed=1, **by).collect()}
+    other = {r.id for r in lines.random_lines(feed, 10, seed=2, **by).collect()}
+    assert again == set(drawn) and set(drawn) < larger and other != again
+    assert lines.random_lines(feed, 80, **by).select("id").distinct().count() == 50
+    assert lines.random_lines(feed, 0, **by).count() == 0 and lines.random_lines(feed.filter("false"), 5, **by).count() == 0
+    wanted = sorted(range(50), key=lambda i: (int(hashlib.md5(f"1|{i}".encode()).hexdigest()[:15], 16), i))[:10]
+    assert set(drawn) == set(wanted)
+
+
+def test_first_lines_by_position(spark, tmp_path):
+    """Lines of several files over many splits; only the last split that is needed is ordered."""
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k:03}\n" for k in range(200)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        feed = feeds.read_lines(spark, str(tmp_path))
+        every = [f"{name}{k:03}" for name in "abc" for k in range(200)]
+        for n in (0, 1, 39, 40, 41, 333, 600, 900):
+            assert sorted(r.raw for r in lines.first_lines(feed, n).collect()) == every[:n]
+        assert lines.first_lines(feed.filter("false"), 5).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
