@@ -21,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import id_and_text, partitions_for, prepare
-from feedloom.llm.merges import is_letters, merges_of
+from feedloom.llm.merges import merges_of
 
 NO_ID = -(2**63)
 # Words kept per generation of a worker's table: two generations, some 30 MB each.
@@ -38,12 +39,26 @@ SHARD_BYTES = 256 << 20
 TAIL = b".,!?;:|"
 
 
+class Numbered(dict):
+    """Words in the order in which they are first asked for; looking a new one up gives it the next number."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer whose pieces never cross white space.
 
-    The tokenizer sees each word of a task once (as long as the cache holds it). Words are runs between ASCII white space, in
-    ASCII lower case where the tokenizer's own normalizer lower-cases; closing punctuation is encoded apart, because a piece
-    of letters never joins it.
+    Each word of a task is encoded once (as long as the table holds it) and has a number; texts become arrays of numbers, and their ids
+    are gathered from one flat array. Words are runs between ASCII white space, in ASCII lower case where the tokenizer's own
+    normalizer lower-cases; closing punctuation is encoded apart, because a piece of letters never joins it.
     """
 
     def __init__(self, path: str, width: int):
@@ -59,65 +74,59 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype(f"<u{width}")
         self.merges = merges_of(path)
-        self.table: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Encode new words: plain Latin words are one pre-token each and need the merges alone, the library encodes the others."""
-        plain, other = [], []
+        self.tails: dict[bytes, list[int]] = {b"": []}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbered()
+        self.ids, self.starts, self.lengths = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _library(self, words: list[bytes]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word. Latin letters are one pre-token and need the merges alone; the library encodes the others."""
+        out: list[list[int]] = []
+        ends: list[bytes] = []
+        others: dict[bytes, list[int]] = {}
+        one, tails = self.merges.one, self.tails
         for word in words:
-            text = word.decode()
-            (plain if is_letters(text) and max(text) <= "\xff" else other).append(text)
-        # Lower case keeps to Latin-1, where no normal form differs.
-        lower = [text.lower().encode() for text in plain]
-        found = {t.encode(): ids.astype(self.kind).tobytes() for t, ids in zip(plain, self.merges.encode_all(lower))}
-        if other:
-            for text, code in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-                found[text.encode()] = np.array(code.ids, self.kind).tobytes()
-        return found
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        core = word.rstrip(TAIL)
-        if core and len(core) < len(word) and core.decode()[-1].lower()[-1].isalpha():
-            return core, word[len(core) :]
-        return (word,)
+            core = word if word[-1] not in TAIL else word.rstrip(TAIL)
+            text = core.decode()
+            if core != word and not (text and text[-1].lower()[-1].isalpha()):
+                core, text = word, word.decode()
+            ends.append(word[len(core) :])
+            # Lower case keeps to Latin-1, where no normal form differs.
+            if text.isalpha() and (core.isascii() or max(text) <= "\xff"):
+                out.append(one(text.lower().encode()))
+            else:
+                others.setdefault(core, []).append(len(out))
+                out.append([])
+        for places, ids in zip(others.values(), self._library(list(others))):
+            for i in places:
+                out[i] = ids
+        new = [t for t in set(ends) if t not in tails]
+        tails.update(zip(new, self._library(new)))
+        return [ids + tails[t] if t else ids for ids, t in zip(out, ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of the file's width."""
+        if len(self.numbers) > CACHE_WORDS:
+            self._forget()
         # A special token is matched in its own case, before the normalizer.
-        data = [text.encode() for text in texts]
-        split = [(x if b"<|" in x else x.lower()).split() for x in data]
-        if len(self.table) > CACHE_WORDS:
-            self.old, self.table = self.table, {}
-        table, old = self.table, self.old
-        out = [list(map(table.get, words)) for words in split]
-        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in out]
-        new: dict[bytes, tuple[bytes, ...]] = {}
-        known: dict[bytes, bytes] = {}
-        for words, places in zip(split, gaps):
-            for i in places:
-                word = words[i]
-                if word not in new and word not in known:
-                    ids = old.get(word)
-                    if ids is None:
-                        new[word] = self._parts(word)
-                    else:
-                        known[word] = ids
-        pieces = set().union(*new.values())
-        for piece in pieces.difference(known):
-            ids = table.get(piece) or old.get(piece)
-            if ids is not None:
-                known[piece] = ids
-        known |= self._learn(pieces.difference(known))
-        for word, parts in new.items():
-            if len(parts) > 1:
-                known[word] = b"".join([known[p] for p in parts])
-        table.update(known)
-        for words, row, places in zip(split, out, gaps):
-            for i in places:
-                row[i] = known[words[i]]
-        return [b"".join(row) for row in out]
+        split = [(x if b"<|" in x else x.lower()).split() for x in map(str.encode, texts)]
+        sizes, known = np.array([len(words) for words in split], np.int64), len(self.numbers)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if len(self.numbers) > known:
+            found = self._encoded(list(islice(self.numbers, known, None)))
+            lengths = np.array([len(ids) for ids in found], np.int64)
+            flat = np.fromiter(chain.from_iterable(found), self.kind, int(lengths.sum()))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, flat])
+        lengths = self.lengths[numbers]
+        ids = self.ids[runs(self.starts[numbers], lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=4)
