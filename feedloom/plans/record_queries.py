@@ -63,12 +63,14 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 
 @query("""
-with held as (select event_type, lag(event_type) over (partition by user_id order by event_id) as before from events)
-select count(*) filter (where before = event_type) as identical, count(*) filter (where before <> event_type) as conflicting from held
+with rec as (select user_id, event_id, event_type || '|' || (value > 50) || '|' || json_extract_string(props, '$.k')::bigint % 3 as r from events),
+held as (select r, lag(r) over (partition by user_id order by event_id) as before from rec)
+select count(*) filter (where before = r) as identical, count(*) filter (where before <> r) as conflicting from held
 """)
 def dup_audit(t: Tables) -> DataFrame:
     """Repeated keys that equal, or differ from, the record held before them in feed order."""
-    rows = t.events.select(F.col("user_id").alias("ip"), "event_id", _v("event_type"))
+    step = F.expr("try_variant_get(parse_json(props), '$.k', 'bigint') % 3")
+    rows = t.events.select(F.col("user_id").alias("ip"), "event_id", _v("event_type", (F.col("value") > 50).alias("high"), step.alias("step")))
     return snapshots.audit_duplicates(rows, F.col("event_id"), [F.shiftright("event_id", 8)])
 
 
@@ -122,16 +124,26 @@ def _changes_json() -> str:
     return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
 
 
+def _unchanged_json() -> str:
+    """Members that agree, a missing one with a null; what both records lack is left out."""
+    parts = []
+    for n, name in ((1, "event_type"), (3, "high"), (4, "note"), (2, "value")):
+        same = f"coalesce(o{n}, 'null') = coalesce(n{n}, 'null') and coalesce(o{n}, n{n}) is not null"
+        parts.append(f"""case when {same} then '"{name}":' || coalesce(o{n}, 'null') end""")
+    return "'{' || concat_ws(',', " + ", ".join(parts) + ") || '}'"
+
+
 @query(_HALVES + f"""
 select ip, status, case when status = 'MODIFIED' then old_day end as historic_date,
   case when status = 'MODIFIED' then {_changes_json()} end as changes,
+  case when status = 'MODIFIED' then {_unchanged_json()} end as unchanged,
   case status when 'REMOVED' then {_record_json('o', 'old_day')} when 'ADDED' then {_record_json('n', 'new_day')} end as data
 from status where status <> 'UNCHANGED'
 """)
 def snapshot_diff_rows(t: Tables) -> DataFrame:
     """Exported rows of a snapshot diff."""
     diff = snapshots.diff_records(*_halves(t))
-    return snapshots.diff_rows(diff, "20240130").drop("unchanged")
+    return snapshots.diff_rows(diff, "20240130")
 
 
 @query(_HALVES + "select ip, attribute, old, new from changed")
