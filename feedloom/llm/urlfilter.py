@@ -75,10 +75,10 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words): the words of every distinct label. `counts` is (word, n); words under three letters need to be frequent
     (a hundredth of a percent) to count as known. Only the substrings of a label that are known words reach its group, so a group
     holds at most MAX_LABEL x MAX_WORD rows. Empty labels and nulls give no rows; longer labels stay whole."""
-    total = counts.agg(F.sum("n").alias("total"))
-    weights = counts.crossJoin(F.broadcast(total)).filter(
-        (F.length("word") >= SHORT_WORD) | (F.col("n") * 10_000 >= F.col("total"))
-    ).select("word", F.log(F.col("n") / F.col("total")).alias("weight"), F.log(F.lit(1.0) / F.col("total")).alias("unknown"))
+    total = float(max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+    weights = counts.filter((F.length("word") >= SHORT_WORD) | (F.col("n") * 10_000 >= total)).select(
+        "word", F.log(F.col("n") / total).alias("weight"), F.lit(-math.log(total)).alias("unknown")
+    )
     short = labels.select("label").filter(F.col("label") != "").distinct()
     fitting = short.filter(F.length("label") <= MAX_LABEL)
     start = F.sequence(F.lit(1), F.length("label"))
