@@ -11,7 +11,7 @@ from feedloom.functions.dates import parse_span
 from feedloom.operators import enrich, forensics, lines, profile, requests, retry, snapshots, tags, timeline
 from feedloom.operators.criteria import Criterion, compile_criteria
 from feedloom.session import configure, staged
-from feedloom.sources import feeds, sinks
+from feedloom.sources import feeds, landing, sinks
 
 
 def filter_feed_files(spark: SparkSession, path: str, out: str, criteria: list[Criterion], overall: str = "AND") -> dict[str, int]:
@@ -77,10 +77,25 @@ def _snapshot(spark: SparkSession, path: str) -> DataFrame:
     return snapshots.latest_records(rows, feeds.position(rows))
 
 
+def land_snapshot(spark: SparkSession, path: str, table: str, buckets: int) -> DataFrame:
+    """Keep a snapshot file, the last record per ip, as a table in buckets by ip."""
+    return landing.land(_snapshot(configure(spark), path), table, buckets)
+
+
+def landed_changes(spark: SparkSession, old: str, new: str, current_date: str) -> dict[str, DataFrame]:
+    """rows, summary and attributes of the diff of two landed snapshots; the join moves no rows."""
+    configure(spark)
+    return _changes(landing.landed(spark, old), landing.landed(spark, new), current_date)
+
+
 def snapshot_changes(spark: SparkSession, old: str, new: str, current_date: str) -> dict[str, DataFrame]:
     """rows, summary and attributes of the diff of two snapshot files."""
     configure(spark)
-    diff = staged(snapshots.diff_records(_snapshot(spark, old), _snapshot(spark, new)), "snapshot-diff")
+    return _changes(_snapshot(spark, old), _snapshot(spark, new), current_date)
+
+
+def _changes(old: DataFrame, new: DataFrame, current_date: str) -> dict[str, DataFrame]:
+    diff = staged(snapshots.diff_records(old, new), "snapshot-diff")
     return {
         "rows": snapshots.diff_rows(diff, current_date),
         "summary": snapshots.diff_summary(diff),

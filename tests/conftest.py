@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     session = build_session(
         app="tests", master="local[4]", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("tables")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
