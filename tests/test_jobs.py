@@ -164,3 +164,17 @@ def test_stream(spark, tmp_path):
         run = criteria_stream.write_matches(criteria_stream.stream_matches(spark, str(tmp_path / "in"), criteria), out, state)
         assert run.awaitTermination(120)
     assert sorted(r.value for r in spark.read.text(out).collect()) == ['{"t": "err", "n": 60}', '{"t": "error", "n": 51}']
+
+
+def test_stream_counters(spark, tmp_path):
+    """Counts of every run over all its batches, blank and malformed lines included."""
+    (tmp_path / "in").mkdir()
+    criteria = [Criterion("n", [">50"])]
+    where = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for k in range(5):
+        dump(tmp_path / f"in/{k}.jsonl", [{"n": 60 + k}, {"n": 5}, "bad", ""])
+    assert criteria_stream.filter_stream(spark, *where, criteria, max_files_per_trigger=2) == {"lines_parsed": 20, "exported": 5}
+    assert criteria_stream.filter_stream(spark, *where, criteria) == {"lines_parsed": 0, "exported": 0}
+    dump(tmp_path / "in/9.jsonl", [{"n": 51}, {"n": 99}])
+    assert criteria_stream.filter_stream(spark, *where, criteria) == {"lines_parsed": 2, "exported": 2}
+    assert spark.read.text(where[1]).count() == 7
