@@ -54,12 +54,13 @@ class Merges:
             ended = bool(suffix) and token.endswith(suffix)
             add(token, bytes(table[c] for c in (token[: -len(suffix)] if ended else token)) + (_END if ended else b""))
         self.ids = np.array(ids, np.int64)
-        self._id = ids.__getitem__
+        self._id = ids
         self._piece = tiktoken.Encoding("merges", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def one(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
-        return list(map(self._id, self._piece(piece + self.end)))
+        ids = self._id
+        return [ids[k] for k in self._piece(piece + self.end)]
 
     def encode_all(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of many pieces."""

@@ -92,12 +92,16 @@ class WordEncoder:
         one, tails = self.merges.one, self.tails
         for word in words:
             core = word if word[-1] not in TAIL else word.rstrip(TAIL)
+            if core.isalpha():  # ASCII letters
+                ends.append(word[len(core) :])
+                out.append(one(core.lower()))
+                continue
             text = core.decode()
             if core != word and not (text and text[-1].lower()[-1].isalpha()):
                 core, text = word, word.decode()
             ends.append(word[len(core) :])
             # Lower case keeps to Latin-1, where no normal form differs.
-            if text.isalpha() and (core.isascii() or max(text) <= "\xff"):
+            if text.isalpha() and max(text) <= "\xff":
                 out.append(one(text.lower().encode()))
             else:
                 others.setdefault(core, []).append(len(out))
