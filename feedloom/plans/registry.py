@@ -27,10 +27,15 @@ class Tables:
 def fanned(df: DataFrame) -> DataFrame:
     """A table spread over as many partitions as the session setting feedloom.partitions says.
 
-    The tables of one row group are one split. Unset, as it should be where the inputs have many splits, nothing is shuffled.
+    The tables of one row group are one split. Unset, a scan of fewer splits than the session has cores is spread over these; where the
+    inputs have many splits nothing is shuffled.
     """
-    partitions = df.sparkSession.conf.get("feedloom.partitions", None)
-    return spread(df, int(partitions) if partitions else None)
+    session = df.sparkSession
+    partitions = session.conf.get("feedloom.partitions", None)
+    if partitions:
+        return spread(df, int(partitions))
+    cores = session.sparkContext.defaultParallelism
+    return spread(df, cores if df.rdd.getNumPartitions() < cores else None)
 
 
 def query(sql: str | None = None):

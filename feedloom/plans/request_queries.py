@@ -154,7 +154,9 @@ def global_range_requests(t: Tables) -> DataFrame:
     """Every day of the range found in a sheet, asked for every customer."""
     days = requests.range_days(requests.global_range(_cells(t), "date"))
     rows = requests.with_dates(fanned(t.customer.select("c_custkey")), days)
-    return rows.groupBy(F.date_format("dt", "yyyyMMdd").alias("day")).agg(F.count("*").alias("n"))
+    # Counted by date, so that a day is written once and not for every request.
+    counts = rows.groupBy("dt").agg(F.count("*").alias("n"))
+    return counts.select(F.date_format("dt", "yyyyMMdd").alias("day"), "n")
 
 
 @query(_CELLS + """

@@ -225,3 +225,18 @@ def test_tag_job(records):
     added = tags.added_records(old, new)
     assert sorted((r.category, r["count"]) for r in tags.category_counts(added).collect()) == [("Uncategorized", 1), ("p", 1), ("q", 1)]
     assert sorted(map(tuple, tags.tag_details(added).collect())) == [("C", "p, q", "No description provided."), ("D", "None", "text")]
+
+
+def test_range_requests_are_counted_by_date(spark, tmp_path):
+    """The day is written after the count, not for each of customers times days; one split is spread over the cores."""
+    import __spark_entry__ as entry
+
+    spark.range(200).selectExpr("id as c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.sql("""select id as o_orderkey, id as o_custkey, 'O' as o_orderstatus, '1-URGENT' as o_orderpriority, cast(0 as double) as o_totalprice,
+        timestamp'2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as o_orderdate from range(5)""").write.parquet(str(tmp_path / "orders.parquet"))
+    df = entry.queries()["global_range_requests"](spark, str(tmp_path))
+    assert {r.day: r.n for r in df.collect()} == {f"202401{d:02d}": 200 for d in range(1, 11)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    groups = [x for x in plan.splitlines() if "Aggregate [" in x and "dt" in x]
+    assert groups and not any("date_format" in x.split("], [")[0] for x in groups)
+    assert "Repartition" in plan
