@@ -11,9 +11,10 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.dates import day_text
 from feedloom.functions.sqltext import as_array, as_object, field
-from feedloom.functions.values import equality_key, list_members
+from feedloom.functions.values import bag_differs, equality_key, list_members
 from feedloom.operators.grouping import last_per_key
 from feedloom.operators.paths import MAX_DEPTH
 
@@ -71,8 +72,11 @@ def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_dept
     rows = pairs.filter(F.col(old).isNotNull() & F.col(new).isNotNull())
     rows = rows.select(*keep, F.lit("").alias("_path"), F.col(old).alias("_o"), F.col(new).alias("_n"))
     for _ in range(PAIR_LEVELS):
-        rows = rows.withColumn("_w", F.expr(_differing("_o", "_n")))
-        rows = rows.select("*", F.explode_outer("_w").alias("_k", "_p")).filter("_k is not null or _w is null")
+        rows = rows.withColumn("_w", F.expr(_differing("_o", "_n"))).withColumn("_opens", F.expr("_w is not null"))
+        rows = rows.select(
+            *keep, "_path", "_opens", F.expr("if(_opens, null, _o)").alias("_o"), F.expr("if(_opens, null, _n)").alias("_n"),
+            F.explode_outer("_w").alias("_k", "_p"),
+        ).filter("_k is not null or not _opens")
         rows = rows.select(
             *keep,
             F.expr(f"if(_k is null, _path, {_CHILD_PATH.format(p='_path', k='_k')})").alias("_path"),
@@ -80,15 +84,21 @@ def deep_diff(pairs: DataFrame, old: str = "old_v", new: str = "new_v", max_dept
             F.expr("if(_k is null, _n, _p.n)").alias("_n"),
         )
     both_objects = f"{as_object('_o')} is not null and {as_object('_n')} is not null"
-    itself = "array(struct(_path as path, _o as o, _n as n, 'leaf' as state))"
-    rest = f"inline(if({both_objects}, {_deeper_pairs(max_depth)}, {itself}))"
-    rows = rows.select(*keep, F.expr(rest).alias("path", "o", "n", "state"))
-    rows = rows.select(*keep, "path", F.to_json("o").alias("old_value"), F.to_json("n").alias("new_value"))
+    # Only pairs that are still open meet the loop.
+    rows = rows.withColumn("_deeper", F.expr(f"if({both_objects}, {_deeper_pairs(max_depth)}, null)"))
+    rows = rows.select("*", F.expr("_deeper is not null").alias("_opens"), F.explode_outer("_deeper").alias("_e"))
+    rows = rows.filter("_e is not null or not _opens").select(
+        *keep, F.expr("if(_opens, _e.path, _path)").alias("path"), F.expr("if(_opens, _e.o, _o)").alias("o"),
+        F.expr("if(_opens, _e.n, _n)").alias("n"),
+    )
+    # Texts and settled lists are bound, or the filter on them would compute them for each of its references.
+    rows = rows.select(*keep, "path", bound(old_value=F.to_json("o"), new_value=F.to_json("n")))
     o, n = F.col("old_value"), F.col("new_value")
     both_lists = o.startswith("[") & n.startswith("[")
     differs = (
         F.when(o.isNull() | n.isNull(), F.lit(True))
-        .when(both_lists, F.array_sort(list_members("old_value")) != F.array_sort(list_members("new_value")))
+        .when(both_lists & bag_differs("old_value", "new_value"), F.lit(True))
+        .when(both_lists, F.sort_array(list_members("old_value")) != F.sort_array(list_members("new_value")))
         .otherwise(equality_key(o) != equality_key(n))
     )
     change = F.when(o.isNull(), F.lit(ADDED)).when(n.isNull(), F.lit(REMOVED)).otherwise(F.lit(CHANGED))
