@@ -38,14 +38,23 @@ def stripped(text: str) -> str:
 LINE_END = "feedloom:end of line"
 
 
+def listed_json(text: str) -> str:
+    """SQL text: VARIANT of a text as the first of two members of a list, for `only_member`."""
+    return f"try_parse_json(concat('[', {text}, ',\"{LINE_END}\"]'))"
+
+
+def only_member(x: str) -> str:
+    """SQL text: the first member of a `listed_json`, NULL if the text was not one JSON value."""
+    whole = f"try_variant_get({x}, '$[1]', 'string') = '{LINE_END}' and try_variant_get({x}, '$[2]', 'variant') is null"
+    return f"if({whole}, try_variant_get({x}, '$[0]', 'variant'), null)"
+
+
 def strict_json(text: str) -> str:
     """SQL text: VARIANT of a text that is one JSON value and nothing else, else NULL.
 
     The parser stops after the first value, so the text is parsed as the first of two members of a list.
     """
-    listed = f"try_parse_json(concat('[', {text}, ',\"{LINE_END}\"]'))"
-    whole = f"try_variant_get(x, '$[1]', 'string') = '{LINE_END}' and try_variant_get(x, '$[2]', 'variant') is null"
-    return f"transform(array({listed}), x -> if({whole}, try_variant_get(x, '$[0]', 'variant'), null))[0]"
+    return f"transform(array({listed_json(text)}), x -> {only_member('x')})[0]"
 
 
 def as_object(source: str) -> str:

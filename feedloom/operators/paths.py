@@ -13,11 +13,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import PLAIN_KEY, as_array, as_object, literal
 from feedloom.functions.text import strip
-from feedloom.functions.values import CONTAINER, STRING, leaf_text, number_text, scalar_text, scalar_type
+from feedloom.functions.values import CONTAINER, STRING, json_text, kind, leaf_text, number_text, scalar_text, scalar_type
 
-LEVELS = 5
+LEVELS = 3
 MAX_DEPTH = 64
 
 INDEXED, OBJECTS, WALK = "indexed", "objects", "walk"
@@ -160,28 +161,32 @@ def checked_text(x: str, parent: str, is_member: bool) -> str:
     return f"case when {as_object(x)} is not null or {has_object(x)} then null else {leaf_text(x)} end"
 
 
-def _level(df: DataFrame, style: str, keep: list[str], places: bool) -> DataFrame:
+def _level(df: DataFrame, style: str, keep: list[str], places: bool, containers: bool) -> DataFrame:
     """Open every row that is still open by one level; all other rows pass through."""
     obj, arr = f"{as_object('_v')} is not null", f"{as_array('_v')} is not null"
     if style == WALK:
-        # A recorded container goes on twice: once as itself, once to be opened.
-        recorded = f"_state = '{ITEM}' and ({obj} or {arr}) or _state = '{FIELD}' and {obj}"
-        df = df.select("*", F.expr(f"explode(if({recorded}, array(true, false), array(false)))").alias("_self"))
-        opens = f"not _self and _state not in {_FINAL} and ({obj} or {arr})"
+        opens = f"_state not in {_FINAL} and ({obj} or {arr})"
+        if containers:
+            # A recorded container goes on twice: once as itself, once to be opened.
+            recorded = f"_state = '{ITEM}' and ({obj} or {arr}) or _state = '{FIELD}' and {obj}"
+            df = df.select("*", F.expr(f"explode(if({recorded}, array(true, false), array(false)))").alias("_self"))
+            opens = f"not _self and {opens}"
     elif style == OBJECTS:
         opens = f"_state = '{OPEN}' and size({as_object('_v')}) > 0"
     else:
         opens = f"_state = '{OPEN}' and ({obj} or {arr} and {has_object('_v')})"
-    df = df.withColumn("_w", F.expr(f"if({opens}, _v, null)"))
+    # A value is opened or passed on; the members of an opened one do not carry it along.
+    df = df.withColumn("_opens", F.expr(f"coalesce({opens}, false)"))
+    df = df.withColumns({"_w": F.expr("if(_opens, _v, null)"), "_v": F.expr("if(_opens, null, _v)")})
     inner = df.sparkSession.tvf.variant_explode_outer(F.col("_w").outer()).alias("_t")
     # An opened container without members ends here.
-    rows = df.lateralJoin(inner).filter("_t.pos is not null or _w is null")
+    rows = df.lateralJoin(inner).filter("_t.pos is not null or not _opens")
     child = "_t.pos is not null"
     if style == WALK:
         path = f"if(_t.key is null, _path, {_joined('_path', '.', '_t.key')})"
         state = f"if(_t.key is null, '{ITEM}', '{FIELD}')"
         ended = "_path"
-        final = f"case when _state in {_FINAL} then _state when _self then '{CONTAINER}' else '{LEAF}' end"
+        final = f"case when _state in {_FINAL} then _state {f"when _self then '{CONTAINER}'" if containers else ''} else '{LEAF}' end"
     else:
         sep = "." if style == OBJECTS else "_"
         path = _joined("_path", sep, "coalesce(_t.key, cast(_t.pos as string))")
@@ -199,14 +204,14 @@ def _level(df: DataFrame, style: str, keep: list[str], places: bool) -> DataFram
 
 
 def leaves(
-    df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH, places: bool = False
+    df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH, places: bool = False, containers: bool = True
 ) -> DataFrame:
     """One row per leaf: the other columns of `df`, then `path`, `v` (VARIANT) and `state`.
 
     places: also give `place`, the VARIANT path the leaf was read at, NULL below LEVELS.
 
     indexed: underscore paths, list indexes as path parts. objects: dotted paths, lists are leaves.
-    walk: dotted paths, every container and value recorded, list members under the list's path.
+    walk: dotted paths, every container and value recorded, list members under the list's path. Without `containers`, values only.
     """
     keep = [c for c in df.columns if c != v]
     first = ROOT if style == WALK else OPEN
@@ -217,22 +222,53 @@ def leaves(
         rows = rows.withColumn("_place", F.lit("$"))
     rows = rows.filter(F.col("_v").isNotNull() if style == WALK else F.expr(f"{as_object('_v')} is not null"))
     for _ in range(min(LEVELS, max_depth)):
-        rows = _level(rows, style, keep, places)
+        rows = _level(rows, style, keep, places, containers)
     deeper = _loop(f"array({_entry('_path', '_v', '_state')})", _OPEN_BY_STYLE[style](), max(max_depth - LEVELS, 0))
     scalar = f"{as_object('_v')} is null and {as_array('_v')} is null"
     itself = _entry("_path", "_v", f"if(_state in {_FINAL}, _state, '{LEAF}')")
     done = f"(_state in {_FINAL} or {scalar})"
     place = [F.expr(f"if({done}, _place, null)").alias("place")] if places else []
-    rows = rows.select(*keep, *place, F.expr(f"inline(if({done}, array({itself}), {deeper}))").alias("path", "v", "state"))
+    if not containers:
+        deeper = f"filter({deeper}, e -> e.state <> '{CONTAINER}')"
+    # Only rows that are still open meet the loop; the others do not even become a list of one.
+    rows = rows.select(
+        *keep, *place, F.expr(f"if({done}, null, {deeper})").alias("_deeper"), F.expr(f"if({done}, {itself}, null)").alias("_itself")
+    )
+    rows = rows.select(*keep, *(["place"] if places else []), "_itself", F.explode_outer("_deeper").alias("_e"))
+    rows = rows.select(*keep, *(["place"] if places else []), F.coalesce("_itself", "_e").alias("_e")).filter("_e is not null")
+    rows = rows.select(*keep, *(["place"] if places else []), "_e.path", "_e.v", "_e.state")
     return rows.withColumn("path", F.expr("if(path = '', '<root>', path)")) if style == WALK else rows
 
 
+# A member name, or a scalar, of canonical JSON text.
+_NAME_OR_SCALAR = r'("[^"\\]*+(?:\\.[^"\\]*+)*+":)|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"\[\]{},:]++'
+# Stands behind names and for scalars; JSON texts never hold control characters.
+_HERE = "\x01"
+
+
+def shapes(df: DataFrame, v: str = "v") -> DataFrame:
+    """(v): the records with null in place of every scalar, each such record once.
+
+    Paths, places and kinds of container depend on nothing else, and most feeds have few shapes. They are met before the shuffle, as
+    texts with one mark behind each name and one for each scalar; only the texts that are left are parsed again.
+    """
+    text = F.regexp_replace(F.to_json(v), _NAME_OR_SCALAR, f"$1{_HERE}")
+    rows = df.select(text.alias("shape")).distinct()
+    named = F.replace(F.col("shape"), F.lit(f'":{_HERE}'), F.lit('":'))
+    return rows.select(bound(**{v: F.try_parse_json(F.replace(named, F.lit(_HERE), F.lit("null")))}))
+
+
+def distinct_paths(df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(path): every path of the leaves once, containers that a walk records left out."""
+    return leaves(shapes(df, v), style, v, max_depth, containers=False).select("path").distinct()
+
+
 def typed_values(seen: DataFrame) -> DataFrame:
     """(path, type, value) of rows of the walk, the other columns kept."""
     keep = [c for c in seen.columns if c not in ("path", "v", "state")]
-    kind = F.when(F.col("state") == CONTAINER, F.lit(CONTAINER)).otherwise(scalar_type("v"))
-    text = F.coalesce(F.expr("try_cast(v as string)"), F.lit("null"))
-    rows = seen.select(*keep, "path", kind.alias("type"), text.alias("text"))
+    rows = seen.select(*keep, "path", "state", "v", F.to_json("v").alias("json"))
+    type_ = F.when(F.col("state") == CONTAINER, F.lit(CONTAINER)).otherwise(kind(F.col("json")))
+    rows = rows.select(*keep, "path", type_.alias("type"), F.coalesce(F.expr(json_text("v", "json")), F.lit("null")).alias("text"))
     value = F.when(F.col("type") == "number", number_text(F.col("text"))).otherwise(F.col("text"))
     return rows.select(*keep, "path", "type", value.alias("value"))
 
@@ -254,7 +290,7 @@ def suggested_key(path: Column) -> Column:
 
 def key_suggestions(df: DataFrame, v: str = "v", max_depth: int = MAX_DEPTH) -> DataFrame:
     """Distinct filterable keys of the given records."""
-    keys = leaves(df.select(v), INDEXED, v, max_depth)
+    keys = distinct_paths(df, INDEXED, v, max_depth)
     return keys.select(suggested_key(F.col("path")).alias("key")).distinct()
 
 
@@ -272,7 +308,8 @@ def value_samples(df: DataFrame, key: str, v: str = "v", max_depth: int = MAX_DE
     parts = F.when(is_text, F.split(text, ",", -1)).otherwise(F.array(text))
     return (
         found.filter(hit)
-        .select(F.explode(parts).alias("value"))
+        .select(parts.alias("parts"))
+        .select(F.explode("parts").alias("value"))
         .select(strip(F.col("value")).alias("value"))
         .filter(F.col("value").isNotNull())
         .distinct()

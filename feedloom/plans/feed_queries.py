@@ -238,7 +238,7 @@ def flatten_wide(t: Tables) -> DataFrame:
 select distinct unnest(['l_linenumber', 'l_orderkey', 'tunnels_0_n', 'tunnels_0_type', 'tunnels_1_n', 'tunnels_1_type']) as path from lineitem
 """)
 def flatten_paths(t: Tables) -> DataFrame:
-    return paths.leaves(line_feed(t).select("v")).select("path").distinct()
+    return paths.distinct_paths(line_feed(t))
 
 
 @query(f"""

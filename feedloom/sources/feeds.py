@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.bind import bound
-from feedloom.functions.sqltext import as_array, as_object, strict_json, stripped
+from feedloom.functions.sqltext import as_array, as_object, listed_json, only_member, strict_json, stripped
 from feedloom.functions.text import strip
 from feedloom.session import staged
 from feedloom.sources.documents import array_members
@@ -27,7 +27,9 @@ IP_KEYS = ["ip", "ip_address", "ipaddress"]
 
 def parsed(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the parsed record `v`, parsed once per line; NULL where a line is not one JSON value and nothing else."""
-    return df.select("*", bound(v=F.expr(strict_json(raw))))
+    # In two steps without lambdas, which would leave the parse out of generated code.
+    listed = df.select("*", bound(_listed=F.expr(listed_json(raw))))
+    return listed.select(*df.columns, bound(v=F.expr(only_member("_listed"))))
 
 
 def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:

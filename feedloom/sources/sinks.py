@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.bind import bound
 from feedloom.functions.sqltext import as_object
 from feedloom.operators.paths import (
-    MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves, reading_order,
+    MAX_DEPTH, candidate_paths, checked_text, direct_leaf, entries_sql, entry_text, leaves, reading_order, shapes,
 )
 
 
@@ -46,12 +46,12 @@ def wide_columns(
 
     Keys are data, so more than `max_columns` is an error.
     """
-    seen = leaves(df.select(v), v=v, max_depth=max_depth, places=True).select("path", "place").distinct()
-    names = seen.select("path").distinct().limit(max_columns + 1).count()
-    if names > max_columns:
+    seen = leaves(shapes(df, v), v=v, max_depth=max_depth, places=True)
+    seen = seen.groupBy("path").agg(F.collect_set(F.coalesce("place", F.lit(""))).alias("places")).limit(max_columns + 1).collect()
+    if len(seen) > max_columns:
         raise ValueError(f"more than {max_columns} flattened keys; filter the input or raise max_columns")
     found: dict[str, list[str] | None] = {}
-    for path, place in sorted(((r.path, r.place or "") for r in seen.collect()), key=lambda x: (x[0], reading_order(x[1]))):
+    for path, place in sorted(((r.path, p) for r in seen for p in r.places), key=lambda x: (x[0], reading_order(x[1]))):
         if not _PLACE.fullmatch(place):
             found[path] = None
         elif found.setdefault(path, []) is not None:

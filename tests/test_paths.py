@@ -129,3 +129,35 @@ def test_wide_given_columns(records):
 def test_wide_refuses_too_many_columns(records):
     with pytest.raises(ValueError, match="flattened keys"):
         sinks.wide_columns(records({"a": 1, "b": 2, "c": 3}), max_columns=2)
+
+
+ODD = [
+    {"a": 1, "a:b": "x", 'q"uo\\te': [1, {"z,": None}, [2, "]"]], "l": [], "m": ["{", "\\"], "n": [None], "o": {}},
+    {"a": {"b": {"c": {"d": {"e": [{"f": 1}, 2]}}}}, "é\u0001": '":\u0001', "l": [{}], "m": [[]]},
+    [{"r": 1}, "s"], "text", 5, None, True,
+]
+
+
+@pytest.mark.parametrize("style", [paths.INDEXED, paths.OBJECTS, paths.WALK])
+def test_shapes_keep_all_paths(records, style):
+    df = records(*[json.dumps(x) for x in ODD]).select("v")
+    whole = paths.leaves(df, style).filter(F.col("state") != "json")
+    assert {r.path for r in paths.distinct_paths(df, style).collect()} == {r.path for r in whole.select("path").collect()}
+    boxes = {(r.path, r.state) for r in paths.leaves(df, style).select("path", "state").collect()}
+    assert {(r.path, r.state) for r in paths.leaves(paths.shapes(df), style).select("path", "state").collect()} == boxes
+
+
+def test_records_of_one_shape_meet_before_they_are_opened(records):
+    df = records(*[{"k": i, "t": [{"n": i * 0.5, "s": str(i)}, {"n": None, "s": "x"}]} for i in range(50)])
+    assert paths.shapes(df.select("v")).count() == 1
+    assert paths.shapes(records("[]", "[1]", "[1,2]", "{}", '{"a":[]}', '{"a":1}').select("v")).count() == 6
+
+
+def test_leaves_without_containers(records):
+    deep = {"x": 1}
+    for _ in range(8):
+        deep = {"d": [deep, "e"]}
+    df = records(deep, {"m": [1, {"q": [2, []]}], "e": {}, "l": []}, '"s"')
+    seen = Counter((r.path, r.t) for r in paths.leaves(df.select("v"), paths.WALK).filter("state <> 'json'").select("path", F.to_json("v").alias("t")).collect())
+    bare = paths.leaves(df.select("v"), paths.WALK, containers=False).select("path", F.to_json("v").alias("t")).collect()
+    assert Counter((r.path, r.t) for r in bare) == seen
