@@ -204,13 +204,16 @@ def _level(df: DataFrame, style: str, keep: list[str], places: bool, containers:
 
 
 def leaves(
-    df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH, places: bool = False, containers: bool = True
+    df: DataFrame, style: str = INDEXED, v: str = "v", max_depth: int = MAX_DEPTH, places: bool = False, containers: bool = True,
+    prefix: str | None = None,
 ) -> DataFrame:
     """One row per leaf: the other columns of `df`, then `path`, `v` (VARIANT) and `state`.
 
     places: also give `place`, the VARIANT path the leaf was read at, NULL below LEVELS.
 
     indexed: underscore paths, list indexes as path parts. objects: dotted paths, lists are leaves.
+    prefix: only leaves whose path may start with it; others are dropped on the way where their path tells.
+
     walk: dotted paths, every container and value recorded, list members under the list's path. Without `containers`, values only.
     """
     keep = [c for c in df.columns if c != v]
@@ -223,6 +226,8 @@ def leaves(
     rows = rows.filter(F.col("_v").isNotNull() if style == WALK else F.expr(f"{as_object('_v')} is not null"))
     for _ in range(min(LEVELS, max_depth)):
         rows = _level(rows, style, keep, places, containers)
+        if prefix:
+            rows = rows.filter(F.col("_path").startswith(prefix) | F.lit(prefix).startswith(F.col("_path")))
     deeper = _loop(f"array({_entry('_path', '_v', '_state')})", _OPEN_BY_STYLE[style](), max(max_depth - LEVELS, 0))
     scalar = f"{as_object('_v')} is null and {as_array('_v')} is null"
     itself = _entry("_path", "_v", f"if(_state in {_FINAL}, _state, '{LEAF}')")
@@ -230,13 +235,7 @@ def leaves(
     place = [F.expr(f"if({done}, _place, null)").alias("place")] if places else []
     if not containers:
         deeper = f"filter({deeper}, e -> e.state <> '{CONTAINER}')"
-    # Only rows that are still open meet the loop; the others do not even become a list of one.
-    rows = rows.select(
-        *keep, *place, F.expr(f"if({done}, null, {deeper})").alias("_deeper"), F.expr(f"if({done}, {itself}, null)").alias("_itself")
-    )
-    rows = rows.select(*keep, *(["place"] if places else []), "_itself", F.explode_outer("_deeper").alias("_e"))
-    rows = rows.select(*keep, *(["place"] if places else []), F.coalesce("_itself", "_e").alias("_e")).filter("_e is not null")
-    rows = rows.select(*keep, *(["place"] if places else []), "_e.path", "_e.v", "_e.state")
+    rows = rows.select(*keep, *place, F.expr(f"inline(if({done}, array({itself}), {deeper}))").alias("path", "v", "state"))
     return rows.withColumn("path", F.expr("if(path = '', '<root>', path)")) if style == WALK else rows
 
 
@@ -300,7 +299,7 @@ def value_samples(df: DataFrame, key: str, v: str = "v", max_depth: int = MAX_DE
     A key `root_sub` stands for all flattened keys that start `root_` and end `_sub`.
     """
     root, _, sub = key.partition("_")
-    found = leaves(df.select(v), INDEXED, v, max_depth)
+    found = leaves(df.select(v), INDEXED, v, max_depth, prefix=root + "_" if root and sub else key)
     path = F.col("path")
     hit = (path.startswith(root + "_") & path.endswith("_" + sub)) if root and sub else path == key
     text = leaf_value()

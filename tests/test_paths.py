@@ -161,3 +161,9 @@ def test_leaves_without_containers(records):
     seen = Counter((r.path, r.t) for r in paths.leaves(df.select("v"), paths.WALK).filter("state <> 'json'").select("path", F.to_json("v").alias("t")).collect())
     bare = paths.leaves(df.select("v"), paths.WALK, containers=False).select("path", F.to_json("v").alias("t")).collect()
     assert Counter((r.path, r.t) for r in bare) == seen
+
+
+def test_leaves_below_a_prefix(records):
+    df = records({"t": [{"op": "A"}, {"op": "B"}], "t_op": "C", "x": 1, "tx": {"op": 2}, "u": {"t_": 3}}).select("v")
+    assert {r.path for r in paths.leaves(df, prefix="t_").collect()} == {"t_0_op", "t_1_op", "t_op"}
+    assert {r.path for r in paths.leaves(df).collect()} > {"t_0_op", "t_1_op", "t_op", "x", "tx_op", "u_t_"}
