@@ -6,16 +6,16 @@ broadcast whose size is bounded by that count. The long tail of rare words is en
 the task's own table holds it: joining each of its places through a shuffle would move every text twice.
 
 A word is cut only where the pre-tokenizer must cut too: before a single space, around a single line feed, and between a
-letter and closing punctuation. So the ids of a text are the ids of its words, one after another.
+letter and closing punctuation. So the ids of a text are the ids of its words, one after another. The words of a batch are an
+Arrow array over the bytes of its texts; Python sees each distinct word of a batch once, and what a text gives is taken by number.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,67 @@ TABLE_WORDS = 150_000
 # Words of one generation of a task's own table.
 OWN_WORDS = 250_000
 TAIL = b".,!?;:|"
-# White space that does not stand alone between other characters, or is neither a space nor a line feed.
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]|\x00")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+# White space beyond ASCII: all of it starts with one of few bytes.
+_WIDE = [c.encode() for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words of a text; joined they give the text."""
-    if _IRREGULAR.search(text):
-        return [word.encode() for word in _CUT.split(text)]
-    return text.encode().replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0") if text else []
+def _bytes_in(values: bytes) -> np.ndarray:
+    """For each byte whether it is one of the values."""
+    return np.isin(np.arange(256), list(values))
+
+
+_WHITE, _LEADS = _bytes_in(b"\t\n\v\f\r\x1c\x1d\x1e\x1f "), _bytes_in(bytes({c[0] for c in _WIDE}))
+_CUTS, _CLOSING = _bytes_in(b" \n"), _bytes_in(TAIL)
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 whether it belongs to white space."""
+    white = _WHITE[data]
+    leads = np.flatnonzero(_LEADS[data])
+    for char in _WIDE if len(leads) else ():
+        at = leads[leads <= len(data) - len(char)]
+        for k, byte in enumerate(char):
+            at = at[data[at + k] == byte]
+        for k in range(len(char)):
+            white[at + k] = True
+    return white
+
+
+def _binary(offsets: np.ndarray, data) -> pa.Array:
+    """The bytes between each offset and the next."""
+    at = np.ascontiguousarray(offsets, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def _joined(values: pa.Array, numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values of these numbers, joined between each bound and the next."""
+    if not len(numbers):
+        return _binary(np.zeros(len(bounds)), b"")
+    taken = values.take(pa.array(numbers))
+    _, offsets, data = taken.buffers()
+    return _binary(np.frombuffer(offsets, np.int64, len(taken) + 1)[bounds], data if data is not None else b"")
+
+
+def _ends(sizes) -> np.ndarray:
+    """Zero and the running sum."""
+    return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))])
+
+
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and the number of words ahead of each text and after the last. Joined, the words of a text give it."""
+    coded = [text.encode() for text in texts]
+    bounds, whole = _ends(map(len, coded)), b"".join(coded)
+    data = np.frombuffer(whole, np.uint8)
+    starts = np.zeros(len(data) + 1, bool)
+    starts[bounds] = True
+    white = np.append(_white(data), True)
+    # A space or a line feed between characters of its text that are no white space.
+    places = np.flatnonzero(_CUTS[data])
+    alone = places[~(starts[places] | starts[places + 1] | white[places - 1] | white[places + 1])]
+    starts[alone] = True
+    starts[alone[data[alone] == ord("\n")] + 1] = True
+    starts = np.flatnonzero(starts)
+    return _binary(starts, whole), np.searchsorted(starts, bounds)
 
 
 def parts_of(word: bytes) -> tuple[bytes, ...]:
@@ -71,42 +122,59 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def encode_words(path: str, words: list[bytes]) -> list[np.ndarray]:
-    """Ids of each word. Letters, with or without a space ahead, are one pre-token and need the merges alone; the library encodes the
-    others."""
-    texts = [word.decode() for word in words]
-    out: list[np.ndarray | None] = [None] * len(words)
-    plain = [i for i, t in enumerate(texts) if is_letters(t[1:] if t[:1] == " " else t)]
-    for i, ids in zip(plain, merges_of(path).encode_all([words[i] for i in plain])):
-        out[i] = ids.astype(np.uint32)
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, code in zip(rest, _tokenizer(path).encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-        out[i] = np.array(code.ids, np.uint32)
-    return out
+def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and the number of ids ahead of each word and after the last. Letters, with or without a space ahead, are one
+    pre-token and need the merges alone; the library encodes the others."""
+    one = merges_of(path).one
+    out: list[list[int]] = []
+    rest: list[int] = []
+    for i, word in enumerate(words):
+        core = word[1:] if word[:1] == b" " else word
+        if core.isalpha() or is_letters(core.decode()):  # ASCII letters are told without decoding
+            out.append(one(word))
+        else:
+            rest.append(i)
+            out.append([])
+    for i, code in zip(rest, _tokenizer(path).encode_batch([words[i].decode() for i in rest], add_special_tokens=False)):
+        out[i] = code.ids
+    bounds = _ends(map(len, out))
+    return np.fromiter(chain.from_iterable(out), np.uint32, int(bounds[-1])), bounds
+
+
+def _parted(words: pa.Array, n: pa.Array) -> list[pa.Table]:
+    """Words of several parts replaced by their parts."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(words) + 1)[1:]
+    closed = _CLOSING[np.frombuffer(data, np.uint8)[ends - 1]] if len(words) else np.zeros(0, bool)
+    parts = [parts_of(word) for word in words.filter(pa.array(closed)).to_pylist()]
+    times = np.repeat(n.to_numpy()[closed], [len(p) for p in parts])
+    split = pa.array(list(chain.from_iterable(parts)), pa.large_binary())
+    rest = pa.array(~closed)
+    return [pa.table([words.filter(rest), n.filter(rest)], ["word", "n"]), pa.table([split, pa.array(times, pa.int64())], ["word", "n"])]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): parts of words with their number over all texts. `docs` has the column text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            counts: Counter[bytes] = Counter()
-            for word, n in seen.items():
-                for part in parts_of(word):
-                    counts[part] += n
-            seen.clear()
-            return pa.RecordBatch.from_pydict({
-                "word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())
-            })
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return found.rename_columns(["word", "n"])
+
+        def packed(found: pa.Table) -> list[pa.RecordBatch]:
+            return found.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).to_batches()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > OWN_WORDS:
-                yield flush()
-        yield flush()
+            counted = words_of(batch.column(0).to_pylist())[0].value_counts()
+            held += _parted(counted.field(0), counted.field(1))
+            if sum(map(len, held)) > 2 * OWN_WORDS:
+                held[:] = [summed()]
+                if len(held[0]) > OWN_WORDS:
+                    yield from packed(held.pop())
+        if held:
+            yield from packed(summed())
 
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -136,9 +204,9 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            ids = [x.astype(np.int64) for x in encode_words(path, own)]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(own, pa.binary()), "ids": pa.array(ids, pa.list_(pa.int64()))})
+            ids, bounds = encode_words(path, batch.column(0).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["word", "ids"])
 
     coded = stored(words.select("word").mapInArrow(encode, "word binary, ids array<bigint>"), "word-ids")
     # The vocabulary has as many rows as the tokenizer has ids.
@@ -148,49 +216,48 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
 
 
 class _Words:
-    """(ids, bytes) of words: the shared table, and what a task has encoded itself."""
+    """Ids and bytes of words by number: the shared table, and what a task has encoded itself."""
 
     def __init__(self, path: str, table: dict[bytes, tuple[bytes, bytes]]):
-        self.path, self.pieces = path, pieces_of(path)
-        self.table, self.young, self.old = table, {}, {}
-
-    def _encode(self, words: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        own = list(words)
-        return {
-            word: (ids.astype("<u4").tobytes(), b"".join([self.pieces[k] for k in ids.tolist()]))
-            for word, ids in zip(own, encode_words(self.path, own))
-        }
+        self.path, self.table = path, list(table)
+        self.vocabulary = pa.array(pieces_of(path), pa.large_binary())
+        self.shared = [pa.array([x[side] for x in table.values()], pa.large_binary()) for side in range(2)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = dict(zip(self.table, range(len(self.table))))
+        self.ids, self.pieces = self.shared
+
+    def _add(self, words: list[bytes], ids: pa.Array, pieces: pa.Array) -> None:
+        self.numbers.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.ids, self.pieces = pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.pieces, pieces])
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode the parts of these words that have no number yet, and put the words together."""
+        split = [parts_of(word) for word in words]
+        new = list({part for parts in split for part in parts if part not in self.numbers})
+        ids, bounds = encode_words(self.path, new)
+        self._add(new, _binary(4 * bounds, ids.astype("<u4").tobytes()), _joined(self.vocabulary, ids, bounds))
+        several = [(word, parts) for word, parts in zip(words, split) if len(parts) > 1]
+        numbers = self._numbers([part for _, parts in several for part in parts])
+        bounds = _ends(len(parts) for _, parts in several)
+        self._add([word for word, _ in several], _joined(self.ids, numbers, bounds), _joined(self.pieces, numbers, bounds))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
     def look_up(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
-        split = [words_of(text) for text in texts]
-        if len(self.young) > OWN_WORDS:
-            self.old, self.young = self.young, {}
-        table, young, old = self.table, self.young, self.old
-        out = [list(map(table.get, words)) for words in split]
-        gaps = [[i for i, x in enumerate(row) if x is None] for row in out]
-        known: dict[bytes, tuple[bytes, bytes]] = {}
-        new: dict[bytes, tuple[bytes, ...]] = {}
-        find = lambda w: young.get(w) or old.get(w) or table.get(w)
-        for words, places in zip(split, gaps):
-            for i in places:
-                word = words[i]
-                if word in known or word in new:
-                    continue
-                if (value := find(word)) is not None:
-                    known[word] = value
-                else:
-                    new[word] = parts_of(word)
-        pieces = set().union(*new.values())
-        local = {p: v for p in pieces if (v := find(p)) is not None}
-        local |= self._encode(pieces.difference(local))
-        for word, parts in new.items():
-            values = [local[p] for p in parts]
-            known[word] = values[0] if len(values) == 1 else tuple(b"".join(side) for side in zip(*values))
-        young.update(known)
-        for words, row, places in zip(split, out, gaps):
-            for i in places:
-                row[i] = known[words[i]]
-        return out
+        """(ids, bytes) of each text."""
+        if len(self.numbers) > len(self.table) + OWN_WORDS:
+            self._forget()
+        words, bounds = words_of(texts)
+        coded = words.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        if new := [word for word in own if word not in self.numbers]:
+            self._learn(new)
+        numbers = self._numbers(own)[coded.indices.to_numpy()]
+        ids, pieces = (_joined(values, numbers, bounds).to_pylist() for values in (self.ids, self.pieces))
+        return [[pair] for pair in zip(ids, pieces)]
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:

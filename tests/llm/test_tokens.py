@@ -28,6 +28,19 @@ def test_word_encoder_equals_the_library(monkeypatch):
             assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_encoded_once_beside_odd_white_space(monkeypatch):
+    """Double spaces and tabs hinder cuts only where they stand; each distinct word of a batch is encoded once."""
+    seen, plain = [], bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda path, words: seen.extend(words) or plain(path, words))
+    draw = random.Random(3)
+    batch = ["\n".join(draw.choices(["ab", "cde", "fgh."], k=300)) + "  odd\tend" for _ in range(5)] + ["", "\n"]
+    library = Tokenizer.from_file(BYTE)
+    for text, row in zip(batch, bpe._Words(BYTE, {}).look_up(batch), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(i for i, _ in row), "<u4").tolist() == ids
+    assert sum(map(len, seen)) < 100
+
+
 def test_word_table_equals_the_library(monkeypatch):
     monkeypatch.setattr(bpe, "OWN_WORDS", 50)
     library, own = Tokenizer.from_file(BYTE), bpe._Words(BYTE, {})
