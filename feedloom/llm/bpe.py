@@ -13,6 +13,7 @@ Arrow array over the bytes of its texts; Python sees each distinct word of a bat
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,8 +27,12 @@ from feedloom.llm.common import id_and_text, prepare, stored
 from feedloom.llm.merges import byte_of, is_letters, merges_of
 
 TABLE_WORDS = 150_000
-# Words of one generation of a task's own table.
-OWN_WORDS = 250_000
+# Words that a task counts before it passes them on, and words of one generation of a task's own table.
+COUNTED_WORDS = 250_000
+OWN_WORDS = 100_000
+# Words encoded at once, for the library's results take far more than the ids; and characters of text looked up at once.
+CODED_WORDS = 2_000
+BLOCK = 1 << 20
 TAIL = b".,!?;:|"
 # White space beyond ASCII: all of it starts with one of few bytes.
 _WIDE = [c.encode() for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
@@ -92,6 +97,19 @@ def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return _binary(starts, whole), np.searchsorted(starts, bounds)
 
 
+def blocks(texts: list[str], size: int = BLOCK) -> Iterator[list[str]]:
+    """All texts in their order, some at a time: no more characters than `size`, or one text."""
+    held, length = [], 0
+    for text in texts:
+        if held and length + len(text) > size:
+            yield held
+            held, length = [], 0
+        held.append(text)
+        length += len(text)
+    if held:
+        yield held
+
+
 def parts_of(word: bytes) -> tuple[bytes, ...]:
     """A word without its closing punctuation, and the punctuation."""
     core = word.rstrip(TAIL)
@@ -114,6 +132,7 @@ def pieces_of(path: str) -> list[bytes]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores; every thread keeps memory of its own
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -125,6 +144,12 @@ def _tokenizer(path: str):
 def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, and the number of ids ahead of each word and after the last. Letters, with or without a space ahead, are one
     pre-token and need the merges alone; the library encodes the others."""
+    coded = [_encode(path, words[k : k + CODED_WORDS]) for k in range(0, len(words), CODED_WORDS)]
+    return np.concatenate([np.empty(0, np.uint32), *(ids for ids, _ in coded)]), _ends(chain.from_iterable(n for _, n in coded))
+
+
+def _encode(path: str, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Ids of all words, and their number in each word."""
     one = merges_of(path).one
     out: list[list[int]] = []
     rest: list[int] = []
@@ -137,8 +162,8 @@ def encode_words(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]
             out.append([])
     for i, code in zip(rest, _tokenizer(path).encode_batch([words[i].decode() for i in rest], add_special_tokens=False)):
         out[i] = code.ids
-    bounds = _ends(map(len, out))
-    return np.fromiter(chain.from_iterable(out), np.uint32, int(bounds[-1])), bounds
+    sizes = list(map(len, out))
+    return np.fromiter(chain.from_iterable(out), np.uint32, sum(sizes)), sizes
 
 
 def _parted(words: pa.Array, n: pa.Array) -> list[pa.Table]:
@@ -158,6 +183,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        pool = pa.default_memory_pool()
 
         def summed() -> pa.Table:
             found = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
@@ -169,12 +195,15 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             counted = words_of(batch.column(0).to_pylist())[0].value_counts()
             held += _parted(counted.field(0), counted.field(1))
-            if sum(map(len, held)) > 2 * OWN_WORDS:
+            pool.release_unused()
+            if sum(map(len, held)) > 2 * COUNTED_WORDS:
                 held[:] = [summed()]
-                if len(held[0]) > OWN_WORDS:
+                if len(held[0]) > COUNTED_WORDS:
                     yield from packed(held.pop())
         if held:
             yield from packed(summed())
+        held.clear()
+        pool.release_unused()
 
     return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -276,14 +305,20 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(path, shared.value)
+        # The worker outlives the task, and with it what its pool keeps.
+        words, pool = _Words(path, shared.value), pa.default_memory_pool()
         for batch in batches:
-            found = words.look_up(batch.column(1).to_pylist())
-            ids = [b"".join([x for x, _ in row]) for row in found]
-            decoded = [b"".join([x for _, x in row]).decode("utf-8", "replace") for row in found]
+            ids, decoded = [], []
+            for part in blocks(batch.column(1).to_pylist()):
+                found = words.look_up(part)
+                ids += [b"".join([x for x, _ in row]) for row in found]
+                decoded += [b"".join([x for _, x in row]).decode("utf-8", "replace") for row in found]
+                pool.release_unused()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
             )
+        del words
+        pool.release_unused()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -52,6 +52,27 @@ def test_word_table_equals_the_library(monkeypatch):
             assert b"".join(p for _, p in row).decode("utf-8", "replace") == library.decode(ids, skip_special_tokens=False)
 
 
+def test_a_task_holds_little_at_once(monkeypatch):
+    """The library gets some words at a time and a task's texts go through in blocks, with the ids of one call."""
+    sizes, plain = [], bpe._tokenizer(BYTE)
+
+    class Counting:
+        def encode_batch(self, words, **options):
+            sizes.append(len(words))
+            return plain.encode_batch(words, **options)
+
+    monkeypatch.setattr(bpe, "_tokenizer", lambda path: Counting())
+    words = [f" {k}x" if k % 5 else "x" * (k % 7) for k in range(9000)]
+    ids, bounds = bpe.encode_words(BYTE, [w.encode() for w in words])
+    assert max(sizes) <= 2000 and sum(sizes) >= 7000
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in plain.encode_batch(words, add_special_tokens=False)]
+    assert bpe.encode_words(BYTE, [])[1].tolist() == [0]
+
+    rows = ["ab", "", "c" * 9, "", "de", "f"]
+    cut = list(bpe.blocks(rows, 4))
+    assert sum(cut, []) == rows and all(len(b) == 1 or len("".join(b)) <= 4 for b in cut) and list(bpe.blocks([])) == []
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_merges_equal_the_library(path):
     """Words of letters of several scripts, as whole texts of the library."""
